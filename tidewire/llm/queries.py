@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidewire.llm.common import table
+from tidewire.llm.common import fold_of, table
 
 
 def tokenizer_path(name: str) -> str:
@@ -21,6 +21,20 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewire.llm.toxicity import toxicity, train
+
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity(docs, train(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", (fold_of(F.col("doc_id")) == 0).alias("held_out"), "score", "predicted")
+
+
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewire.llm.quality import quality_rules
+
+    return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidewire.llm.tokens import token_counts
 
