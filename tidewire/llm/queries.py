@@ -15,6 +15,31 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewire.llm.secrets import counted, scan, spelled
+
+    found = scan(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    base, every = F.col("base_spans"), F.col("all_spans")
+    return found.select(
+        "doc_id", counted(base, "assign").alias("n_assign"), counted(base, "access").alias("n_access"), counted(base, "hex").alias("n_hex"),
+        F.sha2(spelled(base), 256).alias("base_sha256"), spelled(every).alias("spans"),
+    )
+
+
+def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Page outcomes come from `labels`, whose doc_id is read as the page's id: quality 0 is a bad page."""
+    from tidewire.llm.reputation import url_filter
+
+    outcomes = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), (1 - F.col("quality")).alias("bad"))
+    return url_filter(table(spark, sf_dir, "pages"), outcomes)
+
+
+def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewire.llm.flac import digests, store
+
+    return digests(store(table(spark, sf_dir, "documents")))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidewire.llm.packing import pack
 
