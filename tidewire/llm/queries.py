@@ -26,6 +26,12 @@ def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewire.llm.language_model import score
+
+    return score(table(spark, sf_dir, "documents"))
+
+
 def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Page outcomes come from `labels`, whose doc_id is read as the page's id: quality 0 is a bad page."""
     from tidewire.llm.reputation import url_filter
