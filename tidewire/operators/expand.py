@@ -1,0 +1,55 @@
+"""Feed administration: categories by address, merging of feed lists, liveness and pictures."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, functions as F
+
+from tidewire.functions import urls
+
+
+def infer_category(url: Column, rules: list[tuple[str, str, str]], category: Column | None = None, language: Column | None = None) -> Column:
+    """struct<category, language> of the first rule (pattern, category, language) that fits the address.
+
+    Rules are data: an ordered table that its owner keeps. Without a fit the given values hold, else general, en.
+    """
+    keep = lambda c, default: F.coalesce(c, F.lit(default)) if c is not None else F.lit(default)
+    out = F.struct(keep(category, "general").alias("category"), keep(language, "en").alias("language"))
+    for pattern, name, lang in reversed(rules):
+        out = F.when(F.lower(url).rlike(pattern), F.struct(F.lit(name).alias("category"), F.lit(lang).alias("language"))).otherwise(out)
+    return out
+
+
+def merge_feeds(entries: DataFrame, order: str = "at") -> DataFrame:
+    """One feed a canonical address, the first one, named by the first that has a name; invalid addresses go."""
+    keyed = entries.withColumn("key", urls.canonicalize(F.col("url"))).where("key is not null")
+    rest = [c for c in entries.columns if c != "name"]
+    named = F.nullif(F.col("name"), F.lit(""))
+    merged = keyed.groupBy("key").agg(F.min_by(F.struct(*rest), order).alias("row"), F.min_by(named, F.when(named.isNotNull(), F.col(order))).alias("name"))
+    return merged.select("key", "row.*", "name")
+
+
+def new_feeds(found: DataFrame, existing: DataFrame) -> DataFrame:
+    known = existing.select(urls.canonicalize(F.col("url")).alias("key")).where("key is not null")
+    return merge_feeds(found).join(known, "key", "left_anti")
+
+
+def category_histogram(feeds: DataFrame, n: int = 12) -> DataFrame:
+    return feeds.groupBy("category").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "category").limit(n)
+
+
+def alive(content_type: Column, body: Column) -> Column:
+    kind = F.coalesce(content_type, F.lit("")).rlike(r"(?i)application/(rss|atom|rdf)\+xml|application/xml|text/xml")
+    return kind | F.substring(F.coalesce(body, F.lit("")), 1, 4096).rlike(r"(?i)<(rss|feed|rdf:rdf|channel)[\s>]")
+
+
+def loadable(ok: Column, content_type: Column, allow_origin: Column, redirected: Column, origin: str) -> Column:
+    """Whether a page of `origin` may load a picture: an image that any origin, or this one unredirected, may read."""
+    allowed = (allow_origin == "*") | ((allow_origin == origin) & ~redirected)
+    return F.coalesce(ok & content_type.startswith("image/") & allowed, F.lit(False))
+
+
+def drop_unloadable(articles: DataFrame, probes: DataFrame, origin: str) -> DataFrame:
+    """Articles whose pictures' verdicts, one a distinct address, are negative lose the picture only."""
+    verdict = probes.dropDuplicates(["image"]).select("image", loadable(F.col("ok"), F.col("type"), F.col("allow"), F.col("redirected"), origin).alias("fine"))
+    joined = articles.join(verdict, "image", "left")
+    return joined.withColumn("image", F.when(F.col("fine"), F.col("image"))).drop("fine")
