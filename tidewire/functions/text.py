@@ -86,9 +86,9 @@ def tokens(headline: Column) -> Column:
     body = F.regexp_replace(F.lower(F.coalesce(headline, F.lit(""))), r"['’]s(?![A-Za-z0-9_])", "")
     words = F.filter(F.split(body, r"[^\p{L}\p{N}]+"), lambda w: w != "")
     stop = F.array(*[F.lit(w) for w in STOPWORDS])
-    keyed = F.transform(words, lambda w: F.struct(w.alias("surface"), fold(w).alias("key")))
+    keyed = F.transform(words, lambda w: F.named_struct(F.lit("surface"), w, F.lit("key"), fold(w)))
     kept = F.filter(keyed, lambda t: (F.length(t["key"]) > 1) & ~F.array_contains(stop, t["key"]) & ~t["key"].rlike("^[0-9]+$"))
-    stemmed = F.transform(kept, lambda t: F.struct(t["surface"].alias("surface"), stem(t["key"]).alias("stem")))
+    stemmed = F.transform(kept, lambda t: F.named_struct(F.lit("surface"), t["surface"], F.lit("stem"), stem(t["key"])))
     return F.filter(stemmed, lambda t: (F.length(t["stem"]) > 1) & ~F.array_contains(stop, t["stem"]))
 
 
