@@ -88,5 +88,23 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
 
+_URL_FILTERS = r"""WITH p AS (SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path FROM pages),
+o AS (SELECT doc_id AS page_id, max(1 - quality) AS bad FROM labels WHERE quality IN (0, 1) GROUP BY 1),
+h AS (SELECT host, count(bad) AS n, coalesce(sum(bad), 0) AS bad FROM p LEFT JOIN o USING (page_id) GROUP BY 1),
+s AS (SELECT *, string_split(host, '.') AS parts, list_contains(['co.uk', 'org.uk', 'ac.uk', 'com.au', 'net.au', 'org.au', 'co.jp', 'co.nz', 'com.br', 'co.za', 'co.in', 'com.mx'], array_to_string(string_split(host, '.')[-2:], '.')) AS pair FROM h),
+d AS (SELECT host, n, bad, array_to_string(parts[CASE WHEN pair THEN -3 ELSE -2 END:], '.') AS domain, array_to_string(parts[CASE WHEN pair THEN -2 ELSE -1 END:], '.') AS suffix FROM s),
+t AS (SELECT sum(n) AS n, sum(bad) AS bad, sum(n) FILTER (WHERE n > 1) AS m, sum(bad * bad / n) FILTER (WHERE n > 1) AS square, sum(bad) FILTER (WHERE n > 1) AS multi, count(*) FILTER (WHERE n > 1) AS hosts FROM h),
+b AS (SELECT (bad + 0.5) / (n + 1.0) AS mean, hosts, multi / m AS share, (square - m * (multi / m) * (multi / m) - (hosts - 1) * (multi / m) * (1 - multi / m)) / greatest(1.0, m) AS spread FROM t),
+w AS (SELECT mean, CASE WHEN coalesce(hosts, 0) < 2 OR spread IS NULL OR spread <= 0 THEN 200.0 ELSE least(200.0, greatest(2.0, share * (1 - share) / spread - 1)) END AS weight FROM b),
+x AS (SELECT suffix, (sum(bad) + any_value(weight) * any_value(mean)) / (sum(n) + any_value(weight)) AS suffix_mean FROM d, w GROUP BY 1),
+y AS (SELECT domain, (sum(bad) + any_value(weight) * any_value(suffix_mean)) / (sum(n) + any_value(weight)) AS domain_mean FROM d JOIN x USING (suffix), w GROUP BY domain),
+z AS (SELECT host, (bad + weight * domain_mean) / (n + weight) AS q, n + weight AS size FROM d JOIN y USING (domain), w),
+r AS (SELECT page_id, host, path, q - 1.645 * sqrt(q * (1 - q) / (size + 1)) AS lower_bound, host = 'org' OR host LIKE '%.org' AS org, host = 'com' OR host LIKE '%.com' AS com, host = 'example.org' OR host LIKE '%.example.org' AS own FROM p JOIN z USING (host)),
+v AS (SELECT *, CASE WHEN own AND path LIKE '/en/1%' THEN 'example.org/en/1' WHEN own AND path LIKE '/es/%' THEN 'example.org/es/' WHEN com AND path LIKE '/fr/%' THEN 'com/fr/' WHEN com AND path LIKE '/de/%' THEN 'com/de/' WHEN org AND path LIKE '/%' THEN 'org/' END AS rule FROM r)
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' WHEN lower_bound > 0.2 THEN 'block' ELSE 'allow' END AS verdict FROM v"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL where it can express the query; the other operators are tested against brute force, libraries and held-out rows."""
+    return {"op4_url_filters": _URL_FILTERS}
