@@ -83,11 +83,15 @@ def html_image(html: Column) -> Column:
     return F.coalesce(F.nullif(image, F.lit("")), F.nullif(graph, F.lit("")))
 
 
+# Fixed value: paths that are no photographs.
+NOT_A_PHOTO = r"(?i)\.(mp4|webm|mov|m3u8|gif|svg)$|(^|[/_-])(icon|logo|avatar|favicon|sprite|pixel)s?([/_.-]|$)"
+
+
 def picture(url: Column) -> Column:
     """A picture a page may show: http(s) only, no video, vector, icon or logo paths, upgraded to https; else null."""
-    path = F.lower(F.coalesce(part(url, "PATH"), F.lit("")))
-    refused = path.rlike(r"\.(mp4|webm|mov|m3u8|gif|svg|ico)$|favicon|/icons?/|logo")
-    return F.when(F.lower(part(url, "PROTOCOL")).isin("http", "https") & ~refused, F.regexp_replace(url, "^(?i)http:", "https:"))
+    path = F.coalesce(part(url, "PATH"), F.lit(""))
+    fit = F.lower(part(url, "PROTOCOL")).isin("http", "https") & ~path.rlike(NOT_A_PHOTO)
+    return F.when(fit, F.regexp_replace(url, "^(?i)http:", "https:"))
 
 
 def feed_like(url: Column) -> Column:

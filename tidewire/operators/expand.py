@@ -7,14 +7,54 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tidewire.functions import urls
 
 
-def infer_category(url: Column, rules: list[tuple[str, str, str]], category: Column | None = None, language: Column | None = None) -> Column:
+# What an address says about a feed's category and language, first match wins.
+CATEGORY_RULES = (
+    (r"youtube\.com/feeds/videos\.xml", "youtube", "en"),
+    (r"arxiv\.org/rss", "research", "en"),
+    (r"trends\.google\.com", "social-trends", "en"),
+    (r"(spiegel|newsfeed\.zeit|tagesschau|\.faz\.|\.n-tv\.|freitag\.de|morgenpost|sueddeutsche|welt\.de|tagesspiegel|handelsblatt)", "germany", "de"),
+    (r"(lemonde|lefigaro|liberation|france24\.com|rfi\.fr|mediapart|nouvelobs|francetvinfo|huffingtonpost\.fr|ladepeche|sudouest|ouest-france|20minutes\.fr|parisstaronline)", "france", "fr"),
+    (r"(elpais|elmundo|elconfidencial|eldiario|e00-expansion|elperiodico\.com|euroweeklynews)", "spain", "es"),
+    (r"(corriere|repubblica|ansa\.it|ilfattoquotidiano|lastampa)", "italy", "it"),
+    (r"(asahi|mainichi|nhk\.or|japantimes)\.(jp|co\.jp|com)", "japan", "ja"),
+    (r"(globo\.com|folha\.uol|estadao\.com|brasilwire|riotimesonline|jornaldebrasilia|uol\.com\.br)", "brazil", "pt"),
+    (r"(thedailystar\.net|bd24live|jagonews24|prothomalo)", "bangladesh", "bn"),
+    (r"(hongkongfp|hongkongnews\.net)", "hong-kong", "en"),
+    (r"(thejournal\.ie|breakingnews\.ie|irishmirror\.ie|feedburner.*irish|the42\.ie|irishcentral)", "ireland", "en"),
+    (r"(smh\.com\.au|abc\.net\.au|theage\.com\.au|perthnow|canberratimes|brisbanetimes|michaelwest\.com\.au|businessnews\.com\.au|independentaustralia)", "australia", "en"),
+    (r"(globalnews\.ca|nationalpost|ottawacitizen|theprovince|lapresse\.ca|torontosun|financialpost|business\.financialpost)", "canada", "en"),
+    (r"(republika\.co\.id)", "indonesia", "id"),
+    (r"(scmp\.com)", "asia", "en"),
+    (r"(bbc\.co\.uk|bbci\.co\.uk|theguardian\.com|skynews|independent\.co\.uk|telegraph\.co\.uk|\.ft\.com|thetimes|dailymail|thesun\.co\.uk)", "world-news", "en"),
+    (r"(cnn\.com|nytimes\.com|nypost\.com|nbcnews|foxnews|abcnews\.go|cbsnews|npr\.org|washingtonpost|wsj\.com|usatoday|apnews|aljazeera|reuters\.com)", "world-news", "en"),
+    (r"(politico\.com|axios\.com|bloomberg\.com|huffpost\.com|vox\.com|time\.com|rawstory|seattletimes|247newsaroundtheworld|worldnewsera|newsblaze)", "world-news", "en"),
+    (r"(dw\.com|euronews|euractiv|euobserver|politico\.eu|ecfr\.eu|opendemocracy|eurozine|europeelects|thelocal\.)", "europe", "en"),
+    (r"(techcrunch|theverge|wired\.|arstechnica|engadget|hackaday|theregister|techworld|macworld|pcworld|howtogeek|lifehacker|makeuseof|readwrite|venturebeat|technologyreview|smashingmagazine)", "tech", "en"),
+    (r"(openai\.com|anthropic\.com|deepmind|huggingface\.co|artificialintelligence-news|thegradient\.pub)", "ai", "en"),
+    (r"(krebsonsecurity|schneier\.com|bleepingcomputer|threatpost|darkreading|thecipherbrief)", "cybersecurity", "en"),
+    (r"(espn\.com|skysports|bbcsport|cbssports|sportingnews|talksport|operationsports)", "sports", "en"),
+    (r"(nature\.com|science\.org|newscientist|scientificamerican|sciencedaily|statnews|carbonbrief)", "science", "en"),
+    (r"(economist\.com|forbes\.com|cnbc\.com|marketwatch|businessinsider|fortune\.com|entrepreneur\.com|sbnonline|homebusinessmag|thenonprofittimes)", "business", "en"),
+    (r"(gamespot|nintendolife|indiegames|polygon\.com|gameinformer|news\.xbox|vg247|mynintendonews|rockpapershotgun|pcgamesn|kotaku|pushsquare|videogamer|toucharcade|gameinformer)", "gaming", "en"),
+    (r"(rollingstone|variety\.com|artnews|artnet|lithub|newyorker\.com|salon\.com|vice\.com)", "culture", "en"),
+    (r"(space\.com|esa\.int)", "space", "en"),
+    (r"(propublica|theintercept|bellingcat|warontherocks|rand\.org|foreignpolicy|globalissues|e-ir\.info|justworldnews|defence-blog|wan-ifra)", "analysis", "en"),
+    (r"(coindesk|decrypt\.co|cointelegraph)", "crypto", "en"),
+    (r"(seriouseats|bonappetit|eater\.com)", "food", "en"),
+    (r"(insidehighered|adventurouskate|adventure-journal)", "lifestyle", "en"),
+    (r"(thenation|dailysignal|msnbc|washingtonexaminer|politico\.com)", "politics", "en"),
+    (r"(kulturlotse|ooh\.directory|eurozine|stratechery|beehiiv)", "culture", "en"),
+)
+
+
+def infer_category(url: Column, rules: tuple[tuple[str, str, str], ...] | list = CATEGORY_RULES, category: Column | None = None, language: Column | None = None) -> Column:
     """struct<category, language> of the first rule (pattern, category, language) that fits the address.
 
-    Rules are data: an ordered table that its owner keeps. Without a fit the given values hold, else general, en.
+    Without a fit the given values hold, else general, en.
     """
     keep = lambda c, default: F.coalesce(c, F.lit(default)) if c is not None else F.lit(default)
     out = F.struct(keep(category, "general").alias("category"), keep(language, "en").alias("language"))
-    for pattern, name, lang in reversed(rules):
+    for pattern, name, lang in reversed(list(rules)):
         out = F.when(F.lower(url).rlike(pattern), F.struct(F.lit(name).alias("category"), F.lit(lang).alias("language"))).otherwise(out)
     return out
 

@@ -7,21 +7,41 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tidewire.functions import values
 
 # Known clients, first match wins.
-CLIENTS = (("claude", "(?i)claude"), ("chatgpt", "(?i)chatgpt|openai"), ("cursor", "(?i)cursor"), ("vscode", "(?i)visual studio code|vscode"), ("inspector", "(?i)inspector"))
-METHODS = ("initialize", "tools/list", "tools/call", "ping")
-
-
-def client(name: Column, agent: Column) -> Column:
-    told = F.concat_ws(" ", name, agent)
-    out = F.lit("other")
+CLIENTS = (
+    ("Claude Code", r"claude[-_ ]?(code|cli)"), ("Claude Desktop", r"claude[-_ ]?desktop"), ("claude.ai", r"claude[-_.]?ai|anthropic"), ("Claude", r"claude"),
+    ("MCP Inspector", r"inspector"), ("Cursor", r"cursor"), ("Windsurf", r"windsurf|codeium"), ("VS Code", r"visual[-_ ]?studio[-_ ]?code|vscode|copilot"),
+    ("ChatGPT", r"chatgpt|openai"), ("Gemini", r"gemini"), ("JetBrains", r"jetbrains|intellij"), ("Zed", r"\bzed\b"), ("Cline", r"\bcline\b"), ("Goose", r"\bgoose\b"),
+    ("Continue", r"continue"), ("mcp-remote", r"mcp[-_]remote"), ("n8n", r"\bn8n\b"), ("LangChain", r"langchain|langgraph"),
+    ("MCP TypeScript SDK", r"mcp[-_ ]?(typescript|ts|js)[-_ ]?sdk|@modelcontextprotocol"), ("MCP Python SDK", r"mcp[-_ ]?python|fastmcp"),
+    ("Python client", r"python|httpx|aiohttp"), ("Node client", r"\bnode\b|undici|axios"), ("curl", r"\bcurl\b"),
+)
+# Methods of the protocol.
+METHODS = (
+    "initialize", "ping", "server/discover", "tools/list", "tools/call", "resources/list", "resources/read", "resources/templates/list", "prompts/list",
+    "prompts/get", "completion/complete", "logging/setLevel", "subscriptions/listen", "resources/subscribe", "resources/unsubscribe",
+)
+
+
+def _known(told: Column) -> Column:
+    out = F.lit(None).cast("string")
     for label, pattern in reversed(CLIENTS):
-        out = F.when(told.rlike(pattern), F.lit(label)).otherwise(out)
+        out = F.when(told.rlike(f"(?i){pattern}"), F.lit(label)).otherwise(out)
     return out
 
 
+def client(name: Column, agent: Column, title: Column | None = None) -> Column:
+    """The known product that the first telling text names; unknown text is never repeated."""
+    texts = [F.nullif(c, F.lit("")) for c in (name, title, agent) if c is not None]
+    return F.coalesce(*[_known(c) for c in texts], F.when(F.coalesce(*texts).isNotNull(), F.lit("other")), F.lit("(not set)"))
+
+
 def version(value: Column) -> Column:
-    """Major and minor only."""
-    return F.coalesce(F.nullif(F.regexp_extract(F.coalesce(value, F.lit("")), r"^v?(\d+(?:\.\d+)?)", 1), F.lit("")), F.lit("(not set)"))
+    """Major and minor of a declared version."""
+    return F.coalesce(F.nullif(F.regexp_extract(F.coalesce(value, F.lit("")), r"^v?(\d{1,4}\.\d{1,4})", 1), F.lit("")), F.lit("(not set)"))
+
+
+def protocol_version(value: Column) -> Column:
+    return F.when(value.rlike(r"^\d{4}-\d{2}-\d{2}$"), value).otherwise("(not set)")
 
 
 def clip(value: Column, n: int = 100) -> Column:
@@ -29,7 +49,7 @@ def clip(value: Column, n: int = 100) -> Column:
 
 
 def method(value: Column) -> Column:
-    return F.when(value.isin(*METHODS) | value.startswith("notifications/"), value).otherwise("other")
+    return F.when(value.isin(*METHODS), value).otherwise("(other)")
 
 
 def events(requests: DataFrame) -> DataFrame:
@@ -42,9 +62,9 @@ def events(requests: DataFrame) -> DataFrame:
         .when((F.col("method") == "tools/call") & F.col("ok"), "use_tool")
     )
     names = F.filter(F.array(F.lit("page_view"), kind, F.when(~F.col("ok"), F.lit("error"))), lambda n: n.isNotNull())
-    who = F.concat_ws("|", F.col("client_name"), F.col("agent"))
+    who = client(F.col("client_name"), F.col("agent"))
     return requests.select(
-        "request_id", F.explode(names).alias("event"), values.fnv1a(who).alias("client_id"), values.bucket(F.col("at")).alias("session"), client(F.col("client_name"), F.col("agent")).alias("client"),
+        "request_id", F.explode(names).alias("event"), F.concat(values.fnv1a(who).cast("string"), F.lit(".1")).alias("client_id"), values.bucket(F.col("at")).alias("session"), who.alias("client"),
         method(F.col("method")).alias("method"), clip(F.col("tool")).alias("tool"), F.greatest(F.lit(1), F.col("duration_ms")).alias("engagement_ms"), "result_count",
         values.days_between(F.col("date"), F.to_date("at")).alias("days_ago"),
     )
