@@ -79,6 +79,11 @@ def tree_keys(values: np.ndarray, sizes: np.ndarray, trees: int, deepest: int, d
     return out
 
 
+def _shuffled(df: DataFrame) -> DataFrame:
+    """Joins whose sides both grow with the input are planned alike at every size: as shuffles that skew handling can split."""
+    return df.hint("merge")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) for every node of the edges (u, v); label is the least node of the component.
 
@@ -89,10 +94,10 @@ def components(edges: DataFrame) -> DataFrame:
     both = materialise(edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), shared_dir(spark))
     labels = materialise(both.groupBy(F.col("u").alias("node")).agg(F.least(F.col("node"), F.min("v")).alias("label")), shared_dir(spark))
     while True:
-        sent = both.join(labels, both.v == labels.node).select(both.u.alias("node"), "label")
+        sent = both.join(_shuffled(labels), both.v == labels.node).select(both.u.alias("node"), "label")
         least = materialise(labels.union(sent).groupBy("node").agg(F.min("label").alias("label")), shared_dir(spark))
         above = least.select(F.col("node").alias("label"), F.col("label").alias("higher"))
-        jumped = materialise(least.join(above, "label", "left").select("node", F.least("label", "higher").alias("label")), shared_dir(spark))
+        jumped = materialise(least.join(_shuffled(above), "label", "left").select("node", F.least("label", "higher").alias("label")), shared_dir(spark))
         moved = labels.withColumnRenamed("label", "old").join(jumped, "node").where("label != old").limit(1).count()
         labels = jumped
         if not moved:
@@ -202,19 +207,19 @@ def near_duplicates(
 
     held = nodes.where("copy_id is not null").select("node", "prefixes").mapInArrow(spread, "bucket long, node long")
     heads = materialise(held.groupBy("bucket").agg(F.min("node").alias("head"), F.count("*").alias("n")).where("n > 1").select("bucket", "head"), shared_dir(spark))
-    stars = held.join(heads, "bucket").where("node != head").select(F.col("node").alias("u"), F.col("head").alias("v")).distinct()
+    stars = held.join(_shuffled(heads), "bucket").where("node != head").select(F.col("node").alias("u"), F.col("head").alias("v")).distinct()
     grouped = components(materialise(stars, shared_dir(spark)))
     sizes = materialise(grouped.groupBy("label").agg(F.count("*").alias("size")), shared_dir(spark))
     total = sizes.agg(F.coalesce(F.sum(F.when(F.col("size") <= block, F.col("size"))), F.lit(0))).first()[0]
     units = max(1, math.ceil(total / block))
     blocks = F.ceil(F.col("size") / F.lit(block)).cast("int")
-    members = grouped.join(sizes, "label").join(nodes.select("node", "copy_id", "copies"), "node")
+    members = grouped.join(_shuffled(sizes), "label").join(_shuffled(nodes.select("node", "copy_id", "copies")), "node")
     members = members.select(
         "node", "copies", F.col("copy_id").alias("doc_id"), "label", blocks.alias("blocks"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("mine"),
         F.pmod(F.xxhash64("label"), F.lit(units)).alias("unit"),
     )
     members = materialise(members, shared_dir(spark))
-    texts = members.join(body.where("doc_id is not null"), "doc_id").select("node", "copies", "label", "blocks", "mine", "unit", "body")
+    texts = members.join(_shuffled(body.where("doc_id is not null")), "doc_id").select("node", "copies", "label", "blocks", "mine", "unit", "body")
 
     def prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -265,4 +270,4 @@ def near_duplicates(
     table = nodes.select("node", "copy_id", "copies").join(placed, "node", "left").join(counts, "node", "left")
     table = table.select("node", "copy_id", F.coalesce("class_id", "copy_id").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
     table = materialise(table, shared_dir(spark))
-    return signed.select("doc_id", "node").join(table, "node").select("doc_id", "copy_id", "class_id", "n_links")
+    return signed.select("doc_id", "node").join(_shuffled(table), "node").select("doc_id", "copy_id", "class_id", "n_links")
