@@ -104,24 +104,16 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def similar_pairs(keys: np.ndarray, sides: np.ndarray | None) -> np.ndarray:
-    """Which sets meet in some tree: a square matrix, upper half only; with sides, only pairs of unlike sides."""
-    m = len(keys)
-    meet = np.zeros((m, m), bool)
-    for t in range(keys.shape[1]):
-        order = np.argsort(keys[:, t], kind="stable")
-        sorted_ = keys[order, t]
-        cuts = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1], [True]]))
-        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            if b - a > 1:
-                meet[np.ix_(order[a:b], order[a:b])] = True
+def same_group(labels: np.ndarray, sides: np.ndarray | None) -> np.ndarray:
+    """Which sets share a candidate group: a square matrix, upper half only; with sides, only pairs of unlike sides."""
+    meet = labels[:, None] == labels[None, :]
     if sides is not None:
         meet &= sides[:, None] != sides[None, :]
     return np.triu(meet, 1)
 
 
 def verified(values: np.ndarray, sizes: np.ndarray, meet: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """The met pairs whose exact Jaccard similarity is at least the threshold."""
+    """Those pairs of `meet` whose exact Jaccard similarity is at least the threshold."""
     _, ids = np.unique(values, return_inverse=True)
     begin = np.cumsum(sizes) - sizes
     mark = np.zeros(int(ids.max()) + 1 if len(ids) else 1, np.int32)
@@ -172,7 +164,7 @@ def near_duplicates(
     """doc_id, copy_id, class_id and n_links of every document, a row per row.
 
     Documents with equal shingle sets are copies: copy_id is their least id. Among the distinct sets, those that
-    share a prefix in some tree of the forest are candidates, and every candidate pair is verified exactly, in
+    share a prefix in some tree of the forest form candidate groups, and every pair of a group is verified exactly, in
     blocks of about `block` sets, so that a group of near copies of any size spreads over many tasks and its pairs
     are counted, never written. class_id is the least id among all documents that links connect; n_links counts
     the other documents at or above the threshold. A text of fewer than `shingle` words is one shingle; texts
@@ -229,30 +221,28 @@ def near_duplicates(
                 own = np.flatnonzero(set_keys(values, n) == batch.column(0).slice(lo, hi - lo).to_numpy())
                 ends = np.cumsum(n)
                 sets = [values[ends[i] - n[i] : ends[i]].tobytes() for i in own]
-                prefixes = [p.tobytes() for p in tree_keys(values, n, trees, deepest, depth)[own]]
                 at = pa.array(own + lo)
-                yield pa.RecordBatch.from_arrays([*(batch.column(k).take(at) for k in range(6)), pa.array(sets, pa.binary()), pa.array(prefixes, pa.binary())], names=names)
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).take(at) for k in range(6)), pa.array(sets, pa.binary())], names=names)
 
-    names = ["node", "copies", "label", "blocks", "mine", "unit", "shingles", "prefixes"]
-    ready = texts.mapInArrow(prepare, "node long, copies long, label long, blocks int, mine int, unit long, shingles binary, prefixes binary")
+    names = ["node", "copies", "label", "blocks", "mine", "unit", "shingles"]
+    ready = texts.mapInArrow(prepare, "node long, copies long, label long, blocks int, mine int, unit long, shingles binary")
     small = F.col("blocks") == 1
     ready = ready.withColumn("other", F.explode(F.when(small, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))))
     tasks = ready.select(
         F.when(small, F.lit(None)).otherwise(F.col("label")).alias("big"), F.when(small, F.col("unit")).otherwise(F.least("mine", "other").cast("long")).alias("a"),
-        F.greatest("mine", "other").alias("b"), "node", "copies", "mine", "shingles", "prefixes",
+        F.greatest("mine", "other").alias("b"), "node", "copies", "label", "mine", "shingles",
     )
 
     def verify(group: pa.Table) -> pa.Table:
         node = group["node"].to_numpy()
         _, once = np.unique(node, return_index=True)  # repeated rows carry the same text
         group, node = group.take(pa.array(once)), node[once]
-        keys = np.frombuffer(b"".join(group["prefixes"].to_pylist()), np.uint64).reshape(len(node), trees)
         blobs = group["shingles"].to_pylist()
         n = np.array([len(b) // 8 for b in blobs], np.int64)
         sides = None
         if group["big"][0].is_valid and group["a"][0].as_py() != group["b"][0].as_py():
             sides = group["mine"].to_numpy()
-        left, right = verified(np.frombuffer(b"".join(blobs), np.uint64), n, similar_pairs(keys, sides), threshold)
+        left, right = verified(np.frombuffer(b"".join(blobs), np.uint64), n, same_group(group["label"].to_numpy(), sides), threshold)
         copies = group["copies"].to_numpy()
         links = np.bincount(left, copies[right], len(node)) + np.bincount(right, copies[left], len(node))
         linked = np.flatnonzero(links)
