@@ -10,13 +10,15 @@ from __future__ import annotations
 
 import gc
 import math
+import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tidewire.llm.common import as_strings, fold_of, materialise, shared_dir
+from tidewire.llm.common import fold_of, materialise, shared_dir
 from tidewire.llm.words import hashes, lowered, mix, split
 
 _START = np.uint64(0x51A7E0000000A11D)
@@ -265,7 +267,7 @@ _BACK = "text_group long, shard int, words binary, pairs binary, types long, tok
 
 
 def score(
-    docs: DataFrame, text: str = "text", weight: float = 400.0, held_out: int = 1, group_bytes: int = 12 << 20, keep_model: str | None = None
+    docs: DataFrame, text: str = "text", weight: float = 400.0, held_out: int = 1, group_bytes: int = 8 << 20, keep_model: str | None = None
 ) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score, a row per document.
 
@@ -284,8 +286,19 @@ def score(
     shards = groups
     tagged = body.withColumn("fold", fold_of(F.col("doc_id"))).withColumn("text_group", F.pmod(F.xxhash64("doc_id", F.length("body")), F.lit(groups)))
 
+    def shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            packed = [zlib.compress(t.encode(), 1) for t in batch.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(packed, pa.binary())], names=["doc_id", "fold", "text_group", "body"])
+
+    def texts_of(group: pa.Table) -> pa.Array:
+        return pa.array([zlib.decompress(b).decode() for b in group["body"].to_pylist()], pa.string())
+
+    # Texts move compressed: they are most of what moves.
+    tagged = tagged.select("doc_id", "fold", "text_group", "body").mapInArrow(shrink, f"doc_id {key}, fold int, text_group long, body binary")
+
     def count(group: pa.Table) -> pa.Table:
-        g = grams(as_strings(group["body"]), shards)
+        g = grams(texts_of(group), shards)
         train = np.repeat(group["fold"].to_numpy() != held_out, g.per_text)
         words = np.bincount(g.word_of[train], minlength=len(g.words))
         pairs = np.bincount(g.pair_of[train], minlength=len(g.first))
@@ -339,7 +352,7 @@ def score(
     texts = docs.select(fold_of(F.col("doc_id")).alias("fold")).where(F.col("fold") != held_out).count()
 
     def finish(group: pa.Table, back: pa.Table) -> pa.Table:
-        g = grams(as_strings(group["body"]), shards)
+        g = grams(texts_of(group), shards)
         a, b = _ranges(g.word_shard, shards), _ranges(g.pair_shard, shards)
         words, pairs = np.zeros(len(g.words), np.int64), np.zeros(len(g.first), np.uint8)
         for s, w, p in zip(back["shard"].to_pylist(), back["words"].to_pylist(), back["pairs"].to_pylist(), strict=True):

@@ -70,17 +70,25 @@ def lowered(data: np.ndarray) -> np.ndarray:
     return np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8)
 
 
+_BLOCK = 1 << 20
+
+
 def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each byte range, the same in every process."""
+    """A 64-bit hash of each byte range, the same in every process; worked off in blocks of about a megabyte."""
     lengths = ends - starts
-    if len(starts) == 0:
-        return np.zeros(0, np.uint64)
-    begin = np.cumsum(lengths) - lengths
-    at = np.arange(int(lengths.sum()), dtype=np.int64)
-    within = at - np.repeat(begin, lengths)
-    bytes_ = data[at + np.repeat(starts - begin, lengths)].astype(np.uint64) + np.uint64(1)
-    bytes_ *= _power_table(int(lengths.max()))[within]
-    return mix(np.add.reduceat(bytes_, begin) + lengths.astype(np.uint64) * np.uint64(0x632BE59BD9B4E019))
+    out = np.empty(len(starts), np.uint64)
+    running = np.cumsum(lengths)
+    lo = 0
+    while lo < len(starts):
+        done = int(running[lo] - lengths[lo])
+        hi = max(lo + 1, int(np.searchsorted(running, done + _BLOCK, "right")))
+        size, begin = lengths[lo:hi], running[lo:hi] - lengths[lo:hi] - done
+        at = np.arange(int(running[hi - 1]) - done, dtype=np.int64)
+        values = data[at + np.repeat(starts[lo:hi] - begin, size)].astype(np.uint64) + np.uint64(1)
+        values *= _power_table(int(size.max()))[at - np.repeat(begin, size)]
+        out[lo:hi] = mix(np.add.reduceat(values, begin) + size.astype(np.uint64) * np.uint64(0x632BE59BD9B4E019))
+        lo = hi
+    return out
 
 
 def window_hashes(h: np.ndarray, n: int) -> np.ndarray:
