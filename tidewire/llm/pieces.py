@@ -48,6 +48,8 @@ class Automaton:
             self.piece[state] = id_
         self.fail = [0] * len(self.next)
         self.output = [0] * len(self.next)  # the longest proper suffix state that is a piece; 0: none
+        self.taken: dict[tuple[int, str], int] = {}
+        self.ends: list[tuple[tuple[int, int], ...] | None] = [None] * len(self.next)
         todo = deque(self.next[0].values())
         while todo:
             state = todo.popleft()
@@ -61,18 +63,22 @@ class Automaton:
                 todo.append(child)
 
     def step(self, state: int, c: str) -> int:
+        """The next state; transitions over failure links are kept once they have been taken."""
+        came = state
         while state and c not in self.next[state]:
             state = self.fail[state]
-        return self.next[state].get(c, 0)
+        to = self.next[state].get(c, 0)
+        if len(self.taken) < 2_000_000:
+            self.taken[came, c] = to
+        return to
 
-    def ending(self, state: int) -> Iterator[tuple[int, int]]:
-        """(piece, length) of every piece that ends in this state, longest first."""
-        if self.piece[state] >= 0:
-            yield self.piece[state], self.length[state]
-        state = self.output[state]
-        while state:
-            yield self.piece[state], self.length[state]
-            state = self.output[state]
+    def ending(self, state: int) -> tuple[tuple[int, int], ...]:
+        """(piece, length) of every piece that ends in this state, longest first, along the output links."""
+        got = self.ends[state]
+        if got is None:
+            own = ((self.piece[state], self.length[state]),) if self.piece[state] >= 0 else ()
+            got = self.ends[state] = own + (self.ending(self.output[state]) if self.output[state] else ())
+        return got
 
 
 class PieceModel:
@@ -102,6 +108,7 @@ class PieceModel:
         self.pairs: dict[tuple[int, int], bool] = {}
         self.cache: dict[str, tuple[int, ...]] = {}
         #: Pieces with a space mark after another character would tie words together; without them, words are apart.
+        self.inner = {p[i : i + 2] for p in self.id for i in range(len(p) - 1)}
         self.apart = not any(_SPACE in p.lstrip(_SPACE) for p in self.id)
 
     def _merged(self, text: str) -> list[str]:
@@ -131,41 +138,59 @@ class PieceModel:
         return [s for s in symbols if s is not None]
 
     def _stays(self, left: int, right: int) -> bool:
-        """Whether two pieces side by side are what merging their text gives."""
-        got = self.pairs.get((left, right))
-        if got is None:
-            if len(self.pairs) > _CACHE:
-                self.pairs.clear()
-            got = self.pairs[left, right] = self._merged(self.text[left] + self.text[right]) == [self.text[left], self.text[right]]
+        """Whether two pieces side by side (or, after nothing, a piece alone) are what merging their text gives."""
+        if len(self.pairs) > _CACHE:
+            self.pairs.clear()
+        want = [self.text[k] for k in (left, right) if k >= 0]
+        got = self.pairs[left, right] = self._merged("".join(want)) == want
         return got
 
     def segment(self, text: str) -> list[int]:
         """Ids of one stretch, spaces already marked: one pass, then back along the kept pieces."""
+        return self._segment_bpe(text) if self.bpe else self._segment_unigram(text)
+
+    def _segment_bpe(self, text: str) -> list[int]:
         n = len(text)
-        known = [True] + [False] * n
-        back = [(-1, 0)] * (n + 1)  # last piece of the prefix (-1: a character without a piece) and its length
-        best = [0.0] + [-np.inf] * n
-        state = 0
+        last, size = [-2] * (n + 1), [0] * (n + 1)  # last piece of the prefix: -1 a character without a piece, -2 none
+        last[0] = -1
+        automaton, pairs, state = self.automaton, self.pairs, 0
+        taken, ends = automaton.taken, automaton.ends
         for i, c in enumerate(text, 1):
-            state = self.automaton.step(state, c)
-            for piece, length in self.automaton.ending(state):
-                j = i - length
-                if not known[j]:
+            to = taken.get((state, c))
+            state = automaton.step(state, c) if to is None else to
+            for piece, length in ends[state] or automaton.ending(state):
+                left = last[i - length]
+                if left == -2:
                     continue
-                if self.bpe:
-                    last = back[j][0]
-                    if (j == 0 or last < 0 or self._stays(last, piece)) and (length == 1 or self._whole(piece)):
-                        back[i], known[i] = (piece, length), True
-                        break
-                elif best[j] + self.score[piece] > best[i]:
-                    best[i], back[i], known[i] = best[j] + self.score[piece], (piece, length), True
-            single = self.id.get(c, -1) >= 0
-            if not single and known[i - 1] and (not known[i] or not self.bpe and best[i - 1] + self.floor > best[i]):
-                back[i], known[i], best[i] = (-1, 1), True, best[i - 1] + self.floor
+                if length == 1 and left < 0 or (pairs[left, piece] if (left, piece) in pairs else self._stays(left, piece)):
+                    last[i], size[i] = piece, length
+                    break
+            else:
+                if c not in self.id and last[i - 1] != -2:
+                    last[i], size[i] = -1, 1
+        return self._back(text, last, size)
+
+    def _segment_unigram(self, text: str) -> list[int]:
+        n = len(text)
+        last, size, best = [-2] * (n + 1), [0] * (n + 1), [-np.inf] * (n + 1)
+        last[0], best[0] = -1, 0.0
+        automaton, state = self.automaton, 0
+        for i, c in enumerate(text, 1):
+            to = automaton.taken.get((state, c))
+            state = automaton.step(state, c) if to is None else to
+            for piece, length in automaton.ending(state):
+                total = best[i - length] + self.score[piece]
+                if total > best[i]:
+                    best[i], last[i], size[i] = total, piece, length
+            if c not in self.id and best[i - 1] + self.floor > best[i]:
+                best[i], last[i], size[i] = best[i - 1] + self.floor, -1, 1
+        return self._back(text, last, size)
+
+    def _back(self, text: str, last: list[int], size: list[int]) -> list[int]:
         out: list[int] = []
-        i = n
+        i = len(text)
         while i:
-            piece, length = back[i]
+            piece, length = last[i], size[i]
             if piece >= 0:
                 out.append(piece)
             elif self.bytes:
@@ -175,19 +200,18 @@ class PieceModel:
             i -= length
         return out[::-1]
 
-    def _whole(self, piece: int) -> bool:
-        """Whether merging a piece's own characters gives the piece."""
-        got = self.pairs.get((-1, piece))
-        if got is None:
-            got = self.pairs[-1, piece] = len(self._merged(self.text[piece])) == 1
-        return got
+    def _parts(self, word: str) -> list[str]:
+        """A word cut wherever two characters stand side by side in no piece: nothing is ever merged over such a place."""
+        cuts = [i for i in range(1, len(word)) if word[i - 1 : i + 1] not in self.inner]
+        return [word] if not cuts else [word[a:b] for a, b in zip([0, *cuts], [*cuts, len(word)], strict=True)]
 
     def words(self, words: list[str]) -> list[tuple[int, ...]]:
         out = []
         for w in words:
             ids = self.cache.get(w)
             if ids is None:
-                ids = tuple(self.segment(w))
+                parts = self._parts(w)
+                ids = tuple(self.segment(w)) if len(parts) == 1 else tuple([x for p in self.words(parts) for x in p])
                 if len(w) < 64:
                     if len(self.cache) >= _CACHE:
                         self.cache.clear()
