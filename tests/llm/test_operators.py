@@ -94,6 +94,23 @@ def test_secret_spans(spark, odd):
     assert scan(df.limit(0)).count() == 0
 
 
+def test_entropy_recall_by_class(spark):
+    """Random keys of every class and length are found, whatever characters stand before them."""
+    import random
+    import string
+
+    from tidewire.llm.secrets import scan
+
+    rng, digits = random.Random(7), string.digits
+    alphabets = {"HEX": digits + "ABCDEF", "base32": string.ascii_uppercase + "234567", "lower": string.ascii_lowercase + digits, "base62": string.ascii_letters + digits}
+    made = [(f"{prefix}{k}:{n}", prefix + "".join(rng.choices(a, k=n))) for k, a in alphabets.items() for n in (20, 24, 32, 40) for prefix in ("", "KEY-") for _ in range(500)]
+    made += [("ghp", "ghp_16C7e42F292c6912E7710c838347Ae178B4a")]
+    found = scan(spark.createDataFrame(made, "kind string, text string")).groupBy("kind").agg(F.avg((F.size("all_spans") > 0).cast("double")).alias("r")).collect()
+    assert {row.kind: row.r for row in found if row.r < 0.95} == {}
+    plain = ["some-long-slug-of-words-here-part2-2024", "release/notes/2024-01-15/2024-02-16/v2", "theQuickBrownFoxJumpsOverTheLazyDog", "section_12_chapter_13_page_14b"]
+    assert scan(spark.createDataFrame([(p,) for p in plain], "text string")).where(F.size("all_spans") > 0).count() == 0
+
+
 # --- 2: near duplicates ----------------------------------------------------------------------------------------------------
 
 

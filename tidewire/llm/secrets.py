@@ -14,8 +14,9 @@ HEX = r"[0-9a-f]{16,}"
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 KINDS = ("assign", "access", "hex", "entropy")
 WINDOW = 20
-#: Least entropy, in bits, of a window by character class.
-LEAST = {"hex": 3.0, "mixed": 3.85}
+#: Least entropy, in bits, of a window by its own character class: the 1 % quantile of random strings of the class.
+#: "other" holds for windows without letters or digits, which random keys seldom have but words and numbers do.
+LEAST = {"hex": 2.9, "base32": 3.34, "single": 3.4, "mixed": 3.64, "other": 3.85}
 #: Candidates that are never secrets: single-class strings, identifiers with fixed layout, counting sequences,
 #: documentation keys, and slugs or paths of plain words.
 ALLOWED = (
@@ -27,6 +28,11 @@ ALLOWED = (
     r"^[/_=-]*[A-Z]?[a-z]+(?:[-_/=]+(?:[A-Z]?[a-z]+|[0-9]{1,6}))+[/_=-]*$",
 )
 _ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
+#: Characters a window is tallied by, a byte of a long each: the class follows from which tallies are zero.
+_TALLIED = (
+    str.isupper, str.islower, str.isdigit, lambda c: c.isalpha() and c.lower() > "f", lambda c: c.islower() or c in "0189", lambda c: not c.isalnum(),
+)
+_WEIGHTS = [0, *(sum(1 << 8 * k for k, f in enumerate(_TALLIED) if f(c)) for c in _ALPHABET)]
 _HIT = "array<struct<start:int,stop:int,value:string>>"
 _SPAN = "array<struct<start:int,rank:int,stop:int,kind:string>>"
 
@@ -60,20 +66,35 @@ def _named(hits: Column, rank: int) -> Column:
     return F.transform(hits, lambda h: F.struct(h["start"].alias("start"), F.lit(rank).alias("rank"), h["stop"].alias("stop"), F.lit(KINDS[rank]).alias("kind")))
 
 
+def _least(tally: Column) -> Column:
+    """Least entropy of a window from its tallies; separators belong to every class but that of one case and digits."""
+    upper, lower, digit, beyond_hex, beyond_32, separator = (F.shiftright(tally, 8 * k).bitwiseAND(F.lit(255)) for k in range(len(_TALLIED)))
+    return (
+        F.when((digit == 0) | (upper + lower == 0), F.lit(LEAST["other"]))
+        .when(beyond_hex == 0, F.lit(LEAST["hex"]))
+        .when(beyond_32 == 0, F.lit(LEAST["base32"]))
+        .when((upper > 0) & (lower > 0), F.lit(LEAST["mixed"]))
+        .when(separator == 0, F.lit(LEAST["single"]))
+        .otherwise(F.lit(LEAST["other"]))
+    )
+
+
 def entropy_runs(value: Column, window: int = WINDOW) -> Column:
     """Stretches of a candidate whose every window is at or above its class's least entropy, as (start, stop, value).
 
     One fold over the characters: each step adds the character that enters the window and removes the one that
     leaves, in an array of counts and in the running sum of n log2 n; entropy is log2(window) - sum / window.
+    The class is that of the window, so a prefix of other characters raises no bound but its own; a candidate of
+    hex digits alone is lower-cased and hex throughout.
     """
     is_hex = value.rlike(r"^[0-9a-fA-F+/_=-]*$")
     chars = F.transform(F.split(F.when(is_hex, F.lower(value)).otherwise(value), ""), lambda c: F.instr(F.lit(_ALPHABET), c))
     chars = F.filter(chars, lambda c: c > 0)
-    least = F.when(is_hex, F.lit(LEAST["hex"])).otherwise(F.lit(LEAST["mixed"])) - F.lit(1e-9)
+    weight = lambda c: F.element_at(F.array(*[F.lit(w).cast("long") for w in _WEIGHTS]), c + 1)
     terms = F.array(*[F.lit(0.0 if n < 2 else n * math.log2(n)) for n in range(window + 2)])
     term = lambda n: F.element_at(terms, n + 1)
     zero = F.struct(
-        F.array_repeat(F.lit(0), len(_ALPHABET)).alias("counts"), F.lit(0.0).alias("total"), F.lit(0).alias("at"),
+        F.array_repeat(F.lit(0), len(_ALPHABET)).alias("counts"), F.lit(0.0).alias("total"), F.lit(0).cast("long").alias("tally"), F.lit(0).alias("at"),
         F.lit(-1).alias("since"), _empty(_HIT).alias("out"),
     )
     paired = F.transform(chars, lambda c, i: F.struct(c.alias("enters"), F.when(i >= window, F.get(chars, i - window)).otherwise(F.lit(0)).alias("leaves")))
@@ -89,11 +110,13 @@ def entropy_runs(value: Column, window: int = WINDOW) -> Column:
             lambda v, k: v + F.when(k + 1 == c["enters"], F.lit(1)).otherwise(F.lit(0)) - F.when(k + 1 == c["leaves"], F.lit(1)).otherwise(F.lit(0)),
         )
         at = acc["at"] + 1
+        tally = acc["tally"] + weight(c["enters"]) - weight(c["leaves"])
+        least = F.when(is_hex, F.lit(LEAST["hex"])).otherwise(_least(tally)) - F.lit(1e-9)
         dense = (at >= window) & (F.lit(math.log2(window)) - total / window >= least)
         since = F.when(dense, F.when(acc["since"] >= 0, acc["since"]).otherwise(at - window)).otherwise(F.lit(-1))
         ended = ~dense & (acc["since"] >= 0)
         out = F.when(ended, F.concat(acc["out"], hit(acc["since"], acc["at"]))).otherwise(acc["out"])
-        return F.struct(counts.alias("counts"), total.alias("total"), at.alias("at"), since.alias("since"), out.alias("out"))
+        return F.struct(counts.alias("counts"), total.alias("total"), tally.alias("tally"), at.alias("at"), since.alias("since"), out.alias("out"))
 
     done = lambda acc: F.when(acc["since"] >= 0, F.concat(acc["out"], hit(acc["since"], acc["at"]))).otherwise(acc["out"])
     return F.aggregate(paired, zero, step, done)
