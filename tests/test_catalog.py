@@ -25,3 +25,10 @@ def test_matches_sql(spark, sf_dir, con, name):
 @pytest.mark.parametrize("name", ["client_ids", "pick_articles", "select_balanced", "story_clusters"])
 def test_runs(spark, sf_dir, name):
     assert catalog.queries()[name](spark, sf_dir).toPandas() is not None
+
+
+def test_balanced_pool_holds_every_order(spark, sf_dir, con):
+    """The best order of each day, of all orders, is among the day's picks."""
+    best = con.execute("select o_custkey % 40 as day, arg_max(o_orderkey, struct_pack(p := o_totalprice, k := -o_orderkey)) as id from orders group by 1").fetchall()
+    picked = {(r.day, r.id) for r in catalog.queries()["select_balanced"](spark, sf_dir).collect()}
+    assert len(best) == len({day for day, _ in picked}) and set(best) <= picked

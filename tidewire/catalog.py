@@ -419,22 +419,21 @@ t AS (SELECT *, row_number() OVER (PARTITION BY day, coalesce(theme_id, 'own:' |
 c AS (SELECT *, row_number() OVER (PARTITION BY day ORDER BY rank) AS place FROM t WHERE t = 1), k AS (SELECT * FROM c WHERE (final_score >= floor OR place <= 5) AND place <= 40)"""
 
 
-def _pool(spark, sf_dir):
-    o = _table(spark, sf_dir, "orders").where("o_orderkey % 50 < 10")
-    rows = o.select((F.col("o_custkey") % 40).alias("day"), F.col("o_orderkey").alias("id"), (F.col("o_totalprice") / 1000).alias("final_score"), F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("theme_"), (F.col("o_orderkey") % 7).cast("string"))).alias("theme_id"))
+def _pool(orders):
+    rows = orders.select((F.col("o_custkey") % 40).alias("day"), F.col("o_orderkey").alias("id"), (F.col("o_totalprice") / 1000).alias("final_score"), F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("theme_"), (F.col("o_orderkey") % 7).cast("string"))).alias("theme_id"))
     ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("day").orderBy(F.desc("final_score"), "id")))
     return selection.candidates(ranked)
 
 
 @query(f"WITH {_POOL} SELECT day, id, place FROM k")
 def candidates(spark, sf_dir):
-    return _pool(spark, sf_dir).select("day", "id", F.col("place").cast("long").alias("place"))
+    return _pool(_table(spark, sf_dir, "orders").where("o_orderkey % 50 < 10")).select("day", "id", F.col("place").cast("long").alias("place"))
 
 
 @query()
 def select_balanced(spark, sf_dir):
     names = F.array(*[F.lit(s) for s in SECTIONS])
-    pool = _pool(spark, sf_dir).withColumn("section", F.get(names, (F.col("id") % 7).cast("int")))
+    pool = _pool(_table(spark, sf_dir, "orders")).withColumn("section", F.get(names, (F.col("id") % 7).cast("int")))
     return selection.select_balanced(pool.select("day", "place", "id", "final_score", "section")).select("day", "id", "section")
 
 
