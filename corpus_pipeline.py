@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidewire.llm.common import shared_dir, table
+from tidewire.llm.common import materialise, shared_dir, table
 from tidewire.llm.near import near_duplicates
 from tidewire.llm.packing import pack
 from tidewire.llm.quality import quality_rules
@@ -28,12 +28,10 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class: the one with the least id. Rows without an id stay."""
-    kept = near_duplicates(docs).where("doc_id = class_id").select("doc_id").distinct()
-    first = docs.join(kept, "doc_id", "left_semi")
-    if docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
-        first = first.dropDuplicates(["doc_id"])  # whole rows move only where ids do repeat
-    return first.unionByName(docs.where("doc_id is null")).select(*COLUMNS)
+    """One row of each near-duplicate class: the one with the least id, or any where none has an id."""
+    numbered = materialise(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("__row")), shared_dir(spark))
+    kept = near_duplicates(numbered, row="__row").where("stays").select("__row")
+    return numbered.join(kept, "__row", "left_semi").select(*COLUMNS)
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

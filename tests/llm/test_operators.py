@@ -469,3 +469,23 @@ def test_pipeline_stages(spark, sf_dir, docs):
         before = after
     pieces = pipeline.STAGES[-1][1](spark, before, sf_dir)
     assert {r.doc_id for r in pieces.select("doc_id").distinct().collect()} == {r.doc_id for r in before.collect()}
+
+
+def test_pipeline_decides_by_row(spark, sf_dir):
+    """Unlike texts under one id both stay; copies and near copies go, with or without an id."""
+    import corpus_pipeline as pipeline
+
+    near = [text for _, text in near_rows()[:4]]
+    apart = [text for _, text in near_rows()[-3:]]
+    rows = [(7, near[0]), (7, apart[0]), (7, apart[0]), (8, near[1]), (None, near[2]), (None, apart[1]), (None, apart[1]), (None, apart[2])]
+    df = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r.doc_id, r.text) for r in pipeline.distinct(spark, df, sf_dir).collect()]
+    assert sorted(got, key=repr) == sorted([rows[0], rows[1], rows[5], rows[7]], key=repr)
+
+
+def test_near_duplicates_without_ids(spark):
+    from tidewire.llm.near import near_duplicates
+
+    rows = [(None, text) for _, text in near_rows()[:6]] + near_rows()[-2:]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r.doc_id, r.class_id, r.n_links) for r in got), key=repr) == classes(rows)

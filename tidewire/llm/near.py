@@ -159,8 +159,9 @@ def _forest(n: int, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]
 
 
 def near_duplicates(
-    docs: DataFrame, text: str = "text", shingle: int = 5, threshold: float = 0.8, trees: int = 16, deepest: int = 8, recall: float = 0.999, block: int = 768
-) -> DataFrame:
+    docs: DataFrame, text: str = "text", shingle: int = 5, threshold: float = 0.8, trees: int = 16, deepest: int = 8, recall: float = 0.999, block: int = 768,
+    row: str | None = None,
+) -> DataFrame:
     """doc_id, copy_id, class_id and n_links of every document, a row per row.
 
     Documents with equal shingle sets are copies: copy_id is their least id. Among the distinct sets, those that
@@ -168,13 +169,19 @@ def near_duplicates(
     blocks of about `block` sets, so that a group of near copies of any size spreads over many tasks and its pairs
     are counted, never written. class_id is the least id among all documents that links connect; n_links counts
     the other documents at or above the threshold. A text of fewer than `shingle` words is one shingle; texts
-    without words (nulls too) are copies of one another. Rows without an id take part with a null copy_id where
-    all their copies lack one. An empty table gives an empty result; other columns are ignored.
+    without words (nulls too) are copies of one another. Rows without an id take part like others, with a null copy_id
+    where all their copies lack one. An empty table gives an empty result; other columns are ignored.
+
+    Rows are known by a number of their own, as ids may repeat or lack. `row` names a column with such numbers; then it
+    is returned as well, with `stays`: true for one row a class, the first of its least id.
     """
     spark = docs.sparkSession
     depth = depth_for_recall(threshold, trees, deepest, recall)
     key = docs.schema["doc_id"].dataType.simpleString()
-    body = docs.select("doc_id", F.col(text).cast("string").alias("body"))
+    at = F.monotonically_increasing_id() if row is None else F.col(row)
+    body = docs.select("doc_id", F.col(text).cast("string").alias("body"), at.alias("at"))
+    if row is None:
+        body = materialise(body, shared_dir(spark))  # numbers are given once
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -183,11 +190,14 @@ def near_duplicates(
                 values, sizes = shingle_sets(strings.slice(lo, hi - lo), shingle)
                 prefixes = tree_keys(values, sizes, trees, deepest, depth)
                 blobs = [p.tobytes() if n else b"" for p, n in zip(prefixes, sizes.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(set_keys(values, sizes)), pa.array(blobs, pa.binary())], names=["doc_id", "node", "prefixes"])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), pa.array(set_keys(values, sizes)), pa.array(blobs, pa.binary())],
+                    names=["doc_id", "at", "node", "prefixes"],
+                )
 
-    signed = materialise(body.mapInArrow(sign, f"doc_id {key}, node long, prefixes binary"), shared_dir(spark))
+    signed = materialise(body.mapInArrow(sign, f"doc_id {key}, at long, node long, prefixes binary"), shared_dir(spark))
     # Any of a node's equal prefix lists will do; max() is one that partial aggregation can carry.
-    nodes = materialise(signed.groupBy("node").agg(F.min("doc_id").alias("copy_id"), F.count("*").alias("copies"), F.max("prefixes").alias("prefixes")), shared_dir(spark))
+    nodes = materialise(signed.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("lacks"), "doc_id", "at")).alias("first"), F.count("*").alias("copies"), F.max("prefixes").alias("prefixes")), shared_dir(spark))
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -197,7 +207,7 @@ def near_duplicates(
                 buckets = np.frombuffer(b"".join(p for _, p in some), np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(buckets), pa.array(np.repeat([n for n, _ in some], trees))], names=["bucket", "node"])
 
-    held = nodes.where("copy_id is not null").select("node", "prefixes").mapInArrow(spread, "bucket long, node long")
+    held = nodes.select("node", "prefixes").mapInArrow(spread, "bucket long, node long")
     heads = materialise(held.groupBy("bucket").agg(F.min("node").alias("head"), F.count("*").alias("n")).where("n > 1").select("bucket", "head"), shared_dir(spark))
     stars = held.join(_shuffled(heads), "bucket").where("node != head").select(F.col("node").alias("u"), F.col("head").alias("v")).distinct()
     grouped = components(materialise(stars, shared_dir(spark)))
@@ -205,13 +215,13 @@ def near_duplicates(
     total = sizes.agg(F.coalesce(F.sum(F.when(F.col("size") <= block, F.col("size"))), F.lit(0))).first()[0]
     units = max(1, math.ceil(total / block))
     blocks = F.ceil(F.col("size") / F.lit(block)).cast("int")
-    members = grouped.join(_shuffled(sizes), "label").join(_shuffled(nodes.select("node", "copy_id", "copies")), "node")
+    members = grouped.join(_shuffled(sizes), "label").join(_shuffled(nodes.select("node", "first.at", "copies")), "node")
     members = members.select(
-        "node", "copies", F.col("copy_id").alias("doc_id"), "label", blocks.alias("blocks"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("mine"),
+        "node", "copies", "at", "label", blocks.alias("blocks"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("mine"),
         F.pmod(F.xxhash64("label"), F.lit(units)).alias("unit"),
     )
     members = materialise(members, shared_dir(spark))
-    texts = members.join(_shuffled(body.where("doc_id is not null")), "doc_id").select("node", "copies", "label", "blocks", "mine", "unit", "body")
+    texts = members.join(_shuffled(body.drop("doc_id")), "at").select("node", "copies", "label", "blocks", "mine", "unit", "body")
 
     def prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -255,9 +265,14 @@ def near_duplicates(
     found = materialise(tasks.groupBy("big", "a", "b").applyInArrow(verify, "u long, v long, links long"), shared_dir(spark))
     counts = found.where("u = v").groupBy(F.col("u").alias("node")).agg(F.sum("links").alias("links"))
     classes = components(found.where("u != v").select("u", "v"))
-    least = materialise(classes.join(nodes.select("node", "copy_id"), "node").groupBy("label").agg(F.min("copy_id").alias("class_id")), shared_dir(spark))
-    placed = classes.join(least, "label").select("node", "class_id")
-    table = nodes.select("node", "copy_id", "copies").join(placed, "node", "left").join(counts, "node", "left")
-    table = table.select("node", "copy_id", F.coalesce("class_id", "copy_id").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    least = materialise(classes.join(nodes.select("node", "first"), "node").groupBy("label").agg(F.min("first").alias("least")), shared_dir(spark))
+    placed = classes.join(least, "label").select("node", "least")
+    table = nodes.select("node", "first", "copies").join(placed, "node", "left").join(counts, "node", "left")
+    table = table.withColumn("least", F.coalesce("least", "first"))
+    table = table.select(
+        "node", F.col("first.doc_id").alias("copy_id"), F.col("least.doc_id").alias("class_id"), F.col("least.at").alias("stay"),
+        (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"),
+    )
     table = materialise(table, shared_dir(spark))
-    return signed.select("doc_id", "node").join(_shuffled(table), "node").select("doc_id", "copy_id", "class_id", "n_links")
+    own = [] if row is None else [F.col("at").alias(row), (F.col("at") == F.col("stay")).alias("stays")]
+    return signed.select("doc_id", "at", "node").join(_shuffled(table), "node").select("doc_id", "copy_id", "class_id", "n_links", *own)
