@@ -19,10 +19,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """A fresh folder under spark.checkpoint.dir, which driver and executors share.
 
-    A folder is chosen here only where the session names none (local runs and tests).
+    A folder is chosen here only where the session names none and runs in one process (tests); on a cluster a local
+    folder would not be shared, so there the setting must be given.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="tidewire-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/tidewire-{uuid.uuid4().hex}"
@@ -35,6 +38,29 @@ def materialise(df: DataFrame, path: str, *partition_by: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Intermediate tables of one run, in shared storage; each is emptied once nothing reads it any more."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.root, self.held = spark, shared_dir(spark), {}
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        path = f"{self.root}/{uuid.uuid4().hex}"
+        out = materialise(df, path)
+        self.held[id(out)] = path, out
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Empty the tables' folders, by an overwrite with no rows: any store that Spark writes will do."""
+        for t in tables:
+            path, _ = self.held.pop(id(t))
+            self.spark.range(0).write.mode("overwrite").parquet(path)
+
+    def drop_all_but(self, *tables: DataFrame) -> None:
+        keep = {id(t) for t in tables}
+        self.drop(*(t for k, (_, t) in list(self.held.items()) if k not in keep))
+
+
 def fold_of(doc_id: Column) -> Column:
     """crc32 of the id's text, modulo 5; a null id counts as the empty text."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(5)).cast("int")

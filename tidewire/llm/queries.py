@@ -39,7 +39,10 @@ def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Page outcomes come from `labels`, whose doc_id is read as the page's id: quality 0 is a bad page."""
+    """Page outcomes come from `labels`, whose doc_id is read as the page's id: quality 0 is a bad page.
+
+    A host is blocked if the lower 95 % bound of its bad share exceeds 1.5 times the overall share.
+    """
     from tidewire.llm.reputation import url_filter
 
     outcomes = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), (1 - F.col("quality")).alias("bad"))
@@ -92,17 +95,24 @@ _URL_FILTERS = r"""WITH p AS (SELECT page_id, translate(coalesce(regexp_extract(
 coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path FROM pages),
 o AS (SELECT doc_id AS page_id, max(1 - quality) AS bad FROM labels WHERE quality IN (0, 1) GROUP BY 1),
 h AS (SELECT host, count(bad) AS n, coalesce(sum(bad), 0) AS bad FROM p LEFT JOIN o USING (page_id) GROUP BY 1),
-s AS (SELECT *, string_split(host, '.') AS parts, list_contains(['co.uk', 'org.uk', 'ac.uk', 'com.au', 'net.au', 'org.au', 'co.jp', 'co.nz', 'com.br', 'co.za', 'co.in', 'com.mx'], array_to_string(string_split(host, '.')[-2:], '.')) AS pair FROM h),
-d AS (SELECT host, n, bad, array_to_string(parts[CASE WHEN pair THEN -3 ELSE -2 END:], '.') AS domain, array_to_string(parts[CASE WHEN pair THEN -2 ELSE -1 END:], '.') AS suffix FROM s),
-t AS (SELECT sum(n) AS n, sum(bad) AS bad, sum(n) FILTER (WHERE n > 1) AS m, sum(bad * bad / n) FILTER (WHERE n > 1) AS square, sum(bad) FILTER (WHERE n > 1) AS multi, count(*) FILTER (WHERE n > 1) AS hosts FROM h),
-b AS (SELECT (bad + 0.5) / (n + 1.0) AS mean, hosts, multi / m AS share, (square - m * (multi / m) * (multi / m) - (hosts - 1) * (multi / m) * (1 - multi / m)) / greatest(1.0, m) AS spread FROM t),
-w AS (SELECT mean, CASE WHEN coalesce(hosts, 0) < 2 OR spread IS NULL OR spread <= 0 THEN 200.0 ELSE least(200.0, greatest(2.0, share * (1 - share) / spread - 1)) END AS weight FROM b),
-x AS (SELECT suffix, (sum(bad) + any_value(weight) * any_value(mean)) / (sum(n) + any_value(weight)) AS suffix_mean FROM d, w GROUP BY 1),
-y AS (SELECT domain, (sum(bad) + any_value(weight) * any_value(suffix_mean)) / (sum(n) + any_value(weight)) AS domain_mean FROM d JOIN x USING (suffix), w GROUP BY domain),
-z AS (SELECT host, (bad + weight * domain_mean) / (n + weight) AS q, n + weight AS size FROM d JOIN y USING (domain), w),
-r AS (SELECT page_id, host, path, q - 1.645 * sqrt(q * (1 - q) / (size + 1)) AS lower_bound, host = 'org' OR host LIKE '%.org' AS org, host = 'com' OR host LIKE '%.com' AS com, host = 'example.org' OR host LIKE '%.example.org' AS own FROM p JOIN z USING (host)),
+s AS (SELECT *, regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', '') AS bare FROM h),
+e AS (SELECT *, string_split(bare, '.') AS parts, regexp_matches(bare, '^[0-9.]+$|^\[') AS whole, list_contains(['co.uk', 'org.uk', 'ac.uk', 'com.au', 'net.au', 'org.au', 'co.jp', 'co.nz', 'com.br', 'co.za', 'co.in', 'com.mx'], array_to_string(string_split(bare, '.')[-2:], '.')) AS pair FROM s),
+d AS (SELECT host, n, bad, CASE WHEN whole THEN bare ELSE array_to_string(parts[CASE WHEN pair THEN -3 ELSE -2 END:], '.') END AS domain, CASE WHEN whole THEN bare ELSE array_to_string(parts[CASE WHEN pair THEN -2 ELSE -1 END:], '.') END AS suffix FROM e),
+b AS (SELECT (coalesce(sum(bad), 0) + 0.5) / (coalesce(sum(n), 0) + 1.0) AS mean FROM h),
+x1 AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad, any_value(mean) AS m FROM d, b GROUP BY 1),
+w1 AS (SELECT CASE WHEN coalesce(sum(m * (1 - m) * (n - 1)), 0) = 0 OR sum(pow(bad - n * m, 2) / n - m * (1 - m)) <= 0 THEN 200.0 ELSE least(200.0, greatest(2.0, sum(m * (1 - m) * (n - 1)) / sum(pow(bad - n * m, 2) / n - m * (1 - m)) - 1)) END AS w FROM x1 WHERE n > 0),
+x2 AS (SELECT domain, sum(d.n) AS n, sum(d.bad) AS bad, any_value((x1.bad + w * m) / (x1.n + w)) AS m FROM d JOIN x1 USING (suffix), w1 GROUP BY domain, suffix),
+w2 AS (SELECT CASE WHEN coalesce(sum(m * (1 - m) * (n - 1)), 0) = 0 OR sum(pow(bad - n * m, 2) / n - m * (1 - m)) <= 0 THEN 200.0 ELSE least(200.0, greatest(2.0, sum(m * (1 - m) * (n - 1)) / sum(pow(bad - n * m, 2) / n - m * (1 - m)) - 1)) END AS w FROM x2 WHERE n > 0),
+x3 AS (SELECT host, d.n, d.bad, (x2.bad + w * m) / (x2.n + w) AS m FROM d JOIN x2 USING (domain), w2),
+w3 AS (SELECT CASE WHEN coalesce(sum(m * (1 - m) * (n - 1)), 0) = 0 OR sum(pow(bad - n * m, 2) / n - m * (1 - m)) <= 0 THEN 200.0 ELSE least(200.0, greatest(2.0, sum(m * (1 - m) * (n - 1)) / sum(pow(bad - n * m, 2) / n - m * (1 - m)) - 1)) END AS w FROM x3 WHERE n > 0),
+y AS (SELECT host, bad + w * m AS alpha, n - bad + w * (1 - m) AS beta, least(0.99, 1.5 * mean) AS lim FROM x3, w3, b),
+z0 AS (SELECT *, ln(alpha / beta) AS peak, greatest(12 * sqrt(1 / alpha + 1 / beta), 40 / alpha) AS down, greatest(12 * sqrt(1 / alpha + 1 / beta), 40 / beta) AS up FROM y),
+z1 AS (SELECT *, [peak - down + (up + down) * (i + 0.5) / 8000 FOR i IN range(8000)] AS grid FROM z0),
+z2 AS (SELECT host, list_sum([CASE WHEN t > ln(lim / (1 - lim)) THEN exp(alpha * (t - peak) - (alpha + beta) * (ln(1 + exp(-abs(t))) + greatest(t, 0) - ln(1 + exp(-abs(peak))) - greatest(peak, 0))) ELSE 0 END FOR t IN grid])
+/ list_sum([exp(alpha * (t - peak) - (alpha + beta) * (ln(1 + exp(-abs(t))) + greatest(t, 0) - ln(1 + exp(-abs(peak))) - greatest(peak, 0))) FOR t IN grid]) > 0.95 AS over FROM z1),
+r AS (SELECT page_id, host, path, over, host = 'org' OR host LIKE '%.org' AS org, host = 'com' OR host LIKE '%.com' AS com, host = 'example.org' OR host LIKE '%.example.org' AS own FROM p JOIN z2 USING (host)),
 v AS (SELECT *, CASE WHEN own AND path LIKE '/en/1%' THEN 'example.org/en/1' WHEN own AND path LIKE '/es/%' THEN 'example.org/es/' WHEN com AND path LIKE '/fr/%' THEN 'com/fr/' WHEN com AND path LIKE '/de/%' THEN 'com/de/' WHEN org AND path LIKE '/%' THEN 'org/' END AS rule FROM r)
-SELECT page_id, host, path, rule, CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' WHEN lower_bound > 0.2 THEN 'block' ELSE 'allow' END AS verdict FROM v"""
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' WHEN over THEN 'block' ELSE 'allow' END AS verdict FROM v"""
 
 
 def oracle_sql() -> dict[str, str]:
