@@ -62,7 +62,7 @@ def entropy_runs(value):
 
 
 def spans(body):
-    from tidewire.llm.secrets import ALLOWED, ASSIGN, CANDIDATE
+    from tidewire.llm.secrets import ALLOWED, ASSIGN, CANDIDATE, PLACEHOLDER_RUN, PLACEHOLDERS
 
     base = [(m.start(), 0, m.end(), "assign") for m in re.finditer(ASSIGN, body) if len(m[2]) >= 12]
     base += [(m.start(), 1, m.end(), "access") for m in re.finditer("AKIA[A-Z0-9]+", body) if len(m[0]) >= 18]
@@ -70,8 +70,9 @@ def spans(body):
     more = []
     for m in re.finditer(CANDIDATE, body):
         if not any(re.search(p, m[0]) for p in ALLOWED):
-            more += [(m.start() + a, 3, m.start() + b, "entropy") for a, b in entropy_runs(m[0])]
-    more = [e for e in more if not any(b[0] < e[2] and e[0] < b[2] for b in base)]
+            runs = [(a, b) for a, b in entropy_runs(m[0]) if b - a > PLACEHOLDER_RUN or not any(re.search(p, m[0][a:b]) for p in PLACEHOLDERS)]
+            more += [(m.start() + a, 3, m.start() + b, "entropy") for a, b in runs]
+    more = [e for e in more if not any(b[0] <= e[0] and e[2] <= b[2] for b in base)] if len(more) < 1000 else more
     return ",".join(f"{k}:{a}:{b}" for a, _, b, k in sorted(base + more))
 
 
@@ -94,6 +95,25 @@ def test_secret_spans(spark, odd):
     assert scan(df.limit(0)).count() == 0
 
 
+def test_secrets_around_base_spans(spark):
+    """A base span inside a random key leaves nothing of the key; clashing columns; tens of thousands of hits in one text."""
+    import random
+    import string
+
+    from tidewire.llm.secrets import redacted, scan, spelled
+
+    rng = random.Random(3)
+    key = "".join(rng.choices(string.ascii_letters + string.digits, k=30)) + "0f1e2d3c4b5a69788796" + "".join(rng.choices(string.ascii_letters + string.digits, k=26))
+    many = " ".join(f"é{i} dddddddd{i:012x}" for i in range(30_000))
+    df = spark.createDataFrame([(1, f"a {key} b"), (2, many), (3, None), (3, None)], "doc_id long, text string")
+    df = df.withColumn("base_spans", F.lit("clash")).withColumn("all_spans", F.lit(1)).withColumn("spans", F.lit("s")).withColumn("__entropy", F.lit("mine"))
+    rows = scan(df).select("doc_id", "__entropy", spelled(F.col("all_spans")).alias("s"), redacted(F.coalesce("text", F.lit("")), F.col("all_spans")).alias("r")).collect()
+    got = {r.doc_id: r for r in rows}
+    assert len(rows) == 4 and got[1].s == spans(f"a {key} b") and got[1]["__entropy"] == "mine" and "entropy" in got[1].s
+    assert all(part not in got[1].r for part in (key[i : i + 8] for i in range(len(key) - 8))) and got[1].r.startswith("a [SECRET]") and got[1].r.endswith("b")
+    assert got[2].s == spans(many) and got[2].r == " ".join(f"é{i} [SECRET]" for i in range(30_000)) and got[3].s == ""
+
+
 def test_entropy_recall_by_class(spark):
     """Random keys of every class and length are found, whatever characters stand before them."""
     import random
@@ -156,8 +176,47 @@ def test_near_duplicates_match_brute_force(spark, odd):
 
     rows = [(r.doc_id, r.text) for r in odd.collect()] + near_rows()
     df = odd.select("doc_id", "text", "node", "label").unionByName(spark.createDataFrame(near_rows(), "doc_id long, text string"), allowMissingColumns=True)
-    got = near_duplicates(df, block=32).collect()
-    assert sorted(((r.doc_id, r.class_id, r.n_links) for r in got), key=repr) == classes(rows)
+    for limits in ({"block": 32}, {"block_bytes": 4096}):
+        got = near_duplicates(df, **limits).collect()
+        assert sorted(((r.doc_id, r.class_id, r.n_links) for r in got), key=repr) == classes(rows)
+
+
+def test_crowded_subtrees_keep_the_recall(spark):
+    """Prefixes in crowded subtrees are shortened only as far as needed, and pairs are found once each."""
+    from tidewire.llm.near import near_duplicates
+
+    rng = np.random.default_rng(8)
+    words, shared = [f"w{i}" for i in range(3000)], [f"s{i}" for i in range(400)]
+    rows = []
+    for i in range(120):  # half of each text is shared by all; every second text has a near copy
+        own = [words[k] for k in rng.integers(0, 3000, 130)]
+        rows.append((i, " ".join(shared + own)))
+        if i % 2:
+            own[int(rng.integers(5, 125))] = f"zz{i}"
+            rows.append((1000 + i, " ".join(shared + own)))
+    want = classes(rows)
+    got = sorted(((r.doc_id, r.class_id, r.n_links) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), crowded=8).collect()), key=repr)
+    linked = sum(n for _, _, n in want)
+    assert linked > 100 and all(g[2] <= w[2] for g, w in zip(got, want, strict=True)) and sum(n for _, _, n in got) >= 0.98 * linked
+
+
+def test_prefixes_and_meetings():
+    from tidewire.llm.near import labels, meet, prefix_keys, shortened
+
+    rng = np.random.default_rng(1)
+    sets = [np.unique(rng.integers(0, 400, 60).astype(np.uint64)) for _ in range(60)]
+    sets += [s[1:] for s in sets]
+    signs = labels(np.concatenate(sets), np.array([len(s) for s in sets]), 16, 4, 8)
+    for d in range(4, 9):
+        keys = prefix_keys(signs, np.full(signs.shape[:2], d), 4)
+        for a, b in ((0, 60), (1, 61), (2, 3), (5, 5)):
+            together = meet(signs[a], signs[b], np.full(16, d), np.full(16, 8), 4)
+            assert (together == (keys[a] == keys[b])).all()
+    assert shortened(np.ones((16, 5), np.int64), 4, 8, 0.8, 0.999, 256).tolist() == [4] * 16
+    crowds = np.tile(np.array([9000, 4000, 300, 20, 1]), (16, 1))
+    assert shortened(crowds, 4, 8, 0.8, 0.99, 256).max() > 4
+    depth = shortened(crowds, 4, 8, 0.8, 0.999, 256)
+    assert 1 - np.prod(1 - 0.8**depth) >= 0.999 and (depth <= 7).all()
 
 
 def test_near_duplicates_of_nothing(odd):
@@ -232,6 +291,68 @@ def test_url_rules(spark):
     assert url_filter(pages.limit(0), outcomes.limit(0)).count() == 0
 
 
+def test_reputation_shrinks_level_by_level(spark):
+    """Posteriors against a plain version with numeric integration; hosts of a bad domain are blocked, odd ones spared."""
+    from tidewire.llm.reputation import beta_cdf, domain_of, reputation, suffix_of
+
+    rng = np.random.default_rng(3)
+    hosts = [(f"h{i}.d{i % 20}.{'net' if i % 2 else 'co.uk'}", int(n), int(rng.binomial(n, 0.7 if i % 20 == 3 else 0.1))) for i, n in enumerate(rng.integers(0, 60, 200))]
+    hosts += [("10.0.0.1", 30, 29), ("10.0.0.2", 30, 0), ("localhost", 5, 1), ("", 0, 0), ("u@x.d3.net:8080", 2, 1)]
+    got = {r.host: r for r in reputation(spark.createDataFrame(hosts, "host string, n long, bad long")).collect()}
+    parts = {h: (".".join(b.split(".")[-2:]) if b.endswith("co.uk") else b.split(".")[-1]) if not re.fullmatch("[0-9.]+", b) else b for h, b in ((h, re.sub("^.*@|:[0-9]*$", "", h)) for h, _, _ in hosts)}
+    domain = {h: b if re.fullmatch("[0-9.]+", b) else ".".join(b.split(".")[-(3 if b.endswith("co.uk") else 2):]) for h, b in ((h, re.sub("^.*@|:[0-9]*$", "", h)) for h, _, _ in hosts)}
+
+    def level(of, prior):
+        n, bad = collections.Counter(), collections.Counter()
+        for h, k, b in hosts:
+            n[of[h]] += k
+            bad[of[h]] += b
+        up = {of[h]: prior[h] for h, _, _ in hosts}
+        room = sum(up[g] * (1 - up[g]) * (n[g] - 1) for g in n if n[g])
+        beyond = sum((bad[g] - n[g] * up[g]) ** 2 / n[g] - up[g] * (1 - up[g]) for g in n if n[g])
+        w = 200.0 if beyond <= 0 else min(200.0, max(2.0, room / beyond - 1))
+        return {h: (bad[of[h]] + w * prior[h]) / (n[of[h]] + w) for h, _, _ in hosts}, w
+
+    mean = (sum(b for _, _, b in hosts) + 0.5) / (sum(n for _, n, _ in hosts) + 1)
+    means, _ = level(parts, {h: mean for h, _, _ in hosts})
+    means, _ = level(domain, means)
+    own, w = level({h: h for h, _, _ in hosts}, means)
+    for h, n, b in hosts:
+        assert got[h]["mean"] == pytest.approx(own[h]) and got[h].alpha == pytest.approx(b + w * means[h])
+        t = np.linspace(-60, 60, 60_001)
+        t = 1 / (1 + np.exp(-t))
+        dense = got[h].alpha * np.log(t) + got[h].beta * np.log1p(-np.minimum(t, 1 - 1e-16))
+        dense = np.exp(dense - dense.max())
+        assert got[h].above == pytest.approx(dense[t > 1.5 * mean].sum() / dense.sum(), abs=2e-3)
+    over = {h for h, r in got.items() if r.over}
+    assert "10.0.0.1" in over and "10.0.0.2" not in over and any(domain[h].startswith("d3.") for h in over) and sum(domain[h].startswith("d3.") for h in over) >= len(over) - 5
+    assert beta_cdf(0.5, np.array([1.0, 3.0]), np.array([1.0, 3.0])) == pytest.approx([0.5, 0.5])
+    assert reputation(spark.createDataFrame([], "host string, n long, bad long")).count() == 0
+    names = ("*.ck", "!www.ck", "a.b.jp")
+    cases = spark.createDataFrame([(h,) for h in ("x.y.co.ck", "z.www.ck", "q.p.a.b.jp", "com", "[::1]:80")], "host string").select("host", domain_of(F.col("host"), names).alias("d"), suffix_of(F.col("host"), names).alias("s"))
+    assert {(r.host, r.d, r.s) for r in cases.collect()} == {("x.y.co.ck", "y.co.ck", "co.ck"), ("z.www.ck", "www.ck", "ck"), ("q.p.a.b.jp", "p.a.b.jp", "a.b.jp"), ("com", "com", "com"), ("[::1]:80", "[::1]", "[::1]")}
+
+
+def test_url_filter_matches_sql(spark):
+    """The registered query's SQL, on outcomes that block some hosts and spare others."""
+    import duckdb
+
+    from tidewire.llm.queries import oracle_sql
+    from tidewire.llm.reputation import url_filter
+
+    rng = np.random.default_rng(9)
+    rows = [(i, f"http://h{i % 30}.d{i % 10}.{('net', 'co.uk', 'info')[i % 3]}/p/{i}") for i in range(900)] + [(None, "http://h1.d1.co.uk/x"), (3, "http://h3.d3.net/twice"), (2000, None), (2001, "http://10.1.1.1/x")]
+    labels = [(i, int(rng.random() > (0.8 if i % 30 in (8, 18) else 0.1))) for i in range(0, 900, 2)] + [(4, 0), (None, 0), (2001, 0), (6, None)]
+    pages, labelled = spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame(labels, "doc_id long, quality int")
+    got = sorted((tuple(r) for r in url_filter(pages.withColumn("host", F.lit("clash")).withColumn("over", F.lit(1)), labelled.select(F.col("doc_id").alias("page_id"), (1 - F.col("quality")).alias("bad"))).collect()), key=repr)
+    con = duckdb.connect()
+    con.register("pages", pa.table({"page_id": [r[0] for r in rows], "url": [r[1] for r in rows]}))
+    con.register("labels", pa.table({"doc_id": [r[0] for r in labels], "quality": [r[1] for r in labels]}))
+    assert got == sorted(con.execute(oracle_sql()["op4_url_filters"]).fetchall(), key=repr)
+    blocked = {r[1] for r in got if r[4] == "block"}
+    assert 0 < len(blocked) < 5 and {"h8.d8.info", "h18.d8.net"} & blocked
+
+
 # --- 5: FLAC ---------------------------------------------------------------------------------------------------------------
 
 
@@ -375,10 +496,35 @@ def test_pieces_match_library(tmp_path, docs):
 
 
 def test_pieces_odd(odd):
-    from tidewire.llm.pieces import encode_pieces
+    from tidewire.llm.pieces import decode_pieces, encode_pieces
+
+    coded = encode_pieces(odd, path("piece_bpe_32k.model"), keep_ids=True)
+    rows = coded.collect()
+    assert len(rows) == len(ODD) and all(r.round_trip and len(r.ids) == r.n_pieces for r in rows)
+    back = decode_pieces(coded.withColumn("text", F.lit("clash")), path("piece_bpe_32k.model")).collect()
+    assert sorted(((r.doc_id, r.text) for r in back), key=repr) == sorted(((k, t or "") for k, t, _ in ODD), key=repr)
+    assert decode_pieces(coded.limit(0), path("piece_bpe_32k.model")).count() == 0 and encode_pieces(odd.limit(0), path("piece_bpe_32k.model")).count() == 0
+    none = coded.select("doc_id", F.lit(None).cast("array<int>").alias("ids")).limit(1)
+    assert decode_pieces(none, path("piece_bpe_32k.model")).first().text == ""
+
+
+def test_pieces_stay_as_merging_says():
+    """Pairs told from merge trees equal pairs told by merging their text; very long words go alone."""
+    import sentencepiece
+
+    from tidewire.llm.pieces import PieceModel
 
-    rows = encode_pieces(odd, path("piece_bpe_32k.model")).collect()
-    assert len(rows) == len(ODD) and all(r.round_trip for r in rows)
+    model, rng = PieceModel(path("piece_bpe_32k.model")), np.random.default_rng(5)
+    ids = np.array(list(model.id.values()), np.int32)
+    left, right = rng.choice(ids, 4000), rng.choice(ids, 4000)
+    near = sorted(model.text)[:: len(model.text) // 300]
+    left, right = np.append(left, [model.id[p[:-1]] for p in near if p in model.id and p[:-1] in model.id]), np.append(right, [model.id[p[-1]] for p in near if p in model.id and p[:-1] in model.id])
+    for a, b, got in zip(left.tolist(), right.tolist(), model.stays(left.astype(np.int32), right.astype(np.int32)).tolist(), strict=True):
+        assert got == (model.merged(model.text[a] + model.text[b]) == [model.text[a], model.text[b]])
+    texts = ["a b", "ab" * 700 + " c " + "日x\n" * 400, "d", "lengthy" * 60, ""]
+    flat, n = model.encode(pa.array(texts))
+    want = sentencepiece.SentencePieceProcessor(model_file=path("piece_bpe_32k.model")).encode(texts)
+    assert [p.tolist() for p in np.split(flat, np.cumsum(n)[:-1])] == want
 
 
 # --- 7, 9: classifiers -----------------------------------------------------------------------------------------------------
