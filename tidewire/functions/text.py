@@ -26,10 +26,13 @@ per che nel nella sobre entre
 )
 
 
+_HANGUL = range(0xAC00, 0xD7A4)
+
+
 def _fold_tables() -> tuple[str, str, dict[str, str]]:
     """Letters that lose their marks one for one, and those that unfold into several, by Unicode's own rule."""
     one, to, many = [], [], {}
-    for code in [*range(0xA0, 0x250), *range(0x370, 0x400), *range(0x1E00, 0x2000), *range(0xFB00, 0xFB07), *range(0xFF01, 0xFF5F)]:
+    for code in [*range(0xA0, 0xAC00), *range(0xF900, 0x10000)]:
         c = chr(code)
         plain = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.category(x).startswith("M"))
         if plain == c or not c.isalnum():
@@ -37,23 +40,57 @@ def _fold_tables() -> tuple[str, str, dict[str, str]]:
         if len(plain) == 1:
             one.append(c)
             to.append(plain)
-        elif plain.isalpha() and code >= 0xFB00:
+        elif plain:
             many[c] = plain
     return "".join(one), "".join(to), many
 
 
+def _composed_pairs() -> dict[str, str]:
+    """Letter and mark that are written as one letter when composed, by Unicode's own rule."""
+    out = {}
+    for code in range(0xC0, 0x10000):
+        pair = unicodedata.normalize("NFD", chr(code)) if code not in _HANGUL and not 0xD800 <= code < 0xE000 else ""
+        for cut in range(1, len(pair)):
+            left, right = unicodedata.normalize("NFC", pair[:cut]), pair[cut:]
+            if len(left) == 1 and len(right) == 1 and unicodedata.normalize("NFC", left + right) == chr(code):
+                out[left + right] = chr(code)
+    return out
+
+
 _ONE, _TO, _MANY = _fold_tables()
+_PAIRS = _composed_pairs()
 SPACE = r"[\s   -     　﻿]"
 
 
+def _literal_map(items: dict[str, str]) -> Column:
+    return F.map_from_arrays(F.array(*[F.lit(k) for k in items]), F.array(*[F.lit(v) for v in items.values()]))
+
+
+def compose(text: Column) -> Column:
+    """Letters and the marks after them as single letters, where there is one; texts without marks stay as they are."""
+    known = _literal_map(_PAIRS)
+    join = lambda acc, c: F.coalesce(F.try_element_at(known, F.concat(acc, c)), F.concat(acc, c))
+    one = lambda cluster: F.when(F.length(cluster) > 1, F.aggregate(F.filter(F.split(cluster, ""), lambda c: c != ""), F.lit(""), join)).otherwise(cluster)
+    return F.when(text.rlike(r"\p{M}"), F.array_join(F.transform(F.split(text, r"(?=\P{M})"), one), "")).otherwise(text)
+
+
+def _utf16(code: Column) -> Column:
+    return F.decode(F.unhex(F.lpad(F.hex(code), 4, F.lit("0"))), "UTF-16BE")
+
+
+def _unfolded(c: Column) -> Column:
+    """One character, taken apart: compatibility letters by the table, Hangul syllables into their letters by rule."""
+    at = F.ascii(c).cast("long") - _HANGUL.start
+    tail = F.when(at % 28 > 0, _utf16(0x11A7 + at % 28)).otherwise(F.lit(""))
+    syllable = F.concat(_utf16(0x1100 + F.floor(at / 588)), _utf16(0x1161 + F.floor((at % 588) / 28)), tail)
+    return F.when((at >= 0) & (at < len(_HANGUL)), syllable).otherwise(F.coalesce(F.try_element_at(_literal_map(_MANY), c), c))
+
+
 def fold(text: Column) -> Column:
     """Without accents: compatibility forms unfolded, marks dropped."""
     out = F.translate(text, _ONE, _TO)
-    many = "".join(_MANY)
-    unfolded = out
-    for c, plain in _MANY.items():
-        unfolded = F.replace(unfolded, F.lit(c), F.lit(plain))
-    out = F.when(out.rlike(f"[{many}]"), unfolded).otherwise(out)
+    rare = out.rlike(f"[{''.join(_MANY)}\uac00-\ud7a3]")
+    out = F.when(rare, F.array_join(F.transform(F.split(out, ""), _unfolded), "")).otherwise(out)
     return F.regexp_replace(out, r"\p{M}+", "")
 
 
@@ -83,7 +120,7 @@ def stem(token: Column) -> Column:
 
 def tokens(headline: Column) -> Column:
     """array<struct<surface, stem>>: words of a headline, with what matching compares."""
-    body = F.regexp_replace(F.lower(F.coalesce(headline, F.lit(""))), r"['’]s(?![A-Za-z0-9_])", "")
+    body = F.regexp_replace(F.lower(compose(F.coalesce(headline, F.lit("")))), r"['’]s(?![A-Za-z0-9_])", "")
     words = F.filter(F.split(body, r"[^\p{L}\p{N}]+"), lambda w: w != "")
     stop = F.array(*[F.lit(w) for w in STOPWORDS])
     keyed = F.transform(words, lambda w: F.named_struct(F.lit("surface"), w, F.lit("key"), fold(w)))
@@ -173,6 +210,11 @@ def _decoded(value: Column, pattern: str, base: int) -> Column:
     return F.when(value.rlike(pattern), F.array_join(glued, "")).otherwise(value)
 
 
+def parse_list(value: Column) -> Column:
+    """The strings of a JSON array; anything else is an empty list."""
+    return F.coalesce(F.from_json(value, "array<string>"), F.array().cast("array<string>"))
+
+
 def story_title(title: Column, headline: Column, label: Column) -> Column:
     first = F.get(label, F.lit(0))
     capital = F.concat(F.upper(F.substring(first, 1, 1)), F.substring(first, F.lit(2), F.length(first)))
