@@ -165,20 +165,20 @@ def archivable(spark, sf_dir):
     return store.archivable(_articles(spark, sf_dir), "2024-01-08").select("seq")
 
 
-@query(f"WITH {_A} SELECT seq, title, CAST(NULL AS VARCHAR) AS lang FROM a WHERE seq % 3 = 0 UNION ALL BY NAME SELECT seq, lang, title FROM a WHERE seq % 2 = 0 AND seq % 3 <> 0")
+@query(f"WITH {_A} SELECT seq, title, CAST(NULL AS VARCHAR) AS lang FROM a WHERE seq % 3 = 0 UNION ALL BY NAME SELECT seq, lang, title FROM a WHERE seq % 3 <> 0")
 def archive_union_by_name(spark, sf_dir):
     a = _articles(spark, sf_dir)
-    cold, fresh = a.where("seq % 3 = 0").select("seq", "title"), a.where("seq % 2 = 0").select("lang", "title", "seq")
+    cold, fresh = a.where("seq % 3 = 0").select("seq", "title"), a.where("seq % 3 <> 0 or seq % 2 = 0").select("lang", "title", "seq")
     return store.merge_archive(cold, fresh, "seq").select("seq", "title", "lang")
 
 
-_LINKS = "t AS (SELECT 'topic_' || seq AS id, day AS topic_date, title, seq FROM a WHERE seq % 7 = 0), l AS (SELECT 'topic_' || seq AS topic_id, seq AS url_hash FROM a WHERE seq % 14 = 0)"
+_LINKS = "t AS (SELECT 'topic_' || seq AS id, day AS topic_date, title, seq FROM a), l AS (SELECT 'topic_' || seq AS topic_id, seq AS url_hash FROM a WHERE seq % 2 = 0)"
 
 
 def _linked(spark, sf_dir):
     a = _articles(spark, sf_dir).select("seq", F.col("seq").alias("url_hash"), "title", "day")
-    made = a.where("seq % 7 = 0").select(F.concat(F.lit("topic_"), "seq").alias("id"), F.col("day").alias("topic_date"), F.array("title").alias("sample_headlines"))
-    return a, made, a.where("seq % 14 = 0").select(F.concat(F.lit("topic_"), "seq").alias("topic_id"), "url_hash")
+    made = a.select(F.concat(F.lit("topic_"), "seq").alias("id"), F.col("day").alias("topic_date"), F.array("title").alias("sample_headlines"))
+    return a, made, a.where("seq % 2 = 0").select(F.concat(F.lit("topic_"), "seq").alias("topic_id"), "url_hash")
 
 
 @query(f"WITH {_A}, {_LINKS} SELECT CAST(topic_date AS VARCHAR) AS topic_date, count(DISTINCT id) AS broken FROM t LEFT JOIN l ON l.topic_id = t.id WHERE l.topic_id IS NULL GROUP BY 1")
@@ -274,11 +274,6 @@ def future_clamp(spark, sf_dir):
     return _table(spark, sf_dir, "events").select("event_id", F.date_format(values.publication_time(p, f), "yyyy-MM-dd HH:mm:ss").alias("published"))
 
 
-@query()
-def client_ids(spark, sf_dir):
-    return _table(spark, sf_dir, "customer").select("c_custkey", values.fnv1a(F.col("c_name")).alias("client_id"))
-
-
 # --- text analytics -------------------------------------------------------------------------------------------------------
 
 
@@ -414,7 +409,7 @@ def topic_rank(spark, sf_dir):
 
 
 _POOL = """r AS (SELECT o_custkey % 40 AS day, o_orderkey AS id, o_totalprice / 1000 AS final_score, CASE WHEN o_orderkey % 3 = 0 THEN 'theme_' || (o_orderkey % 7) END AS theme_id, o_orderkey % 7 AS s,
-row_number() OVER (PARTITION BY o_custkey % 40 ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders WHERE o_orderkey % 50 < 10),
+row_number() OVER (PARTITION BY o_custkey % 40 ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders),
 t AS (SELECT *, row_number() OVER (PARTITION BY day, coalesce(theme_id, 'own:' || id) ORDER BY rank) AS t, max(final_score) OVER (PARTITION BY day) * 0.4 AS floor FROM r),
 c AS (SELECT *, row_number() OVER (PARTITION BY day ORDER BY rank) AS place FROM t WHERE t = 1), k AS (SELECT * FROM c WHERE (final_score >= floor OR place <= 5) AND place <= 40)"""
 
@@ -427,14 +422,7 @@ def _pool(orders):
 
 @query(f"WITH {_POOL} SELECT day, id, place FROM k")
 def candidates(spark, sf_dir):
-    return _pool(_table(spark, sf_dir, "orders").where("o_orderkey % 50 < 10")).select("day", "id", F.col("place").cast("long").alias("place"))
-
-
-@query()
-def select_balanced(spark, sf_dir):
-    names = F.array(*[F.lit(s) for s in SECTIONS])
-    pool = _pool(_table(spark, sf_dir, "orders")).withColumn("section", F.get(names, (F.col("id") % 7).cast("int")))
-    return selection.select_balanced(pool.select("day", "place", "id", "final_score", "section")).select("day", "id", "section")
+    return _pool(_table(spark, sf_dir, "orders")).select("day", "id", F.col("place").cast("long").alias("place"))
 
 
 @query(f"""WITH {_A}, r AS (SELECT seq % 60 AS id, feed_url, CASE CAST(substr(feed_url, 4) AS INTEGER) % 4 WHEN 1 THEN 'politics' WHEN 2 THEN 'sports' WHEN 3 THEN 'culture' END AS section FROM a),
@@ -447,13 +435,6 @@ def section_vote(spark, sf_dir):
     return selection.section_vote(rows, feeds)
 
 
-@query()
-def pick_articles(spark, sf_dir):
-    """Greedy on two keys at once: held against a plain loop in the tests."""
-    rows = _articles(spark, sf_dir).select((F.col("seq") % 40).alias("id"), "seq", F.lit(None).cast("int").alias("rank"), "title", "feed_title", "feed_url", "url")
-    return selection.pick_articles(rows).select("id", F.array_join(F.transform("articles", lambda a: a["url"]), " ").alias("urls"))
-
-
 @query(f"""WITH {_A}, f AS (SELECT seq % 25 AS id, seq, feed_title, row_number() OVER (PARTITION BY seq % 25, feed_title ORDER BY seq) AS c FROM a WHERE source_type = 2)
 SELECT id, seq FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY seq) AS k FROM f WHERE c = 1) WHERE k <= 3""")
 def pick_videos(spark, sf_dir):
@@ -521,13 +502,6 @@ def merge_feeds(spark, sf_dir):
     return expand.merge_feeds(entries).select("key", "at", "name")
 
 
-@query("SELECT CASE WHEN regexp_matches(url, '\\.org/') THEN 'org' WHEN regexp_matches(url, '/fr/') THEN 'france' ELSE 'general' END AS category, count(*) AS n FROM pages GROUP BY 1")
-def category_histogram(spark, sf_dir):
-    rules = [(r"\.org/", "org", "en"), ("/fr/", "france", "fr")]
-    rows = _table(spark, sf_dir, "pages").select(expand.infer_category(F.col("url"), rules)["category"].alias("category"))
-    return expand.category_histogram(rows)
-
-
 @query("""WITH t AS (SELECT event_id, [user_id % 9, (user_id + 1) % 9] AS visible, event_id % 40 AS idle FROM events), s AS (SELECT unnest(visible) AS story, 1.0 / len(visible) AS share FROM t WHERE idle <= 30)
 SELECT story, round(sum(share), 6) AS seconds FROM s GROUP BY 1 HAVING sum(share) >= 5""")
 def reading_time(spark, sf_dir):
@@ -558,9 +532,15 @@ def follow_up_anchors(spark, sf_dir):
     return followup.anchors(stories, docs.where(F.col("day") == F.lit("2024-01-10").cast("date")), baseline)
 
 
+def _registered() -> None:
+    from tidewire import catalog_rules  # noqa: F401  it registers its queries here
+
+
 def queries() -> dict[str, Query]:
+    _registered()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _registered()
     return dict(_ORACLES)

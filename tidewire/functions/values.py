@@ -101,10 +101,15 @@ def cache_seconds(day: Column, now: Column) -> Column:
 
 
 def valid_date(value: Column, today: Column) -> Column:
-    parsed = F.try_to_date(value, F.lit("yyyy-MM-dd"))
+    parsed = F.try_to_date(value, "yyyy-MM-dd")
     return F.coalesce(value.rlike(r"^\d{4}-\d{2}-\d{2}$") & parsed.isNotNull() & (parsed <= today), F.lit(False))
 
 
+def shown_date(day: Column, style: str = "long") -> Column:
+    """A briefing's day as readers see it."""
+    return F.date_format(day, "EEEE d MMMM yyyy" if style == "long" else "EEE d MMM")
+
+
 def tier(rank: Column) -> Column:
     return F.when(rank == 1, "lead").when(rank <= 3, "secondary").when(rank <= 7, "feature").otherwise("brief")
 

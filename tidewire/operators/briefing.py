@@ -104,6 +104,12 @@ def shown_stories(days: DataFrame, section: str | None = None) -> DataFrame:
     return rows.where(F.col("section") == section) if section in SECTIONS else rows
 
 
+def export_totals(days: DataFrame) -> DataFrame:
+    """Days, stories and articles of an export."""
+    articles = F.aggregate("topics", F.lit(0).cast("long"), lambda n, t: n + F.coalesce(F.size(t["articles"]), F.lit(0)))
+    return days.agg(F.count("*").alias("days"), F.coalesce(F.sum(F.size("topics").cast("long")), F.lit(0)).alias("stories"), F.coalesce(F.sum(articles), F.lit(0)).alias("articles"))
+
+
 def section_counts(shown: DataFrame) -> DataFrame:
     order = F.array_position(F.array(*[F.lit(s) for s in SECTIONS]), F.col("section"))
     return shown.groupBy("date", "section").agg(F.count("*").alias("n")).withColumn("place", order)
