@@ -246,30 +246,94 @@ def test_elias_fano():
         assert (found == np.isin(x, a)).all() and (at[found] == np.searchsorted(a, x[found])).all()
 
 
-def test_language_model_matches_counts(odd, docs):
+def test_levels_search_inside_their_context(tmp_path):
+    from tidewire.llm.language_model import Level, Trie, build_shard, Asked
+
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 2**32, n).astype(np.uint64)) for n in (3, 0, 50, 1, 0)]
+    level = Level.build(np.array([len(x) for x in sets]), np.concatenate(sets))
+    for i, own in enumerate(sets):
+        ask = np.concatenate([own, rng.integers(0, 2**32, 40).astype(np.uint64), *sets])
+        at, found = level.find(np.full(len(ask), i), ask)
+        assert (found == np.isin(ask, own)).all()
+        assert (at[found] == sum(map(len, sets[:i])) + np.searchsorted(own, ask[found])).all()
+    one = np.ones(1, np.int64)
+    a = Asked(np.array([5, 9], np.uint64), np.array([1, 1]), np.array([5, 9], np.uint64), np.array([1, 0]), np.array([9], np.uint64), one, np.zeros(1, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    trie, blob = build_shard([a, a])
+    (tmp_path / "trie").write_bytes(blob)
+    mapped = Trie.mapped(path=str(tmp_path / "trie"))
+    assert mapped.word_counts.tolist() == trie.word_counts.tolist() == [2, 2] and mapped.answer(a.lead, a.pair_fans, a.seconds, a.triple_fans, a.thirds)[1].tolist() == trie.pair_codes.tolist()
+
+
+def plain_model(tokens, train):
+    """P(w | u, v) by dictionaries, with the quantised steps."""
+    c = collections.Counter(x for t in train for x in t)
+    pairs = collections.Counter(p for t in train for p in zip(["<s>", *t[:-1]], t, strict=True))
+    triples = collections.Counter(p for t in train if len(t) > 1 for p in zip(["<s>", *t[:-2]], t[:-1], t[1:], strict=True))
+    n, v = sum(c.values()), len(c)
+    step = lambda x: 2 ** (math.floor(math.log2(x) * 6 + 1e-9) / 6)
+    kept2, kept3, total3 = collections.Counter(), collections.Counter(), collections.Counter()
+    for (a, _), k in pairs.items():
+        kept2[a] += step(k - 0.75)
+    for (a, b, _), k in triples.items():
+        total3[a, b] += k
+    for (a, b, _), k in triples.items():
+        kept3[a, b] += step((k - 0.75) / total3[a, b])
+    base = lambda w: (c[w] + 0.5) / (n + 0.5 * (v + 1))
+
+    def two(w, a):
+        total = len(train) if a == "<s>" else c[a]
+        if not total:
+            return base(w)
+        return (step(pairs[a, w] - 0.75) / total if pairs[a, w] else 0) + (1 - kept2[a] / total) * base(w)
+
+    def three(w, a, b):
+        return (step((triples[a, b, w] - 0.75) / total3[a, b]) if triples[a, b, w] else 0) + (1 - kept3[a, b]) * two(w, b)
+
+    return c, n, base, two, three
+
+
+def test_language_model_matches_counts(odd, docs, monkeypatch):
     from tidewire.llm.language_model import score
 
     df = docs.select("doc_id", "text").union(odd.select("doc_id", "text"))
     rows = df.collect()
-    got = {(r.doc_id, r.n_tokens): r for r in score(df, weight=50.0, group_bytes=60_000).collect()}
     fold = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 5
     low = str.maketrans({chr(65 + i): chr(97 + i) for i in range(26)})
     tokens = [[*WORD.findall((r.text or "").translate(low)), None] for r in rows]
     train = [t for r, t in zip(rows, tokens, strict=True) if fold(r.doc_id) != 1]
-    c = collections.Counter(x for t in train for x in t)
-    pairs = collections.Counter(p for t in train for p in zip(["<s>", *t[:-1]], t, strict=True))
-    n, v = sum(c.values()), len(c)
-    quantised = lambda k: 2 ** (round(8 * math.log2(k)) / 8) if k else 0
-    for r, t in zip(rows, tokens, strict=True):
-        g = got[r.doc_id, len(t)]
-        base = [(c[w] + 0.5) / (n + 0.5 * (v + 1)) for w in t]
-        context = [len(train) if i == 0 else c[t[i - 1]] for i in range(len(t))]
-        model = [(min(quantised(pairs[p]), k) + 50 * b) / (k + 50) for p, k, b in zip(zip(["<s>", *t[:-1]], t, strict=True), context, base, strict=True)]
-        assert (g.n_known, g.train_tokens, g.held_out) == (sum(c[w] > 0 for w in t), n, fold(r.doc_id) == 1)
-        assert g.base_score == pytest.approx(sum(map(math.log10, base))) and g.score == pytest.approx(sum(map(math.log10, model)))
+    c, n, base, two, three = plain_model(tokens, train)
+    vocabulary = [*c, "unseen word"]
+    for a, b in (("<s>", None), (train[0][0], train[0][1]), (train[3][2], train[3][3])):  # distributions sum to one
+        mass = sum(base(w) for w in vocabulary)
+        assert mass == pytest.approx(1) and sum(two(w, a) for w in vocabulary) == pytest.approx(1)
+        if b is not None:
+            assert sum(three(w, a, b) for w in vocabulary) == pytest.approx(1)
+    for limits in ({"group_bytes": 60_000, "shard_bytes": 40_000}, {}):
+        got = {(r.doc_id, r.n_tokens): r for r in score(df.withColumn("score", F.lit("x")).withColumn("text_group", F.lit(1)), **limits).collect()}
+        for r, t in zip(rows, tokens, strict=True):
+            g = got[r.doc_id, len(t)]
+            model = [two(w, "<s>") if i == 0 else three(w, t[i - 2] if i > 1 else "<s>", t[i - 1]) for i, w in enumerate(t)]
+            assert (g.n_known, g.train_tokens, g.held_out) == (sum(c[w] > 0 for w in t), n, fold(r.doc_id) == 1)
+            assert g.base_score == pytest.approx(sum(math.log10(base(w)) for w in t)) and g.score == pytest.approx(sum(map(math.log10, model)), rel=1e-3)
     assert score(df.limit(0)).count() == 0
 
 
+def test_language_model_tells_what_it_has_read(spark):
+    """A held-out text whose copy is in training scores well above one that is new."""
+    from tidewire.llm.language_model import score
+
+    rng = np.random.default_rng(1)
+    words = [f"w{i}" for i in range(200)]
+    rows = [(i, " ".join(words[k] for k in rng.integers(0, 200, 60))) for i in range(300)]
+    held = [i for i in range(300) if zlib.crc32(str(i).encode()) % 5 == 1]
+    free = [i for i in range(300) if zlib.crc32(str(i).encode()) % 5 != 1]
+    twice = dict(zip(held[:20], free[:20], strict=True))
+    rows = [(i, rows[twice[i]][1] if i in twice else t) for i, t in rows]
+    got = {r.doc_id: r.score / r.n_tokens for r in score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert min(got[i] for i in twice) > max(got[i] for i in held[20:]) + 0.3
+
+
 # --- 4: reputation ---------------------------------------------------------------------------------------------------------
 
 
