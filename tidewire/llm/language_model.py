@@ -32,6 +32,7 @@ _END = np.uint64(0xE4D0E4D0E4D0E4D1)
 _LOW = np.uint64(0xFFFFFFFF)
 DISCOUNT = 0.75
 _STEPS = 6  # codes an octave
+_TOGETHER = 150_000  # pairs that a shard answers in one go
 
 
 def pack_counts(a: np.ndarray) -> bytes:
@@ -269,6 +270,10 @@ class Trie:
         return shares, codes, left, triple_codes
 
 
+def _small(a: np.ndarray) -> bytes:
+    return zlib.compress(a.tobytes(), 1)  # mostly a few values
+
+
 def shard_of(h: np.ndarray, shards: int) -> np.ndarray:
     """Ranges of the upper half of the hash, so that sorted words are sorted by shard."""
     return ((h >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)).astype(np.int64)
@@ -294,8 +299,11 @@ class Grams:
 
 def _distinct(major: np.ndarray, minor: np.ndarray, minors: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct (major, minor) in order, as two arrays, and each element's place among them."""
-    pairs, of = np.unique(major.astype(np.uint64) * np.uint64(minors) + minor.astype(np.uint64), return_inverse=True)
-    return (pairs // np.uint64(minors)).astype(np.int64), (pairs % np.uint64(minors)).astype(np.int64), of
+    keys = major.astype(np.uint64)
+    keys *= np.uint64(minors)
+    keys += minor.astype(np.uint64)
+    keys, of = np.unique(keys, return_inverse=True)
+    return (keys // np.uint64(minors)).astype(np.int64), (keys % np.uint64(minors)).astype(np.int64), of.astype(np.int32)
 
 
 def grams(strings: pa.Array, shards: int, hot: np.ndarray) -> Grams:
@@ -310,7 +318,9 @@ def grams(strings: pa.Array, shards: int, hot: np.ndarray) -> Grams:
     tokens[inside] = hashes(lowered(w.data), w.starts, w.ends)
     tokens[ends] = _END
     words, word_of = np.unique(tokens, return_inverse=True)
-    before = np.empty(len(tokens), np.int64)
+    word_of = word_of.astype(np.int32)
+    del tokens, inside
+    before = np.empty(len(word_of), np.int32)
     before[1:] = word_of[:-1]
     before[begins] = -1
     # Successors go by 32 bits of their hash: words are numbered in that order for the n-grams.
@@ -324,10 +334,12 @@ def grams(strings: pa.Array, shards: int, hot: np.ndarray) -> Grams:
     slot_word = np.empty(len(words) + 1, np.uint64)
     slot_word[order] = np.append(words, _START)
     lead_shard, lead_slot, lead_at = _distinct(shard, order[lead_word], len(words) + 1)
+    del shard, lead_word
     lead_of, second, pair_of = _distinct(lead_at, rank[word_of], len(by_short))
+    del lead_at
     inner = np.flatnonzero(before >= 0)
     pair_of_triple, third, inner_of = _distinct(pair_of[inner - 1], rank[word_of[inner]], len(by_short))
-    triple_of = np.full(len(tokens), -1)
+    triple_of = np.full(len(word_of), -1, np.int32)
     triple_of[inner] = inner_of
     return Grams(per, words, word_of, slot_word[lead_slot], lead_shard, lead_of, by_short[second], pair_of, by_short[third], pair_of_triple, triple_of, before)
 
@@ -354,13 +366,25 @@ _SENT = "shard int, text_group long, " + ", ".join(f"{c} binary" for c in _PARTS
 _BACK = "text_group long, shard int, words binary, shares binary, pairs binary, left binary, triples binary, types long, tokens long, trie binary"
 
 
+def _leads(lead: np.ndarray, words: np.ndarray) -> bytes:
+    """Leading words: a bit for each of the shard's words, and the hashes of the few that live elsewhere."""
+    own = np.isin(words, lead, assume_unique=True)
+    return np.packbits(own).tobytes() + lead[~np.isin(lead, words[own], assume_unique=True)].tobytes()
+
+
+def _from_leads(blob: bytes, words: np.ndarray) -> np.ndarray:
+    bits = (len(words) + 7) // 8
+    own = np.unpackbits(np.frombuffer(blob, np.uint8, bits), count=len(words)).astype(bool)
+    return np.sort(np.concatenate([words[own], np.frombuffer(blob[bits:], np.uint64)]))
+
+
 def _message(g: Grams, counts: tuple[np.ndarray, ...], cuts: tuple[np.ndarray, ...], s: int) -> tuple:
     words, pairs, triples = counts
     w, c, p, t = (slice(x[s], x[s + 1]) for x in cuts)
     pair_fan = np.bincount(g.lead_of[p] - c.start, minlength=c.stop - c.start)
     triple_fan = np.bincount(g.pair_of_triple[t] - p.start, minlength=p.stop - p.start)
     return (
-        g.words[w].tobytes(), pack_counts(words[w]), g.lead[c].tobytes() if not np.array_equal(g.lead[c], g.words[w]) else b"", pack_counts(pair_fan), g.second[p].astype(np.uint32).tobytes(), pack_counts(pairs[p]),
+        g.words[w].tobytes(), pack_counts(words[w]), _leads(g.lead[c], g.words[w]), pack_counts(pair_fan), g.second[p].astype(np.uint32).tobytes(), pack_counts(pairs[p]),
         pack_counts(triple_fan), g.third[t].astype(np.uint32).tobytes(), pack_counts(triples[t]),
     )
 
@@ -383,9 +407,7 @@ class Asked:
     def read(row: dict) -> Asked:
         words = np.frombuffer(row["word"], np.uint64)
         short = lambda c: np.frombuffer(row[c], np.uint32).astype(np.uint64)
-        fans = unpack_counts(row["pair_fan"])
-        lead = np.frombuffer(row["lead"], np.uint64) if row["lead"] or not len(fans) else words
-        return Asked(words, unpack_counts(row["word_count"]), lead, fans, short("second"), unpack_counts(row["pair_count"]), unpack_counts(row["triple_fan"]), short("third"), unpack_counts(row["triple_count"]))
+        return Asked(words, unpack_counts(row["word_count"]), _from_leads(row["lead"], words), unpack_counts(row["pair_fan"]), short("second"), unpack_counts(row["pair_count"]), unpack_counts(row["triple_fan"]), short("third"), unpack_counts(row["triple_count"]))
 
 
 def build_shard(asked: list[Asked]) -> tuple[Trie, bytes]:
@@ -393,6 +415,7 @@ def build_shard(asked: list[Asked]) -> tuple[Trie, bytes]:
     every, total, _ = _merged([x for a in asked for x in (a.words, a.lead)], [x for a in asked for x in (a.word_counts, np.zeros(len(a.lead), np.int64))])
     lead = [np.repeat(np.searchsorted(every, a.lead), a.pair_fans).astype(np.uint64) << np.uint64(32) for a in asked]
     pairs, pair_total, of = _merged([x | a.seconds for x, a in zip(lead, asked, strict=True)], [a.pair_counts for a in asked])
+    del lead
     rank, seen = np.cumsum(pair_total > 0) - 1, pair_total > 0
     places, lo = [], 0
     for a in asked:
@@ -400,6 +423,7 @@ def build_shard(asked: list[Asked]) -> tuple[Trie, bytes]:
         lo += len(a.seconds)
     heads = [np.where(seen[x], rank[x], 0) for x in places]  # a pair that no training text has leads no training triple
     triples, triple_total, _ = _merged([(x.astype(np.uint64) << np.uint64(32)) | a.thirds for x, a in zip(heads, asked, strict=True)], [a.triple_counts for a in asked])
+    del places, heads, of
     pairs, pair_total = pairs[seen], pair_total[seen]
     triples, triple_total = triples[triple_total > 0], triple_total[triple_total > 0]
     pair_fans = np.bincount((pairs >> np.uint64(32)).astype(np.int64), minlength=len(every))
@@ -450,7 +474,7 @@ def _texts(blob: bytes, n: int) -> pa.Array:
 
 
 def score(
-    docs: DataFrame, text: str = "text", held_out: int = 1, group_bytes: int = 8 << 20, shard_bytes: int = 8 << 20, keep_model: str | None = None
+    docs: DataFrame, text: str = "text", held_out: int = 1, group_bytes: int = 4 << 20, shard_bytes: int = 6 << 20, keep_model: str | None = None
 ) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score, a row per document.
 
@@ -489,7 +513,8 @@ def score(
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for id_, folds, blob in zip(*(batch.column(c).to_pylist() for c in ("text_group", "folds", "body")), strict=True):
+            for i in range(batch.num_rows):
+                id_, folds, blob = (batch.column(c)[i].as_py() for c in ("text_group", "folds", "body"))
                 g = grams(_texts(blob, len(folds)), shards, hot)
                 train = np.repeat(np.array(folds) != held_out, g.per_text)
                 inner = train & (g.triple_of >= 0)
@@ -513,12 +538,22 @@ def score(
         partial = [(w, float(trie.pair_shares[i])) for w, i, yes in zip(split_.astype(np.int64).tolist(), at.tolist(), there.tolist(), strict=True) if yes]
         hot_words, hot_shares = np.array([w for w, _ in partial], np.int64), np.array([v for _, v in partial])
         rows = [(-1, shard, hot_words.tobytes(), hot_shares.tobytes(), b"", b"", b"", int((trie.word_counts > 0).sum()), int(trie.word_counts.sum()), blob if keep_model else b"")]
-        for id_, a in zip(ids, sent, strict=True):
-            place, found = trie.words.successor(a.words)
-            counts = np.zeros(len(a.words), np.int64)
+        lo = 0
+        while lo < len(sent):  # small messages are answered together
+            hi, size = lo, 0
+            while hi < len(sent) and size < _TOGETHER:
+                size += len(sent[hi].seconds)
+                hi += 1
+            some = sent[lo:hi]
+            place, found = trie.words.successor(np.concatenate([a.words for a in some]))
+            counts = np.zeros(len(place), np.int64)
             counts[found] = trie.word_counts[place[found]]
-            shares, codes, left, triples = trie.answer(a.lead, a.pair_fans, a.seconds, a.triple_fans, a.thirds)
-            rows.append((id_, shard, pack_counts(counts), shares.astype(np.float32).tobytes(), codes.tobytes(), left.tobytes(), triples.tobytes(), 0, 0, b""))
+            got = trie.answer(*(np.concatenate([getattr(a, c) for a in some]) for c in ("lead", "pair_fans", "seconds", "triple_fans", "thirds")))
+            parts = [np.split(counts, np.cumsum([len(a.words) for a in some])[:-1])]
+            parts += [np.split(x, np.cumsum([len(getattr(a, c)) for a in some])[:-1]) for x, c in zip(got, ("lead", "seconds", "seconds", "thirds"), strict=True)]
+            for id_, n, share, code, left, triple in zip(ids[lo:hi], *parts, strict=True):
+                rows.append((id_, shard, pack_counts(n), _small(share.astype(np.float32)), _small(code), _small(left), _small(triple), 0, 0, b""))
+            lo = hi
         columns = list(zip(*rows, strict=True))
         types = [pa.int64(), pa.int32(), *[pa.binary()] * 5, pa.int64(), pa.int64(), pa.binary()]
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=[c.split()[0] for c in _BACK.split(", ")])
@@ -549,10 +584,10 @@ def score(
         codes, left, triple_codes = np.zeros(len(g.second), np.uint8), np.ones(len(g.second), np.float16), np.zeros(len(g.third), np.uint8)
         for s, w, c, p, l, t in zip(*(back[k].to_pylist() for k in ("shard", "words", "shares", "pairs", "left", "triples")), strict=True):  # noqa: E741
             counts[words[s] : words[s + 1]] = unpack_counts(w)
-            shares[lead[s] : lead[s + 1]] = np.frombuffer(c, np.float32)
-            codes[pairs[s] : pairs[s + 1]] = np.frombuffer(p, np.uint8)
-            left[pairs[s] : pairs[s + 1]] = np.frombuffer(l, np.float16)
-            triple_codes[triples[s] : triples[s + 1]] = np.frombuffer(t, np.uint8)
+            shares[lead[s] : lead[s + 1]] = np.frombuffer(zlib.decompress(c), np.float32)
+            codes[pairs[s] : pairs[s + 1]] = np.frombuffer(zlib.decompress(p), np.uint8)
+            left[pairs[s] : pairs[s + 1]] = np.frombuffer(zlib.decompress(l), np.float16)
+            triple_codes[triples[s] : triples[s + 1]] = np.frombuffer(zlib.decompress(t), np.uint8)
         split_ = np.flatnonzero(np.isin(g.lead, hot) | (g.lead == _START))
         shares[split_] = np.array([spread.get(w, 0.0) for w in g.lead[split_].astype(np.int64).tolist()], np.float32)
         c = counts[g.word_of]
