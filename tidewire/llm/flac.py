@@ -455,7 +455,11 @@ def _media_slices(media: pa.Array) -> Iterator[tuple[int, int, list[bytes]]]:
 
 
 def pcm_blocks(stored: DataFrame) -> DataFrame:
-    """doc_id, block, sample_offset, n_samples and pcm (unsigned 8-bit) of every stored stream, checksums verified."""
+    """doc_id, block, sample_offset, n_samples and pcm (unsigned 8-bit) of every stored stream, checksums verified.
+
+    Repeated rows give their blocks each; null ids stay null; a null or damaged stream fails the job; an empty table gives
+    an empty result; other columns are ignored.
+    """
     key = stored.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -475,9 +479,13 @@ def pcm_blocks(stored: DataFrame) -> DataFrame:
 
 
 def digests(stored: DataFrame) -> DataFrame:
-    """What the stored bytes say when read back: sizes, hashes and a feature of the signal, a row per stream."""
+    """What the stored bytes say when read back: sizes, hashes, a feature of the signal and the blocks' sample offsets.
+
+    A row per stream, repeated rows each, in any order; null ids stay null; a null or damaged stream fails the job; an
+    empty table gives an empty result; other columns are ignored, whatever their names.
+    """
     key = stored.schema["doc_id"].dataType.simpleString()
-    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "sample_offsets"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -493,7 +501,9 @@ def digests(stored: DataFrame) -> DataFrame:
                     slope = (sign[b] - sign[min(a + 1, b)]) / max(1, b - a - 1)
                     rows.append((b - a, hashlib.sha256(one).hexdigest(), zlib.crc32(one[-64:]), len(m), hashlib.sha256(m).hexdigest(), f"rms={rms:.4f};slope={slope:.4f};frames={-(-(b - a) // BLOCK)}"))
                 columns = [pa.array(c) for c in zip(*rows, strict=True)]
+                ends = np.append(0, np.cumsum(np.bincount(d.stream, minlength=len(streams)))).astype(np.int32)
+                columns.append(pa.ListArray.from_arrays(ends, pa.array(d.sample_offset)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), *columns], names=names)
 
-    schema = f"doc_id {key}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    schema = f"doc_id {key}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, sample_offsets array<long>"
     return stored.select("doc_id", "n_bytes", "media").mapInArrow(run, schema)
