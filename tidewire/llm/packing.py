@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from tidewire.llm.common import as_strings, materialise, shared_dir, slices
-from tidewire.llm.tokens import _BATCH_BYTES, WordEncoder
+from tidewire.llm.tokens import _BATCH_BYTES, encoder_of
 
 _PIECE = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -69,21 +69,23 @@ def _rows(windows: list[tuple[int, bool, list]], names: list[str], key: pa.DataT
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names)
 
 
-def pack(docs: DataFrame, path: str, text: str = "text", end_id: int = 1, size: int = 2048, slots: int = 64, fan_in: int = 64) -> DataFrame:
+def pack(docs: DataFrame, path: str, text: str = "text", end_id: int = 1, size: int = 2048, slots: int = 64, fan_in: int = 8) -> DataFrame:
     """One row per piece of every document, placed gaplessly in windows of `size` tokens.
 
     Each task tokenises its rows, cuts whole windows off long documents and puts the rest best-fit into at most
     `slots` open windows; when none has room the fullest leaves. What is still open at a task's end, at most
-    `slots` windows a task, is merged by the same rule over groups of `fan_in` tasks. Memory is bounded by the
-    open windows and one batch, however long the input. A null or empty text packs as its end id alone; repeated
-    rows are packed each; null ids stay null; other columns are ignored. sequence_id is unique, not consecutive.
+    `slots` windows a task, is merged by the same rule over groups of `fan_in` tasks: at most fan_in * slots * size
+    pieces, a million. Memory is bounded by the open windows and one batch, however long the input. Tokenizers of the
+    word family are encoded through a cache, any other by its library. A null or empty text packs as its end id
+    alone; repeated rows are packed each; null ids stay null; an empty table gives an empty result; other columns
+    are ignored, whatever their names. sequence_id is unique, not consecutive.
     """
     key = docs.schema["doc_id"].dataType.simpleString()
     names = ["doc_id", *(c.split()[0] for c in _PIECE.split(", ")), "open"]
     schema = f"doc_id {key}, {_PIECE}, open boolean"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, windows, kind = WordEncoder(path), Windows(size, slots), pa.int64()
+        encoder, windows, kind = encoder_of(path), Windows(size, slots), pa.int64()
         sequence = TaskContext.get().partitionId() << 36
         done: list = []
         for batch in batches:
