@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from tidewire.llm.common import as_strings, fold_of, ragged, slices
 from tidewire.llm.words import hashes, split
@@ -216,9 +216,9 @@ def calibrate(net: Network, logits: np.ndarray, toxic: np.ndarray, language: np.
     net.scale = 1.0 if spread > 0.5 else float(0.5 / max(spread, 0.05))
 
 
-def train(docs: DataFrame, labels: DataFrame, text: str = "text", fit_rows: int = 6000, fit_words: int = 20_000) -> Network:
+def train(docs: DataFrame, labels: DataFrame, text: str = "text", fit_rows: int = 6000, fit_words: int = 20_000, fit_total: int = 10_000_000) -> Network:
     """Fit on at most `fit_rows` labelled documents, those with the smallest id hashes, of at most `fit_words`
-    words (longer ones are not drawn). Rows of fold 0 are never read for labels; fold 1 calibrates, 2 to 4 train."""
+    words (longer ones are not drawn) and `fit_total` words together, 12 bytes each on the driver. Rows of fold 0 are never read for labels; fold 1 calibrates, 2 to 4 train."""
     known = (
         labels.where("doc_id is not null and toxic in (0, 1)").withColumn("fold", fold_of(F.col("doc_id"))).where("fold != 0")
         .groupBy("doc_id", "fold").agg(F.max("toxic").cast("int").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
@@ -241,7 +241,10 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", fit_rows: int
     picked = docs.select("doc_id", F.col(text).cast("string").alias("__text")).join(F.broadcast(known), "doc_id")
     key = docs.schema["doc_id"].dataType.simpleString()
     coded = picked.select("doc_id", "fold", "y", "__text").mapInArrow(codes, f"doc_id {key}, fold int, y int, language long, codes binary")
-    rows = coded.orderBy(F.xxhash64("doc_id"), "doc_id", "codes").limit(fit_rows).collect()
+    drawn = coded.orderBy(F.xxhash64("doc_id"), "doc_id", "codes").limit(fit_rows)  # few enough for one window
+    order = Window.orderBy(F.xxhash64("doc_id"), "doc_id", "codes").rowsBetween(Window.unboundedPreceding, 0)
+    total = F.sum(F.octet_length("codes") / (4 * (1 + len(_STEMS)))).over(order)
+    rows = drawn.withColumn("__total", total).where(F.col("__total") <= fit_total).drop("__total").collect()
     texts = [np.frombuffer(r.codes, np.int32).reshape(-1, 1 + len(_STEMS)) for r in rows]
     y = np.array([r.y for r in rows], np.int64)
     held = np.array([r.fold == 1 for r in rows], bool)
@@ -257,8 +260,11 @@ def toxicity(docs: DataFrame, net: Network, text: str = "text", keep: tuple[str,
     """The kept columns with `score` (0 to 1) and `predicted` of every whole text.
 
     Only the text is an input: its language is told from its own function words. A null text scores as an
-    empty one; repeated rows score equally; an empty table gives an empty result.
+    empty one; repeated rows score equally; an empty table gives an empty result. Kept columns must not be named
+    as the results are; all others may be named anything.
     """
+    if {"score", "predicted"} & set(keep):
+        raise ValueError("score and predicted cannot be kept beside the results of that name")
     held = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(text).cast("string").alias("__text"))
     n_held = len(keep)
 
