@@ -448,6 +448,8 @@ def test_flac_columns(odd):
         raw = (body or "").encode()
         full = raw + b"\0" * (max(64, -(-len(raw) // 64) * 64) - len(raw))
         want.append((key, len(raw), len(full), hashlib.sha256(full).hexdigest(), zlib.crc32(full[-64:])))
+    assert all(r.sample_offsets == list(range(0, r.payload_bytes, flac.BLOCK)) for r in rows)
+    assert flac.digests(flac.store(odd.limit(0))).count() == 0
     assert sorted(((r.doc_id, r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) for r in rows), key=repr) == sorted(want, key=repr)
     blocks = flac.pcm_blocks(stored).where("doc_id = 7").orderBy("sample_offset").collect()
     assert [b.sample_offset for b in blocks] == [flac.BLOCK * i for i in range(len(blocks))]
@@ -491,6 +493,22 @@ def test_packing_odd(odd):
 
     assert pack(odd, path("word_bpe_49k.json")).agg(F.sum("length")).first()[0] > 4000
     assert pack(odd.limit(0), path("word_bpe_49k.json")).count() == 0
+    other = pack(odd, path("byte_bpe_50k.json")).where("doc_id = 8").collect()  # a tokenizer of another family
+    ids = [*library("byte_bpe_50k.json").encode(ODD[8][1], add_special_tokens=False).ids, 1]
+    assert [(p.start, p.length, p.ids_crc32) for p in other] == [(0, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))]
+
+
+def test_cased_tokenizers_are_no_words(tmp_path):
+    import json
+
+    from tidewire.llm.tokens import drops_white_space
+
+    with open(path("word_bpe_49k.json")) as f:
+        model = json.load(f)
+    assert drops_white_space(path("word_bpe_49k.json"))
+    model["normalizer"]["normalizers"] = [n for n in model["normalizer"]["normalizers"] if n["type"] != "Lowercase"]
+    (tmp_path / "cased.json").write_text(json.dumps(model))
+    assert not drops_white_space(str(tmp_path / "cased.json"))
 
 
 def test_word_encoder_matches_library():
@@ -613,6 +631,10 @@ def test_toxicity_held_out(spark, odd):
     assert ((held.doc_id % 5 == 0) == (held.predicted == 1)).mean() > 0.95
     assert got.score.between(0, 1).all()
     assert toxicity(odd, net).count() == len(ODD) and toxicity(odd.limit(0), net).count() == 0
+    small = train(df, df.select("doc_id", "toxic"), fit_total=600)  # the collected words are bounded
+    assert toxicity(odd, small).count() == len(ODD)
+    with pytest.raises(ValueError):
+        toxicity(odd, net, keep=("doc_id", "score"))
     assert toxicity(odd, train(odd.limit(0), df.limit(0).select("doc_id", "toxic"))).where("predicted = 1").count() == 0
 
 
