@@ -16,12 +16,12 @@ from __future__ import annotations
 
 import math
 import mmap
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from tidewire.llm.common import Scratch, as_strings, fold_of, ragged, utf8_view
@@ -270,8 +270,12 @@ class Trie:
         return shares, codes, left, triple_codes
 
 
-def _small(a: np.ndarray) -> bytes:
-    return zlib.compress(a.tobytes(), 1)  # mostly a few values
+def _small(a: np.ndarray | bytes, level: int = 3) -> bytes:
+    return zstandard.ZstdCompressor(level=level).compress(a if isinstance(a, bytes) else a.tobytes())
+
+
+def _whole(blob: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(blob)
 
 
 def shard_of(h: np.ndarray, shards: int) -> np.ndarray:
@@ -384,8 +388,8 @@ def _message(g: Grams, counts: tuple[np.ndarray, ...], cuts: tuple[np.ndarray, .
     pair_fan = np.bincount(g.lead_of[p] - c.start, minlength=c.stop - c.start)
     triple_fan = np.bincount(g.pair_of_triple[t] - p.start, minlength=p.stop - p.start)
     return (
-        g.words[w].tobytes(), pack_counts(words[w]), _leads(g.lead[c], g.words[w]), pack_counts(pair_fan), g.second[p].astype(np.uint32).tobytes(), pack_counts(pairs[p]),
-        pack_counts(triple_fan), g.third[t].astype(np.uint32).tobytes(), pack_counts(triples[t]),
+        g.words[w].tobytes(), pack_counts(words[w]), _leads(g.lead[c], g.words[w]), pack_counts(pair_fan), _small(g.second[p].astype(np.uint32)), pack_counts(pairs[p]),
+        pack_counts(triple_fan), _small(g.third[t].astype(np.uint32)), pack_counts(triples[t]),
     )
 
 
@@ -406,7 +410,7 @@ class Asked:
     @staticmethod
     def read(row: dict) -> Asked:
         words = np.frombuffer(row["word"], np.uint64)
-        short = lambda c: np.frombuffer(row[c], np.uint32).astype(np.uint64)
+        short = lambda c: np.frombuffer(_whole(row[c]), np.uint32).astype(np.uint64)
         return Asked(words, unpack_counts(row["word_count"]), _from_leads(row["lead"], words), unpack_counts(row["pair_fan"]), short("second"), unpack_counts(row["pair_count"]), unpack_counts(row["triple_fan"]), short("third"), unpack_counts(row["triple_count"]))
 
 
@@ -446,7 +450,7 @@ def _groups(docs: DataFrame, text: str, key: str, group_bytes: int, scratch: Scr
         def row() -> pa.RecordBatch:
             ids, folds = pa.concat_arrays([b.column(0) for b in held]), pa.concat_arrays([b.column(1) for b in held])
             data, offsets = utf8_view(as_strings(pa.concat_arrays([as_strings(b.column(2)) for b in held])))
-            blob = zlib.compress(np.diff(offsets).astype(np.int64).tobytes() + data.tobytes(), 1)
+            blob = _small(np.diff(offsets).astype(np.int64).tobytes() + data.tobytes(), 7)
             one = np.array([0, len(ids)], np.int32)
             return pa.RecordBatch.from_arrays([pa.array([number]), pa.ListArray.from_arrays(one, ids), pa.ListArray.from_arrays(one, folds), pa.array([blob], pa.binary())], names=["text_group", "ids", "folds", "body"])
 
@@ -468,7 +472,7 @@ def _groups(docs: DataFrame, text: str, key: str, group_bytes: int, scratch: Scr
 
 
 def _texts(blob: bytes, n: int) -> pa.Array:
-    raw = zlib.decompress(blob)
+    raw = _whole(blob)
     offsets = np.append(0, np.cumsum(np.frombuffer(raw, np.int64, n))).astype(np.int32)
     return pa.StringArray.from_buffers(n, pa.py_buffer(offsets.tobytes()), pa.py_buffer(raw[8 * n :]))
 
@@ -584,10 +588,10 @@ def score(
         codes, left, triple_codes = np.zeros(len(g.second), np.uint8), np.ones(len(g.second), np.float16), np.zeros(len(g.third), np.uint8)
         for s, w, c, p, l, t in zip(*(back[k].to_pylist() for k in ("shard", "words", "shares", "pairs", "left", "triples")), strict=True):  # noqa: E741
             counts[words[s] : words[s + 1]] = unpack_counts(w)
-            shares[lead[s] : lead[s + 1]] = np.frombuffer(zlib.decompress(c), np.float32)
-            codes[pairs[s] : pairs[s + 1]] = np.frombuffer(zlib.decompress(p), np.uint8)
-            left[pairs[s] : pairs[s + 1]] = np.frombuffer(zlib.decompress(l), np.float16)
-            triple_codes[triples[s] : triples[s + 1]] = np.frombuffer(zlib.decompress(t), np.uint8)
+            shares[lead[s] : lead[s + 1]] = np.frombuffer(_whole(c), np.float32)
+            codes[pairs[s] : pairs[s + 1]] = np.frombuffer(_whole(p), np.uint8)
+            left[pairs[s] : pairs[s + 1]] = np.frombuffer(_whole(l), np.float16)
+            triple_codes[triples[s] : triples[s + 1]] = np.frombuffer(_whole(t), np.uint8)
         split_ = np.flatnonzero(np.isin(g.lead, hot) | (g.lead == _START))
         shares[split_] = np.array([spread.get(w, 0.0) for w in g.lead[split_].astype(np.int64).tolist()], np.float32)
         c = counts[g.word_of]
