@@ -11,8 +11,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from tidewire.llm.common import as_strings, materialise, shared_dir, slices
-from tidewire.llm.tokens import _BATCH_BYTES, encoder_of
+from tidewire.llm.tokens import PlainEncoder, WordEncoder, of_word_family
 
+_BATCH_BYTES = 3 << 20
 _PIECE = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -82,10 +83,10 @@ def pack(docs: DataFrame, path: str, text: str = "text", end_id: int = 1, size:
     """
     key = docs.schema["doc_id"].dataType.simpleString()
     names = ["doc_id", *(c.split()[0] for c in _PIECE.split(", ")), "open"]
-    schema = f"doc_id {key}, {_PIECE}, open boolean"
+    schema, family = f"doc_id {key}, {_PIECE}, open boolean", of_word_family(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, windows, kind = encoder_of(path), Windows(size, slots), pa.int64()
+        encoder, windows, kind = WordEncoder(path) if family else PlainEncoder(path), Windows(size, slots), pa.int64()
         sequence = TaskContext.get().partitionId() << 36
         done: list = []
         for batch in batches:

@@ -244,9 +244,11 @@ def token_counts(
     tokens. Repeated rows give repeated results; null ids stay null; other columns are ignored.
     """
 
+    family = of_word_family(path)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = library_encoder(path)
-        words = WordEncoder(path) if path.endswith(".json") and drops_white_space(path) else None
+        words = WordEncoder(path) if family else None
         for batch in batches:
             strings = as_strings(batch.column(1))
             for lo, hi in slices(strings, _BATCH_BYTES):
@@ -292,6 +294,6 @@ class PlainEncoder:
         return np.concatenate([np.zeros(0, np.uint32), *ids]), np.array([len(x) for x in ids], np.int64)
 
 
-def encoder_of(path: str) -> WordEncoder | PlainEncoder:
-    """The cached encoder for tokenizers of the word family, the library's own for all others."""
-    return WordEncoder(path) if path.endswith(".json") and drops_white_space(path) else PlainEncoder(path)
+def of_word_family(path: str) -> bool:
+    """Asked once, on the driver: a task that asks would hold two tokenizers."""
+    return path.endswith(".json") and drops_white_space(path)
