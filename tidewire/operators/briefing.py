@@ -55,6 +55,44 @@ def read_briefings(spark: SparkSession, folder: str) -> DataFrame:
     return raw.select(F.from_json("value", BRIEFING).alias("d")).select("d.*")
 
 
+def missing_days(wanted: DataFrame, exported: DataFrame) -> DataFrame:
+    """Dates still without a briefing: a run that failed is made up for by the next one."""
+    return wanted.select("date").distinct().join(exported.select("date"), "date", "left_anti")
+
+
+def export(days: DataFrame, folder: str, force: bool = False) -> int:
+    """Write the briefings of days that have none there yet, or of all with `force`; returns the articles written."""
+    from pyspark.errors import AnalysisException
+
+    from tidewire.storage import materialise
+
+    spark = days.sparkSession
+    try:
+        there = materialise(spark.read.text(folder).select(F.col("date").cast("string").alias("date")))
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA", "UNRESOLVED_COLUMN.WITH_SUGGESTION"):
+            raise
+        there = spark.createDataFrame([], "date string")
+    days = materialise(days if force else days.join(missing_days(days, there), "date", "left_semi"))
+    write_briefings(days, folder)
+    return int(export_totals(days).first().articles)
+
+
+def without_dead_pictures(days: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """Days whose stories lose pictures that do not load (image, fine), with `kept`, `before` and whether the day `changed`.
+
+    Verdicts of a day's own pictures travel with the day, as a map; a picture without a verdict stays.
+    """
+    shown = days.select("date", F.explode(F.flatten(F.transform("topics", lambda t: F.transform(t["articles"], lambda a: a["image"])))).alias("image")).where("image is not null")
+    dead = shown.distinct().join(verdicts.where("not fine").select("image").distinct(), "image").groupBy("date").agg(F.collect_set("image").alias("dead"))
+    joined = days.join(dead, "date", "left").withColumn("dead", F.coalesce("dead", F.array().cast("array<string>")))
+    gone = lambda a: F.array_contains(F.col("dead"), a["image"])
+    mended = F.transform("topics", lambda t: t.withField("articles", F.transform(t["articles"], lambda a: F.when(gone(a), a.withField("image", F.lit(None).cast("string"))).otherwise(a))))
+    pictures = lambda c: F.size(F.filter(F.flatten(F.transform(c, lambda t: F.transform(t["articles"], lambda a: a["image"]))), lambda i: i.isNotNull()))
+    out = joined.withColumn("before", pictures("topics")).withColumn("topics", mended)
+    return out.withColumn("kept", pictures("topics")).withColumn("changed", F.col("kept") < F.col("before")).drop("dead")
+
+
 def index(days: DataFrame) -> DataFrame:
     return days.select("date").distinct().orderBy("date")
 

@@ -93,3 +93,28 @@ def drop_unloadable(articles: DataFrame, probes: DataFrame, origin: str) -> Data
     verdict = probes.dropDuplicates(["image"]).select("image", loadable(F.col("ok"), F.col("type"), F.col("allow"), F.col("redirected"), origin).alias("fine"))
     joined = articles.join(verdict, "image", "left")
     return joined.withColumn("image", F.when(F.col("fine"), F.col("image"))).drop("fine")
+
+
+def write_feed_list(feeds: DataFrame, path: str, backups: str | None = None, stamp: str | None = None, most: int | None = None) -> int:
+    """Write the list as one JSON array by category and address; an earlier list is copied to `backups`/`stamp` first.
+
+    `most` keeps the first feeds of that order. Returns how many were written. Lists are small: thousands of feeds.
+    """
+    from pyspark.errors import AnalysisException
+
+    spark = feeds.sparkSession
+    ordered = feeds.orderBy("category", "url")
+    ordered = ordered if most is None else ordered.limit(most)
+    cells = F.array_sort(F.collect_list(F.struct(F.coalesce("category", F.lit("")).alias("__c"), F.col("url").alias("__u"), F.struct(*feeds.columns).alias("feed"))))
+    text = ordered.agg(F.to_json(F.transform(cells, lambda c: c["feed"])).alias("value"), F.count("*").alias("n")).first()
+    if backups is not None:
+        try:
+            before = spark.read.text(path, wholetext=True).collect()
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            before = []
+        if before:
+            spark.createDataFrame([(r.value.rstrip("\n"),) for r in before], "value string").coalesce(1).write.mode("overwrite").text(f"{backups}/{stamp}")
+    spark.createDataFrame([(text.value,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+    return int(text.n)

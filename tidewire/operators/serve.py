@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import re
-from datetime import date, timedelta
+from datetime import date, datetime, timedelta
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -18,6 +18,10 @@ def _day(days: DataFrame, wanted: str | None, today: date) -> tuple[str, dict]:
     if wanted is not None:
         if not isinstance(wanted, str) or not re.fullmatch(r"\d{4}-\d{2}-\d{2}", wanted):
             raise ToolInputError("a date is written YYYY-MM-DD")
+        try:
+            datetime.strptime(wanted, "%Y-%m-%d")
+        except ValueError:
+            raise ToolInputError(f"{wanted} is no day of the calendar") from None
         if wanted > str(today):
             raise ToolInputError(f"{wanted} lies ahead of {today}")
     asked = [wanted] if wanted is not None else [str(today), str(today - timedelta(days=1))]

@@ -78,3 +78,26 @@ def reading_time(ticks: DataFrame, most_idle: int = 30, least: int = 5) -> DataF
     """Seconds read a story: each second is shared by the stories in view, and idle seconds do not count."""
     shares = ticks.where(F.col("idle_seconds") <= most_idle).select(F.explode("visible").alias("story"), (F.lit(1.0) / F.size("visible")).alias("share"))
     return shares.groupBy("story").agg(F.sum("share").alias("seconds")).where(F.col("seconds") >= least)
+
+
+# Events of the site beside those of the read tools.
+SITE_EVENTS = ("story_read", "story_time", "article_click", "coverage_expand", "story_jump", "share", "section_filter", "install_prompt")
+SNOOZE_DAYS, MOST_DISMISSALS, READS_RETURNING, READS_FIRST = (30, 90), 3, 1, 3
+
+
+def site_events(rows: DataFrame) -> DataFrame:
+    """Rows of known site events; others go."""
+    return rows.where(F.col("event").isin(*SITE_EVENTS))
+
+
+def snoozed(dismissals: Column, now: Column) -> Column:
+    """struct<dismissals, until> after one more dismissal of the prompt: 30 days, then 90."""
+    n = F.coalesce(dismissals, F.lit(0)) + 1
+    days = F.get(F.array(*[F.lit(d) for d in SNOOZE_DAYS]), F.least(n, F.lit(len(SNOOZE_DAYS))) - 1)
+    return F.struct(n.alias("dismissals"), (now + F.make_dt_interval(days)).alias("until"))
+
+
+def may_prompt(dismissals: Column, until: Column, now: Column, reads: Column, returning: Column) -> Column:
+    """Whether the prompt may show: not dismissed too often, not snoozed, and enough read in this visit."""
+    enough = reads >= F.when(returning, F.lit(READS_RETURNING)).otherwise(F.lit(READS_FIRST))
+    return (F.coalesce(dismissals, F.lit(0)) < MOST_DISMISSALS) & (until.isNull() | (now >= until)) & enough

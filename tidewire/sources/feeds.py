@@ -5,7 +5,9 @@ from __future__ import annotations
 import re
 import time
 import urllib.error
+import urllib.parse
 import urllib.request
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -138,8 +140,47 @@ def decoded(body: bytes, content_type: str | None = None) -> str:
             return body.decode("utf-8", "replace")
 
 
+def fetch(url: str, timeout: float = 5, limit: int = 5 << 20, redirects: int = 5, attempts: int = 2) -> tuple[str | None, str | None]:
+    """(body, error) of an address: one more attempt after a passing network error, none after an answer."""
+    handler = urllib.request.HTTPRedirectHandler()
+    handler.max_redirections = redirects
+    opener, error = urllib.request.build_opener(handler), None
+    for attempt in range(attempts):
+        try:
+            with opener.open(url, timeout=timeout) as got:
+                raw = got.read(limit + 1)
+                return (None, "too large") if len(raw) > limit else (decoded(raw, got.headers.get("Content-Type")), None)
+        except urllib.error.HTTPError as e:
+            return None, f"HTTP {e.code}"
+        except (TimeoutError, ConnectionError, urllib.error.URLError) as e:
+            cause = getattr(e, "reason", e)
+            error = "timeout" if isinstance(cause, TimeoutError) else type(cause).__name__
+            if not isinstance(cause, TimeoutError | ConnectionError):
+                break
+            if attempt + 1 < attempts:
+                time.sleep(0.25)
+        except OSError as e:
+            return None, type(e).__name__
+    return None, error
+
+
+def within(seconds: float, work: Callable[[], tuple[str | None, str | None]]) -> tuple[str | None, str | None]:
+    """The work's result, or a deadline error once the time is over; what still runs then is left to end by itself."""
+    from threading import Thread
+
+    out: list[tuple[str | None, str | None]] = []
+    thread = Thread(target=lambda: out.append(work()), daemon=True)
+    thread.start()
+    thread.join(seconds)
+    return out[0] if out else (None, "deadline")
+
+
 class FeedSource(DataSource):
-    """`spark.read.format("feeds").option("urls", "a b")`: one feed a partition; errors are rows, never failures."""
+    """`spark.read.format("feeds").option("urls", "a b")`: errors are rows, never failures.
+
+    At most `concurrency` partitions (10) poll one feed after the other, feeds of one host in one partition; each feed
+    has `timeout` seconds (5) an attempt and `deadline` seconds (10) in all.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -152,34 +193,29 @@ class FeedSource(DataSource):
         return _FeedReader(self.options)
 
 
-class _Url(InputPartition):
+class _Urls(InputPartition):
     pass
 
 
 class _FeedReader(DataSourceReader):
     def __init__(self, options: dict):
         self.urls = options.get("urls", "").split()
-        self.timeout = float(options.get("timeout", 5))
-        self.limit = int(options.get("limit", 5 << 20))
+        self.timeout, self.deadline = float(options.get("timeout", 5)), float(options.get("deadline", 10))
+        self.limit, self.concurrency = int(options.get("limit", 5 << 20)), int(options.get("concurrency", 10))
 
     def partitions(self) -> list[InputPartition]:
-        return [_Url(u) for u in self.urls]
+        hosts: dict[str, list[str]] = {}
+        for u in self.urls:
+            hosts.setdefault(urllib.parse.urlsplit(u).netloc.lower(), []).append(u)
+        bins: list[list[str]] = [[] for _ in range(max(1, min(self.concurrency, len(hosts))))]
+        for urls_ in sorted(hosts.values(), key=len, reverse=True):
+            min(bins, key=len).extend(urls_)
+        return [_Urls(tuple(b)) for b in bins if b]
 
     def read(self, partition: InputPartition):  # noqa: ANN201
-        from datetime import datetime
-
-        began, body, error = time.time(), None, None
-        for attempt in range(2):
-            try:
-                with urllib.request.urlopen(partition.value, timeout=self.timeout) as got:  # noqa: S310
-                    raw = got.read(self.limit + 1)
-                    body, error = (None, "too large") if len(raw) > self.limit else (decoded(raw, got.headers.get("Content-Type")), None)
-                break
-            except urllib.error.HTTPError as e:
-                error = f"HTTP {e.code}"
-                break
-            except OSError as e:
-                error = type(e).__name__ if not isinstance(e, TimeoutError) else "timeout"
-                if attempt == 0:
-                    time.sleep(0.25)
-        yield partition.value, datetime.now(), body, error, int((time.time() - began) * 1000)
+        from datetime import UTC, datetime
+
+        for url in partition.value:
+            began = time.time()
+            body, error = within(self.deadline, lambda u=url: fetch(u, self.timeout, self.limit))
+            yield url, datetime.now(UTC), body, error, int((time.time() - began) * 1000)

@@ -99,3 +99,14 @@ def unread(latest: DataFrame, read: DataFrame) -> DataFrame:
     seen = read.groupBy("date").agg(F.collect_set("id").alias("seen"))
     days = latest.groupBy("date").agg(F.array_sort(F.collect_set("id")).alias("ids")).join(seen, "date", "left")
     return days.select("date", F.array_except("ids", F.coalesce("seen", F.array().cast("array<string>"))).alias("unread"))
+
+
+# Errors after which a store is unusable, so that the run has to end and start afresh.
+FATAL = r"(?i)Out of Memory|TransactionContext|FATAL|database has been invalidated"
+
+
+def failure(error: str) -> str:
+    """fatal, which ends the run, or passing, which is counted and left to the next run."""
+    import re
+
+    return "fatal" if re.search(FATAL, error) else "passing"
