@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from tidewire.llm.common import as_strings, materialise, shared_dir, slices
+from tidewire.llm.common import as_strings, materialise, release, shared_dir, slices
 from tidewire.llm.tokens import PlainEncoder, WordEncoder, of_word_family
 
 _BATCH_BYTES = 3 << 20
@@ -112,6 +112,7 @@ def pack(docs: DataFrame, path: str, text: str = "text", end_id: int = 1, size:
         done = [(sequence + k, True, w) for k, w in enumerate(windows.drain())]
         if done:
             yield _rows(done, names, kind)
+        release()
 
     def merge(group: pa.Table) -> pa.Table:
         kind = group.schema.field("doc_id").type

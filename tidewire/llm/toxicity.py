@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tidewire.llm.common import as_strings, fold_of, ragged, slices
+from tidewire.llm.common import as_strings, fold_of, ragged, release, slices
 from tidewire.llm.words import hashes, split
 
 _BATCH_BYTES = 2 << 20
@@ -279,6 +279,7 @@ def toxicity(docs: DataFrame, net: Network, text: str = "text", keep: tuple[str,
                     [*(c.slice(lo, hi - lo) for c in batch.columns[:n_held]), pa.array(score), pa.array((score >= 0.5).astype(np.int32))],
                     names=[*keep, "score", "predicted"],
                 )
+        release()
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in held.schema.fields[:n_held]), "score double", "predicted int"])
     return held.mapInArrow(run, schema)
