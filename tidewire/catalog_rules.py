@@ -160,8 +160,8 @@ def category_histogram(spark, sf_dir):
     return expand.category_histogram(rows)
 
 
-_SECTION_SQL = " ".join(f"WHEN category IN ({', '.join(repr(c) for c in cs.split())}) THEN '{s}'" for s, cs in selection.CATEGORIES.items())
-_NAMED = [c for cs in selection.CATEGORIES.values() for c in cs.split()] + ["general", "AI", "world-news", None]
+_SECTION_SQL = " ".join(f"WHEN category IN ({', '.join(repr(c) for c in cs)}) THEN '{s}'" for s, cs in selection.CATEGORIES.items())
+_NAMED = [c for cs in selection.CATEGORIES.values() for c in cs] + ["general", "AI", "world-news", None]
 
 
 @query(f"""WITH p AS (SELECT page_id, lower({_sql_pick(_NAMED, "page_id")}) AS category FROM pages) SELECT page_id, CASE {_SECTION_SQL} END AS section FROM p""")

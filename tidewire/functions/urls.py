@@ -94,5 +94,9 @@ def picture(url: Column) -> Column:
     return F.when(fit, F.regexp_replace(url, "^(?i)http:", "https:"))
 
 
+# Fixed value: how addresses of feeds end.
+FEED_PATH = r"(?i)/(feed|rss|atom)(/|\.xml|\.atom|\.rss)?$|/(?:feed|atom|rss)\.xml$|\.rss$|\.atom$"
+
+
 def feed_like(url: Column) -> Column:
-    return url.rlike(r"(?i)/(feed|rss|atom)(/|\.xml|\.atom|\.rss)?$|/(?:feed|atom|rss)\.xml$|\.rss$|\.atom$")
+    return url.rlike(FEED_PATH)

@@ -77,9 +77,14 @@ def category_histogram(feeds: DataFrame, n: int = 12) -> DataFrame:
     return feeds.groupBy("category").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "category").limit(n)
 
 
+# Content types and first elements of feeds.
+FEED_TYPE = r"(?i)application/(rss|atom|rdf)\+xml|application/xml|text/xml"
+FEED_ELEMENT = r"(?i)<(rss|feed|rdf:rdf|channel)[\s>]"
+
+
 def alive(content_type: Column, body: Column) -> Column:
-    kind = F.coalesce(content_type, F.lit("")).rlike(r"(?i)application/(rss|atom|rdf)\+xml|application/xml|text/xml")
-    return kind | F.substring(F.coalesce(body, F.lit("")), 1, 4096).rlike(r"(?i)<(rss|feed|rdf:rdf|channel)[\s>]")
+    """Whether an answer is a feed, by its type or its first 4 KiB."""
+    return F.coalesce(content_type, F.lit("")).rlike(FEED_TYPE) | F.substring(F.coalesce(body, F.lit("")), 1, 4096).rlike(FEED_ELEMENT)
 
 
 def loadable(ok: Column, content_type: Column, allow_origin: Column, redirected: Column, origin: str) -> Column:

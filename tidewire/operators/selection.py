@@ -9,20 +9,32 @@ from tidewire.functions import text
 
 # Feed categories of each specialist section.
 CATEGORIES = {
-    "technology": "ai tech cybersecurity websecurity pwn redteam reverse mobilesecurity iotsecurity wirelesssecurity programming dev web-development android android-development ios-development apple machinelearning ui-ux tech-video",
-    "business": "business business-and-economy business-economy crypto personal-finance startups business-video masters-of-scale-with-reid-hoffman how-i-built-this-with-guy-raz",
-    "science-health": "science space research",
-    "sports": "sports football tennis cricket cricket-unfiltered the-analyst-inside-cricket",
-    "culture": "movies music television books gaming culture fashion beauty food gastropod travel photography architecture interior-design lifestyle funny diy",
-    "politics": "politics",
-}
+    "technology": (
+        "ai", "tech", "cybersecurity", "websecurity", "pwn", "redteam", "reverse", "mobilesecurity", "iotsecurity", "wirelesssecurity", "programming", "dev", "web-development", "android", "android-development", "ios-development", "apple", "machinelearning", "ui-ux", "tech-video",
+    ),
+    "business": (
+        "business", "business-and-economy", "business-economy", "crypto", "personal-finance", "startups", "business-video", "masters-of-scale-with-reid-hoffman", "how-i-built-this-with-guy-raz",
+    ),
+    "science-health": (
+        "science", "space", "research",
+    ),
+    "sports": (
+        "sports", "football", "tennis", "cricket", "cricket-unfiltered", "the-analyst-inside-cricket",
+    ),
+    "culture": (
+        "movies", "music", "television", "books", "gaming", "culture", "fashion", "beauty", "food", "gastropod", "travel", "photography", "architecture", "interior-design", "lifestyle", "funny", "diy",
+    ),
+    "politics": (
+        "politics",
+    ),
+}
 
 
 def section_for_category(category: Column) -> Column:
     name = F.lower(F.coalesce(category, F.lit("")))
     out = F.lit(None).cast("string")
     for section, categories in CATEGORIES.items():
-        out = F.when(name.isin(*categories.split()), F.lit(section)).otherwise(out)
+        out = F.when(name.isin(*categories), F.lit(section)).otherwise(out)
     return out
 
 
