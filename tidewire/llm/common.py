@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -104,7 +105,8 @@ def slices(strings: pa.Array, limit: int) -> Iterator[tuple[int, int]]:
 
 
 def release() -> None:
-    """Give freed memory back to the system, at a task's end: Python workers live on and serve the next stage."""
+    """Give memory that earlier tasks have freed back to the system, at a task's start: Python workers outlive their stages."""
+    gc.collect()
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim is not None:

@@ -229,6 +229,7 @@ def near_duplicates(
         body = scratch.keep(body)  # numbers are given once
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             strings = as_strings(batch.column(1))
             for lo, hi in slices(strings, _BATCH_BYTES):
@@ -239,7 +240,6 @@ def near_duplicates(
                     [batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), pa.array(set_keys(values, sizes)), pa.array(sizes, pa.int64()), pa.array(blobs, pa.binary())],
                     names=["doc_id", "at", "node", "size", "labels"],
                 )
-        release()
 
     signed = scratch.keep(body.mapInArrow(sign, f"doc_id {key}, at long, node long, size long, labels binary"))
     # Any of a node's equal labels will do; max() is one that partial aggregation can carry.
@@ -329,6 +329,7 @@ def near_duplicates(
     texts = members.join(_shuffled(body.drop("doc_id")), "at").select("node", "copies", "labels", "depths", "seats", "body")
 
     def prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             strings = as_strings(batch.column(5))
             for lo, hi in slices(strings, _BATCH_BYTES):
@@ -338,7 +339,6 @@ def near_duplicates(
                 sets = [values[ends[i] - n[i] : ends[i]].tobytes() for i in own]
                 at = pa.array(own + lo)
                 yield pa.RecordBatch.from_arrays([*(batch.column(k).take(at) for k in range(5)), pa.array(sets, pa.binary())], names=["node", "copies", "labels", "depths", "seats", "shingles"])
-        release()
 
     ready = texts.mapInArrow(prepare, "node long, copies long, labels binary, depths binary, seats array<struct<bucket:long,tree:int,level:int,blocks:int>>, shingles binary")
     ready = ready.withColumn("seat", F.explode("seats")).select("node", "copies", "labels", "depths", "shingles", "seat.*")

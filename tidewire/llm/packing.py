@@ -86,6 +86,7 @@ def pack(docs: DataFrame, path: str, text: str = "text", end_id: int = 1, size:
     schema, family = f"doc_id {key}, {_PIECE}, open boolean", of_word_family(path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         encoder, windows, kind = WordEncoder(path) if family else PlainEncoder(path), Windows(size, slots), pa.int64()
         sequence = TaskContext.get().partitionId() << 36
         done: list = []
@@ -112,9 +113,9 @@ def pack(docs: DataFrame, path: str, text: str = "text", end_id: int = 1, size:
         done = [(sequence + k, True, w) for k, w in enumerate(windows.drain())]
         if done:
             yield _rows(done, names, kind)
-        release()
 
     def merge(group: pa.Table) -> pa.Table:
+        release()
         kind = group.schema.field("doc_id").type
         rows = group.sort_by([("sequence_id", "ascending"), ("offset", "ascending")]).to_pylist()
         filled: dict[int, list] = {}

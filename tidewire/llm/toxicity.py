@@ -269,6 +269,7 @@ def toxicity(docs: DataFrame, net: Network, text: str = "text", keep: tuple[str,
     n_held = len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         net.embed = net.embed.astype(np.float32)
         for batch in batches:
             strings = as_strings(batch.column(n_held))
@@ -279,7 +280,6 @@ def toxicity(docs: DataFrame, net: Network, text: str = "text", keep: tuple[str,
                     [*(c.slice(lo, hi - lo) for c in batch.columns[:n_held]), pa.array(score), pa.array((score >= 0.5).astype(np.int32))],
                     names=[*keep, "score", "predicted"],
                 )
-        release()
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in held.schema.fields[:n_held]), "score double", "predicted int"])
     return held.mapInArrow(run, schema)
