@@ -93,6 +93,13 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(periodic_runs(planted(table(spark, sf_dir, "documents"))))
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewire.llm.audit import FILTERS, audit, masks
+
+    masked = masks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).withColumnsRenamed({"good": "good_lost", "toxic": "toxic_lost"})
+    return audit(masked, FILTERS, rows="rows", losses=("good_lost", "toxic_lost"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
@@ -121,6 +128,43 @@ v AS (SELECT *, CASE WHEN own AND path LIKE '/en/1%' THEN 'example.org/en/1' WHE
 SELECT page_id, host, path, rule, CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' WHEN over THEN 'block' ELSE 'allow' END AS verdict FROM v"""
 
 
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+_PERIODIC_RUNS = rf"""WITH RECURSIVE crc AS (SELECT i, i AS c, 0 AS k FROM range(256) t(i)
+UNION ALL SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM crc WHERE k < 8),
+steps AS (SELECT list(c ORDER BY i) AS t FROM crc WHERE k = 8),
+ids AS (SELECT DISTINCT doc_id, coalesce(CAST(doc_id AS VARCHAR), '') AS s FROM documents),
+sums AS (SELECT doc_id, xor(list_reduce(list_prepend(4294967295::BIGINT, [ascii(s[j + 1])::BIGINT FOR j IN range(length(s))]), lambda h, x: xor(h >> 8, t[xor(h & 255, x) + 1])), 4294967295::BIGINT) AS h FROM ids, steps),
+d AS (SELECT row_number() OVER () AS row, doc_id, {_WORDS} AS w FROM documents),
+g AS (SELECT row, d.doc_id, w, len(w) AS n, h, h // 10 AS g, CASE WHEN len(w) > 0 THEN (h // 10) % len(w) ELSE 0 END AS a FROM d JOIN sums ON d.doc_id IS NOT DISTINCT FROM sums.doc_id),
+p AS (SELECT row, doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN [w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + g % 8)) END] FOR i IN range(n)] ELSE w END AS w FROM g),
+e AS (SELECT row, n, unnest(w) AS word, unnest(range(n)) AS i FROM p),
+l AS (SELECT row, n, word, list(i ORDER BY i) AS places FROM e GROUP BY ALL HAVING count(*) > 1),
+o AS (SELECT row, n, places[k] AS i, unnest(list_slice(places, k + 1, len(places))) AS j FROM (SELECT row, n, places, unnest(range(1, len(places) + 1)) AS k FROM l)),
+m AS (SELECT row, n, i, j - i AS q FROM o WHERE 2 * (j - i) <= n),
+s AS (SELECT row, q, min(i) AS start, count(*) + q AS length FROM (SELECT *, i - row_number() OVER (PARTITION BY row, q ORDER BY i) AS island FROM m) GROUP BY row, q, island HAVING count(*) >= q AND count(*) + q >= 12),
+r AS (SELECT row, start, length, min(q) AS period FROM s GROUP BY ALL),
+drops AS (SELECT DISTINCT row, unnest(range(start + period, start + length)) AS i FROM r),
+kept AS (SELECT row, string_agg(word, ' ' ORDER BY i) AS words FROM e ANTI JOIN drops USING (row, i) GROUP BY row),
+b AS (SELECT row, count(*) AS n_runs, arg_min(struct_pack(start, length, period), struct_pack(x := -length, y := start, z := period)) AS best,
+string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS spelled FROM r GROUP BY row)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, best.start AS start, best.length AS length, best.period AS period, 1000 * best.length // best.period AS exponent_milli,
+sha256(coalesce(spelled, '')) AS runs_sha256, sha256(coalesce(words, '')) AS collapsed_sha256 FROM p LEFT JOIN b USING (row) LEFT JOIN kept USING (row)"""
+
+_FILTER_AUDIT = rf"""WITH t AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS body, {_WORDS} AS w FROM documents),
+k AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY 1),
+f AS (SELECT part, coalesce(good, false)::INT AS good, coalesce(toxic, false)::INT AS toxic, [len(w) < 200, 100 * len(list_distinct(w)) < 50 * len(w),
+100 * length(regexp_replace(body, '[^A-Z]', '', 'g')) > 2 * length(body), regexp_matches(body, '[#$%&*|]'), coalesce(doc_id > min(doc_id) OVER (PARTITION BY body), false)] AS fails FROM t LEFT JOIN k USING (doc_id)),
+c AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY ALL),
+l AS (SELECT unnest(range(5)) AS i), o AS (SELECT [a.i, b.i, c.i, d.i, e.i] AS places FROM l a, l b, l c, l d, l e WHERE len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5),
+s AS (SELECT places, list_aggregate([substr('ABCDE', i + 1, 1) FOR i IN places], 'string_agg', '') AS filter_order, unnest(range(1, 6)) AS step FROM o),
+x AS (SELECT part, filter_order, step, places[step] AS filter, n, good, toxic, fails[places[step] + 1] AS here, list_bool_or([false] || [fails[i + 1] FOR i IN list_slice(places, 1, step - 1)]) AS earlier, len(list_filter(fails, lambda z: z)) = 1 AS alone FROM c, s),
+y AS (SELECT part, filter_order, step, filter, sum(CASE WHEN here OR earlier THEN 0 ELSE n END) AS kept, sum(CASE WHEN here AND NOT earlier THEN n ELSE 0 END) AS removed, sum(CASE WHEN here AND earlier THEN n ELSE 0 END) AS redundant,
+sum(CASE WHEN here AND alone THEN n ELSE 0 END) AS unique_fails, sum(CASE WHEN here AND NOT earlier THEN good ELSE 0 END) AS good_lost, sum(CASE WHEN here AND NOT earlier THEN toxic ELSE 0 END) AS toxic_lost FROM x GROUP BY ALL)
+SELECT part, filter_order, step::INT AS step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost,
+(sum(removed) OVER (PARTITION BY part, filter))::BIGINT AS shapley FROM y"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL where it can express the query; the other operators are tested against brute force, libraries and held-out rows."""
-    return {"op4_url_filters": _URL_FILTERS}
+    return {"op4_url_filters": _URL_FILTERS, "op11_periodic_runs": _PERIODIC_RUNS, "op12_filter_audit": _FILTER_AUDIT}
