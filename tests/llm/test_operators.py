@@ -631,7 +631,7 @@ def test_toxicity_held_out(spark, odd):
     assert ((held.doc_id % 5 == 0) == (held.predicted == 1)).mean() > 0.95
     assert got.score.between(0, 1).all()
     assert toxicity(odd, net).count() == len(ODD) and toxicity(odd.limit(0), net).count() == 0
-    small = train(df, df.select("doc_id", "toxic"), fit_total=600)  # the collected words are bounded
+    small = train(df, df.select("doc_id", "toxic"), fit_total=9000)  # the collected texts are bounded
     assert toxicity(odd, small).count() == len(ODD)
     with pytest.raises(ValueError):
         toxicity(odd, net, keep=("doc_id", "score"))
@@ -667,6 +667,52 @@ def test_quality_statistics(odd, docs, labels):
     assert quality_rules(odd.limit(0), labels.limit(0)).count() == 0
 
 
+def test_labels_of_other_documents_change_nothing(spark, docs, labels):
+    """However many other documents are labelled, the same rows are fitted: op7, op9 and the pipeline's stages."""
+    from tidewire.llm.quality import quality_rules
+    from tidewire.llm.toxicity import toxicity, train
+
+    absent = spark.range(10_000_000, 10_060_000).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("quality"), (F.col("id") % 3 == 0).cast("int").alias("toxic"))
+    both = labels.select("doc_id", F.col("quality").cast("int").alias("quality"), F.col("toxic").cast("int").alias("toxic")).union(absent)
+    shown = lambda df: sorted(tuple(r) for r in df.collect())
+    assert shown(quality_rules(docs, labels, label_rows=100)) == shown(quality_rules(docs, both, label_rows=100))
+    assert shown(toxicity(docs, train(docs, labels, fit_rows=60))) == shown(toxicity(docs, train(docs, both, fit_rows=60)))
+
+
+def test_long_or_repeated_labelled_rows_take_no_places(spark, docs, labels):
+    """Texts too long to fit on and repeated rows are left out before the draw, not after it."""
+    from tidewire.llm.toxicity import train
+
+    some = docs.where("doc_id is not null").select("doc_id", "text")
+    net = train(some, labels, fit_rows=80, fit_bytes=50_000)
+    long = spark.createDataFrame([(10_000_000 + i, "word " * 20_000) for i in range(40)], "doc_id long, text string")
+    known = labels.select("doc_id", "toxic").union(long.selectExpr("doc_id", "cast(1 as bigint)"))
+    again = train(some.union(long).union(some.limit(30)), known, fit_rows=80, fit_bytes=50_000)
+    assert np.array_equal(net.thresholds, again.thresholds) and np.array_equal(net.embed, again.embed)
+
+
+def path_length(forest, tree, x):
+    """One row's walk through one tree, split by split."""
+    node = 0
+    while True:
+        left, right = forest.child[tree, node]
+        if left == right == node:
+            return forest.path[tree, node]
+        node = right if x[forest.feature[tree, node]] >= forest.cut[tree, node] else left
+
+
+def test_path_lengths_walk_by_walk():
+    from tidewire.llm.quality import expected_path, fit_forest
+
+    rng = np.random.default_rng(6)
+    x = rng.normal(0, 1, (400, 5))
+    forest = fit_forest(x, trees=20, sample=64)
+    rows = np.concatenate([x[:30], rng.normal(0, 6, (10, 5)), np.zeros((1, 5))])
+    plain = [2.0 ** (-np.mean([path_length(forest, t, row) for t in range(20)]) / expected_path(64)) for row in rows]
+    assert np.allclose(forest.score(rows), plain)
+    assert math.isclose(expected_path(2), 1) and math.isclose(expected_path(256), 2 * (math.log(255) + 0.5772156649015329) - 2 * 255 / 256)
+
+
 def test_forest_parts_poor_from_clean():
     from tidewire.llm.quality import calibrate, fit_forest
 

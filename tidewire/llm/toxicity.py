@@ -216,13 +216,25 @@ def calibrate(net: Network, logits: np.ndarray, toxic: np.ndarray, language: np.
     net.scale = 1.0 if spread > 0.5 else float(0.5 / max(spread, 0.05))
 
 
-def train(docs: DataFrame, labels: DataFrame, text: str = "text", fit_rows: int = 6000, fit_words: int = 20_000, fit_total: int = 10_000_000) -> Network:
-    """Fit on at most `fit_rows` labelled documents, those with the smallest id hashes, of at most `fit_words`
-    words (longer ones are not drawn) and `fit_total` words together, 12 bytes each on the driver. Rows of fold 0 are never read for labels; fold 1 calibrates, 2 to 4 train."""
+def train(docs: DataFrame, labels: DataFrame, text: str = "text", fit_rows: int = 6000, fit_bytes: int = 160_000, fit_total: int = 40_000_000) -> Network:
+    """Fit on at most `fit_rows` labelled documents: of those with a label and a text of at most `fit_bytes`, the ones
+    with the smallest id hashes, as far as `fit_total` bytes of text reach.
+
+    Labels are joined to the documents before any row is drawn, so labels of other documents change nothing. A
+    document labelled twice counts as toxic if one label says so; rows that share an id are told apart by their
+    text's hash; null ids have no label. Rows of fold 0 are never read for labels; fold 1 calibrates, 2 to 4 train.
+    Lengths, not texts, are sorted and summed; what the driver holds is at most 12 bytes a word of the drawn texts.
+    """
     known = (
         labels.where("doc_id is not null and toxic in (0, 1)").withColumn("fold", fold_of(F.col("doc_id"))).where("fold != 0")
-        .groupBy("doc_id", "fold").agg(F.max("toxic").cast("int").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
+        .groupBy("doc_id", "fold").agg(F.max("toxic").cast("int").alias("y"))
     )
+    body = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    sizes = docs.select("doc_id", F.xxhash64(body).alias("mark"), F.octet_length(body).alias("size")).where(F.col("size") <= fit_bytes).dropDuplicates(["doc_id", "mark"])
+    order = [F.xxhash64("doc_id"), F.col("doc_id"), F.col("mark")]
+    drawn = sizes.join(known.hint("merge"), "doc_id").orderBy(*order).limit(fit_rows)  # few enough for one window
+    total = F.sum("size").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    drawn = drawn.withColumn("total", total).where(F.col("total") <= fit_total).select("doc_id", "mark", "fold", "y").distinct()
 
     def codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -230,21 +242,17 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", fit_rows: int
             for lo, hi in slices(strings, _BATCH_BYTES):
                 buckets, lengths, language = encode(strings.slice(lo, hi - lo))
                 ends = np.cumsum(lengths)
-                keep = np.flatnonzero(lengths <= fit_words)
-                blobs = [np.ascontiguousarray(buckets[ends[i] - lengths[i] : ends[i]]).tobytes() for i in keep]
-                at = pa.array(keep + lo)
+                blobs = [np.ascontiguousarray(buckets[end - n : end]).tobytes() for end, n in zip(ends, lengths, strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(k).take(at) for k in range(3)), pa.array(language[keep]), pa.array(blobs, pa.binary())],
+                    [*(batch.column(k).slice(lo, hi - lo) for k in range(3)), pa.array(language), pa.array(blobs, pa.binary())],
                     names=["doc_id", "fold", "y", "language", "codes"],
                 )
 
-    picked = docs.select("doc_id", F.col(text).cast("string").alias("__text")).join(F.broadcast(known), "doc_id")
+    # Rows that share an id and a text are one example.
+    picked = docs.select("doc_id", F.xxhash64(body).alias("mark"), body.alias("__text")).join(F.broadcast(drawn), ["doc_id", "mark"]).dropDuplicates(["doc_id", "mark"])
     key = docs.schema["doc_id"].dataType.simpleString()
     coded = picked.select("doc_id", "fold", "y", "__text").mapInArrow(codes, f"doc_id {key}, fold int, y int, language long, codes binary")
-    drawn = coded.orderBy(F.xxhash64("doc_id"), "doc_id", "codes").limit(fit_rows)  # few enough for one window
-    order = Window.orderBy(F.xxhash64("doc_id"), "doc_id", "codes").rowsBetween(Window.unboundedPreceding, 0)
-    total = F.sum(F.octet_length("codes") / (4 * (1 + len(_STEMS)))).over(order)
-    rows = drawn.withColumn("__total", total).where(F.col("__total") <= fit_total).drop("__total").collect()
+    rows = coded.orderBy(F.xxhash64("doc_id"), "doc_id", "codes").collect()
     texts = [np.frombuffer(r.codes, np.int32).reshape(-1, 1 + len(_STEMS)) for r in rows]
     y = np.array([r.y for r in rows], np.int64)
     held = np.array([r.fold == 1 for r in rows], bool)
