@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import unicodedata
 
 from pyspark.sql import Column, functions as F
@@ -62,8 +63,13 @@ _PAIRS = _composed_pairs()
 SPACE = r"[\s   -     　﻿]"
 
 
+#: Asked first, as most headlines and words need no more than that.
+_BEYOND_ASCII = r"[^\x00-\x7F]"
+
+
 def _literal_map(items: dict[str, str]) -> Column:
-    return F.map_from_arrays(F.array(*[F.lit(k) for k in items]), F.array(*[F.lit(v) for v in items.values()]))
+    """One literal, that the optimizer turns into a map once."""
+    return F.from_json(F.lit(json.dumps(items)), "map<string,string>")
 
 
 def compose(text: Column) -> Column:
@@ -71,7 +77,8 @@ def compose(text: Column) -> Column:
     known = _literal_map(_PAIRS)
     join = lambda acc, c: F.coalesce(F.try_element_at(known, F.concat(acc, c)), F.concat(acc, c))
     one = lambda cluster: F.when(F.length(cluster) > 1, F.aggregate(F.filter(F.split(cluster, ""), lambda c: c != ""), F.lit(""), join)).otherwise(cluster)
-    return F.when(text.rlike(r"\p{M}"), F.array_join(F.transform(F.split(text, r"(?=\P{M})"), one), "")).otherwise(text)
+    marked = text.rlike(_BEYOND_ASCII) & text.rlike(r"\p{M}")
+    return F.when(marked, F.array_join(F.transform(F.split(text, r"(?=\P{M})"), one), "")).otherwise(text)
 
 
 def _utf16(code: Column) -> Column:
@@ -89,9 +96,10 @@ def _unfolded(c: Column) -> Column:
 def fold(text: Column) -> Column:
     """Without accents: compatibility forms unfolded, marks dropped."""
     out = F.translate(text, _ONE, _TO)
-    rare = out.rlike(f"[{''.join(_MANY)}\uac00-\ud7a3]")
+    several = F.length(F.translate(out, "".join(_MANY), "")) < F.length(out)
+    rare = several | out.rlike("[\uac00-\ud7a3]")
     out = F.when(rare, F.array_join(F.transform(F.split(out, ""), _unfolded), "")).otherwise(out)
-    return F.regexp_replace(out, r"\p{M}+", "")
+    return F.when(text.rlike(_BEYOND_ASCII), F.regexp_replace(out, r"\p{M}+", "")).otherwise(text)
 
 
 def clean_text(value: Column) -> Column:
@@ -122,11 +130,10 @@ def tokens(headline: Column) -> Column:
     """array<struct<surface, stem>>: words of a headline, with what matching compares."""
     body = F.regexp_replace(F.lower(compose(F.coalesce(headline, F.lit("")))), r"['’]s(?![A-Za-z0-9_])", "")
     words = F.filter(F.split(body, r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    stop = F.array(*[F.lit(w) for w in STOPWORDS])
     keyed = F.transform(words, lambda w: F.named_struct(F.lit("surface"), w, F.lit("key"), fold(w)))
-    kept = F.filter(keyed, lambda t: (F.length(t["key"]) > 1) & ~F.array_contains(stop, t["key"]) & ~t["key"].rlike("^[0-9]+$"))
+    kept = F.filter(keyed, lambda t: (F.length(t["key"]) > 1) & ~t["key"].isin(*STOPWORDS) & ~t["key"].rlike("^[0-9]+$"))
     stemmed = F.transform(kept, lambda t: F.named_struct(F.lit("surface"), t["surface"], F.lit("stem"), stem(t["key"])))
-    return F.filter(stemmed, lambda t: (F.length(t["stem"]) > 1) & ~F.array_contains(stop, t["stem"]))
+    return F.filter(stemmed, lambda t: (F.length(t["stem"]) > 1) & ~t["stem"].isin(*STOPWORDS))
 
 
 def bigrams(words: Column) -> Column:
@@ -153,8 +160,7 @@ def entities(headline: Column) -> Column:
     # Word boundaries are ASCII ones, which the engine's own are not.
     pattern = r"(?<![A-Za-z0-9_])(?:[A-Z][a-zA-Z0-9]+|[A-Z]{2,})(?:\s+(?:[A-Z][a-zA-Z0-9]+|[A-Z]{2,})){0,3}(?![A-Za-z0-9_])"
     found = F.transform(F.regexp_extract_all(F.coalesce(headline, F.lit("")), F.lit(pattern), F.lit(0)), lambda e: F.trim(e))
-    stop = F.array(*[F.lit(w) for w in STOPWORDS])
-    return F.slice(F.array_distinct(F.filter(found, lambda e: (F.length(e) > 1) & ~F.array_contains(stop, F.lower(e)))), 1, 12)
+    return F.slice(F.array_distinct(F.filter(found, lambda e: (F.length(e) > 1) & ~F.lower(e).isin(*STOPWORDS))), 1, 12)
 
 
 def truncate(value: Column, n: int) -> Column:
