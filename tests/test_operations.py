@@ -78,17 +78,47 @@ def test_dead_pictures_leave_their_articles(spark, days):  # noqa: F811
     assert not briefing.without_dead_pictures(days, verdicts).first().changed
 
 
-def test_tables_are_swapped_whole(spark, tmp_path):
-    path = str(tmp_path / "table")
-    store.swap(spark.range(10), path)
-    with pytest.raises(Exception, match="stop"):  # a failing version is never pointed at
-        store.swap(spark.range(5).select(F.when(F.col("id") == 4, F.raise_error(F.lit("stop"))).otherwise(F.col("id")).alias("id")), path)
-    assert store.current(spark, path).count() == 10
-    assert store.swap(store.current(spark, path).where("id < 3"), path).count() == 3
-    assert store.compact(spark, path, "id", file_rows=2).rdd.getNumPartitions() == 2 and store.current(spark, path).count() == 3
-    archive = str(tmp_path / "archive")
-    assert store.verified_write(spark.range(4).withColumn("month", F.lit("2026-01")), archive, "month") == 4
-    assert store.verified_write(spark.range(0).withColumn("month", F.lit("2026-01")), archive, "month") == 0 and spark.read.parquet(archive).count() == 4
+def test_archive_runs_by_month(spark, tmp_path):
+    """Fetched times decide, whatever the date of publication; untouched months keep their files; six columns go."""
+    from tidewire.operators import archive
+
+    at = lambda m, d=1: datetime(2024, m, d)
+    schema = "url_hash long, title string, summary string, image_url string, author string, feed_title string, tags string, raw_fingerprint string, published_at timestamp, fetched_at timestamp"
+    full = ("a", "f", "x", "r")
+    hot = spark.createDataFrame(
+        [
+            (1, "t", "s", None, *full, datetime(2020, 1, 1), at(6)), (2, "t", "s", None, *full, at(5), at(1)), (3, None, None, "i", *full, None, at(1, 9)),
+            (4, None, None, None, *full, None, at(1, 10)), (5, None, None, None, *full, None, at(2)), (6, "t", None, None, *full, None, at(2, 20)),
+        ], schema,
+    )
+    table = archive.archive_table(spark, f"file://{tmp_path}/cold")
+    assert archive.archive_articles(hot, table, "2024-02-10", dry_run=True)[1] == {"2024-01": 2} and table.version() == 0
+    left, counts = archive.archive_articles(hot, table, "2024-02-10")
+    assert counts == {"2024-01": 2} and sorted((r.url_hash, r.month, r.author) for r in table.read().collect()) == [(2, "2024-01", "a"), (3, "2024-01", "a")]
+    kept = {r.url_hash: (r.summary, r.image_url, r.author, r.feed_title, r.tags, r.raw_fingerprint) for r in left.collect()}
+    assert kept[1] == ("s", None, *full) and kept[2] == kept[3] == kept[4] == (None,) * 6
+    assert kept[5] == (None, None, *full)  # its month has nothing to archive
+    january = table.manifest()["cells"]["2024-01"]
+    again, counts = archive.archive_articles(left.where("url_hash > 3"), table, "2024-03-01")
+    assert counts == {"2024-02": 1} and table.manifest()["cells"]["2024-01"] == january and table.read().count() == 3
+
+    topics = spark.createDataFrame([("a", date(2024, 1, 5)), ("b", date(2024, 2, 5))], "id string, topic_date date")
+    links = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3), ("c", 4)], "topic_id string, url_hash long")
+    stored = archive.archive_table(spark, f"file://{tmp_path}/topics", "id"), archive.archive_table(spark, f"file://{tmp_path}/links")
+    archive.archive_topic_tables(topics, links, ["2024-01"], *stored)
+    archive.archive_topic_tables(topics, links.where("url_hash <> 1"), ["2024-01", "2024-02"], *stored)
+    assert sorted((r.id, r.month) for r in stored[0].read().collect()) == [("a", "2024-01"), ("b", "2024-02")]
+    assert sorted(r.url_hash for r in stored[1].read().collect()) == [1, 2, 3]
+
+
+def test_refused_requests_spend_nothing(spark):
+    from tidewire.operators import enrich
+
+    asked = spark.createDataFrame([("d", 1, 1000, None), ("d", 2, 10_000_000, None), ("d", 3, 1000, None), ("e", 1, 1000, 0.0), ("e", 2, 1000, 0.0)], "day string, at long, chars long, cost double")
+    ledger = spark.createDataFrame([("e", 0.01), ("e", 0.009)], "day string, amount double")
+    got = lambda budget: sorted((r.day, r.at) for r in enrich.within_budget(asked, ledger, budget, 0.1, 0.4, 900).collect())
+    assert got(0.02) == [("d", 1), ("d", 3), ("e", 1), ("e", 2)]  # what is spent counts, not what might have been
+    assert got(0.0192) == [("d", 1), ("d", 3)] and got(0.0) == []
 
 
 def test_topic_archive_and_repair_counts(spark):

@@ -66,15 +66,15 @@ def test_charsets():
 
 
 def test_ingest_flush_is_idempotent(spark, tmp_path):
-    from tidewire.streaming.ingest import flush
+    from tidewire.streaming.ingest import article_table, flush
 
     at = datetime(2026, 4, 27, 8)
     schema = "seq long, url_hash long, title string, summary string, image_url string, published_at timestamp, fetched_at timestamp"
     batch = spark.createDataFrame([(1, 1, "a", None, None, at, at), (2, 1, "b", "s", None, at, at), (3, 2, "c", None, None, None, at)], schema)
     path = str(tmp_path / "articles")
-    assert flush(batch, path) == {"candidates": 3, "inserted": 2}
-    assert flush(batch, path) == {"candidates": 3, "inserted": 0}
-    rows = {r.url_hash: (r.title, r.summary) for r in spark.read.parquet(path).collect()}
+    assert flush(batch, path) == {"candidates": 3, "inserted": 2, "late": 0, "cells_read": 0, "cells": 0}
+    assert flush(batch, path) == {"candidates": 3, "inserted": 0, "late": 0, "cells_read": 2, "cells": 2}
+    rows = {r.url_hash: (r.title, r.summary) for r in article_table(spark, path).read().collect()}
     assert rows == {1: ("a", "s"), 2: ("c", None)}
 
 

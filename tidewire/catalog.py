@@ -13,9 +13,10 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from tidewire.config import SECTIONS
 from tidewire.functions import text, urls, values
 from tidewire.functions.text import STOPWORDS
-from tidewire.operators import briefing, expand, followup, scoring, selection, store, terms, topics, usage
+from tidewire.operators import archive, briefing, expand, followup, scoring, selection, store, terms, topics, usage
 from tidewire.plans import daily
 from tidewire.sources.articles import articles_of, day_articles
+from tidewire.storage import shared_dir
 from tidewire.streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -149,20 +150,44 @@ def upsert(spark, sf_dir):
     return store.upsert(target, batch, "k", ("title", "summary")).select("k", "title", "summary")
 
 
-@query("SELECT strftime(o_orderdate, '%Y-%m') AS month, count(*) AS n FROM orders GROUP BY 1")
+# Rows fetched long before or after they are dated, with and without content.
+_STORED = """s AS (SELECT seq, url, published_at, TIMESTAMP '2023-11-01 00:00:00' + (seq * 37 % 4000) * INTERVAL 1 HOUR AS fetched_at, CASE WHEN seq % 3 > 0 THEN title END AS title, CASE WHEN seq % 2 > 0 THEN summary END AS summary,
+CASE WHEN seq % 5 > 0 THEN 'https://i.example/' || seq END AS image_url, 'w' || seq % 7 AS author, feed_title, lang AS tags, 'f' || seq AS raw_fingerprint FROM a),
+m AS (SELECT strftime(fetched_at, '%Y-%m') AS month, count(*) AS n FROM s WHERE fetched_at < TIMESTAMP '2024-01-19' AND (summary IS NOT NULL OR image_url IS NOT NULL OR title IS NOT NULL) GROUP BY 1)"""
+
+
+def _stored(spark, sf_dir):
+    a, seq = _articles(spark, sf_dir), F.col("seq")
+    return a.select(
+        "seq", "url", "published_at", F.timestamp_seconds(F.lit(1698796800) + seq * 37 % 4000 * 3600).alias("fetched_at"), F.when(seq % 3 > 0, F.col("title")).alias("title"), F.when(seq % 2 > 0, F.col("summary")).alias("summary"),
+        F.when(seq % 5 > 0, F.concat(F.lit("https://i.example/"), seq)).alias("image_url"), F.concat(F.lit("w"), seq % 7).alias("author"), "feed_title", F.col("lang").alias("tags"), F.concat(F.lit("f"), seq).alias("raw_fingerprint"),
+    )
+
+
+@query(f"WITH {_A}, {_STORED} SELECT month, n FROM m")
 def archive_month_histogram(spark, sf_dir):
-    rows = _table(spark, sf_dir, "orders").select(F.col("o_orderdate").cast("timestamp").alias("published_at"), F.col("o_orderdate").cast("timestamp").alias("fetched_at"))
-    return store.month_histogram(rows)
+    return store.month_histogram(store.archivable(_stored(spark, sf_dir), "2024-01-19"))
 
 
-@query(f"WITH {_A} SELECT seq, title, CASE WHEN published_at >= TIMESTAMP '2024-01-15' THEN summary END AS summary FROM a")
+@query(f"""WITH {_A}, {_STORED} SELECT seq, title, url, CASE WHEN gone THEN NULL ELSE summary END AS summary, CASE WHEN gone THEN NULL ELSE image_url END AS image_url, CASE WHEN gone THEN NULL ELSE author END AS author,
+CASE WHEN gone THEN NULL ELSE feed_title END AS feed_title, CASE WHEN gone THEN NULL ELSE tags END AS tags, CASE WHEN gone THEN NULL ELSE raw_fingerprint END AS raw_fingerprint
+FROM (SELECT *, fetched_at < TIMESTAMP '2024-01-19' AND strftime(fetched_at, '%Y-%m') IN (SELECT month FROM m) AS gone FROM s)""")
 def archive_stub(spark, sf_dir):
-    return store.stub(_articles(spark, sf_dir), "2024-01-15", ("summary",)).select("seq", "title", "summary")
+    return store.stub(_stored(spark, sf_dir), "2024-01-19").drop("published_at", "fetched_at")
 
 
-@query(f"WITH {_A} SELECT seq FROM a WHERE published_at < TIMESTAMP '2024-01-08'")
+@query(f"WITH {_A}, {_STORED} SELECT seq FROM s WHERE fetched_at < TIMESTAMP '2024-01-19' AND (summary IS NOT NULL OR image_url IS NOT NULL OR title IS NOT NULL)")
 def archivable(spark, sf_dir):
-    return store.archivable(_articles(spark, sf_dir), "2024-01-08").select("seq")
+    return store.archivable(_stored(spark, sf_dir), "2024-01-19").select("seq")
+
+
+@query(f"""WITH {_A}, {_STORED} SELECT seq, strftime(fetched_at, '%Y-%m') AS month, title, summary, author FROM s WHERE fetched_at < TIMESTAMP '2024-01-19' AND (summary IS NOT NULL OR image_url IS NOT NULL OR title IS NOT NULL)""")
+def archive_runs(spark, sf_dir):
+    """Two runs of the archive, the second over what the first left: rows are archived once, with the columns that they had."""
+    table = archive.archive_table(spark, shared_dir(spark), "seq")
+    hot, _ = archive.archive_articles(_stored(spark, sf_dir), table, "2023-12-10")
+    archive.archive_articles(hot, table, "2024-01-19")
+    return table.read().select("seq", "month", "title", "summary", "author")
 
 
 @query(f"WITH {_A} SELECT seq, title, CAST(NULL AS VARCHAR) AS lang FROM a WHERE seq % 3 = 0 UNION ALL BY NAME SELECT seq, lang, title FROM a WHERE seq % 3 <> 0")

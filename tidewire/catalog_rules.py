@@ -353,14 +353,14 @@ def topics_between(spark, sf_dir):
     return found.select(F.col("topic_date").cast("string").alias("day"), "id", F.round("final_score", 6).alias("score"))
 
 
-_REPAIR = "cold AS (SELECT seq, title, summary FROM a WHERE seq % 3 = 0), hot AS (SELECT seq, title, summary, lang FROM a WHERE seq % 2 = 0)"
+_REPAIR = "cold AS (SELECT seq, title, summary FROM a WHERE seq % 3 = 0 OR seq % 2 = 1), hot AS (SELECT seq, title, summary, lang FROM a WHERE seq % 2 = 0 OR seq % 5 = 0)"
 
 
-@query(f"""WITH {_A}, {_REPAIR} SELECT seq, title, CASE WHEN seq % 3 = 0 THEN NULL ELSE left(summary, 100) END AS summary, CASE WHEN seq % 3 = 0 THEN NULL ELSE lang END AS lang FROM hot
+@query(f"""WITH {_A}, {_REPAIR} SELECT seq, title, CASE WHEN seq IN (SELECT seq FROM cold) THEN NULL ELSE left(summary, 100) END AS summary, CASE WHEN seq IN (SELECT seq FROM cold) THEN NULL ELSE lang END AS lang FROM hot
 UNION ALL SELECT seq, title, NULL, NULL FROM cold WHERE seq NOT IN (SELECT seq FROM hot)""")
 def archive_repair(spark, sf_dir):
-    a = _articles(spark, sf_dir)
-    return store.repair(a.where("seq % 2 = 0").select("seq", "title", "summary", "lang"), a.where("seq % 3 = 0").select("seq", "title", "summary", "lang"), "seq", emptied=("summary", "lang"), most=100)
+    a = _articles(spark, sf_dir).select("seq", "title", "summary", "lang")
+    return store.repair(a.where("seq % 2 = 0 or seq % 5 = 0"), a.where("seq % 3 = 0 or seq % 2 = 1"), "seq", emptied=("summary", "lang"), most=100)
 
 
 @query(f"""WITH {_A}, t AS (SELECT 'topic_' || seq AS id, day AS topic_date FROM a), l AS (SELECT 'topic_' || seq AS topic_id, (seq * 7) % 1000 AS url_hash FROM a), old AS (SELECT * FROM l WHERE url_hash % 5 = 0)
@@ -375,13 +375,17 @@ def archive_links(spark, sf_dir):
     return store.archive_links(links, made, cold).select("topic_id", "url_hash", "month")
 
 
-@query("""WITH l AS (SELECT CAST(ts AS DATE) AS day, sum(event_id % 100) / 1000.0 AS spent FROM events WHERE event_type = 'purchase' GROUP BY 1),
-r AS (SELECT event_id AS at, CAST(ts AS DATE) AS day, event_id % 5000 AS chars FROM events WHERE event_type = 'click'), w AS (SELECT *, 2 * (0.1 * (ceil(chars / 3.0) + 500) + 0.4 * 900) / 1000.0 AS worst FROM r),
-t AS (SELECT w.day, w.at, round(coalesce(spent, 0) + sum(worst) OVER (PARTITION BY w.day ORDER BY w.at), 9) AS total FROM w LEFT JOIN l USING (day)) SELECT CAST(day AS VARCHAR) AS day, t.at FROM t WHERE total <= 20.0""")
+@query("""WITH RECURSIVE l AS (SELECT CAST(ts AS DATE) AS day, round(sum(event_id % 100) / 1000.0, 9) AS spent FROM events WHERE event_type = 'purchase' GROUP BY 1),
+r AS (SELECT event_id AS at, CAST(ts AS DATE) AS day, 2 * (0.1 * (ceil(CASE WHEN event_id % 4 = 0 THEN 100000 ELSE event_id % 5000 END / 3.0) + 500) + 0.4 * 900) / 1000.0 AS worst,
+row_number() OVER (PARTITION BY CAST(ts AS DATE) ORDER BY event_id) AS n FROM events WHERE event_type = 'click'),
+f AS (SELECT day, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS at, false AS passes, coalesce(spent, 0.0)::DOUBLE AS total FROM (SELECT DISTINCT day FROM r) LEFT JOIN l USING (day)
+UNION ALL SELECT r.day, r.n, r.at, round(f.total + r.worst, 9) <= 20.0, CASE WHEN round(f.total + r.worst, 9) <= 20.0 THEN f.total + r.worst ELSE f.total END FROM f JOIN r ON r.day = f.day AND r.n = f.n + 1)
+SELECT CAST(day AS VARCHAR) AS day, f.at FROM f WHERE passes""")
 def within_budget(spark, sf_dir):
     e = _table(spark, sf_dir, "events").withColumn("day", F.to_date("ts"))
     ledger = e.where("event_type = 'purchase'").select("day", ((F.col("event_id") % 100) / 1000.0).alias("amount"))
-    asked = e.where("event_type = 'click'").select("day", F.col("event_id").alias("at"), (F.col("event_id") % 5000).alias("chars"))
+    chars = F.when(F.col("event_id") % 4 == 0, 100_000).otherwise(F.col("event_id") % 5000)  # some are refused, and smaller ones after them pass
+    asked = e.where("event_type = 'click'").select("day", F.col("event_id").alias("at"), chars.alias("chars"))
     # Prices of 100 and 400 a million tokens: amounts of the size of the day's budget.
     return enrich.within_budget(asked, ledger, 20.0, 100.0, 400.0, 900).select(F.col("day").cast("string").alias("day"), "at")
 

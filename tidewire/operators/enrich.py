@@ -5,7 +5,8 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window, functions as F
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F
 
 from tidewire.config import SECTIONS
 from tidewire.functions import text, values
@@ -37,12 +38,26 @@ def sections(raw: DataFrame, inputs: DataFrame, by: str = "day") -> DataFrame:
 
 
 def within_budget(requests: DataFrame, ledger: DataFrame, budget: float, price_in: float, price_out: float, most_out: int) -> DataFrame:
-    """Requests (day, at, chars) that the day's budget still bears, in order, each at twice its greatest cost."""
+    """Requests (day, at, chars and, if known, their cost) that the day's budget still bears, in order, with `worst` and `total`.
+
+    A request passes if what is spent and twice its greatest cost stay within the budget; then what it costs is spent, or
+    its worst case where the cost is not known. A refused request costs nothing. One day's requests are one group.
+    """
     spent = ledger.groupBy("day").agg(F.sum("amount").alias("spent"))
     worst = values.worst_cost(F.col("chars"), F.lit(price_in), F.lit(price_out), most_out)
-    running = F.sum("worst").over(Window.partitionBy("day").orderBy("at"))
-    joined = requests.withColumn("worst", worst).join(spent, "day", "left")
-    return joined.withColumn("total", F.coalesce("spent", F.lit(0.0)) + running).where(F.col("total") <= budget)
+    cost = F.coalesce("cost", "worst") if "cost" in requests.columns else F.col("worst")
+    asked = requests.withColumn("worst", worst).withColumn("__cost", cost).join(spent, "day", "left").withColumn("total", F.round(F.coalesce("spent", F.lit(0.0)), 9)).drop("spent")
+
+    def fold(group: pa.Table) -> pa.Table:
+        group = group.sort_by([("at", "ascending")])
+        total, kept, totals = group["total"][0].as_py(), [], []
+        for worst_case, spends in zip(group["worst"].to_pylist(), group["__cost"].to_pylist(), strict=True):
+            kept.append(round(total + worst_case, 9) <= budget)
+            total += spends if kept[-1] else 0.0
+            totals.append(total)
+        return group.set_column(group.column_names.index("total"), "total", pa.array(totals, pa.float64())).filter(pa.array(kept, pa.bool_()))
+
+    return asked.groupBy("day").applyInArrow(fold, asked.schema).drop("__cost")
 
 
 def record_spend(ledger: DataFrame, spend: DataFrame, keep: int = 60) -> DataFrame:

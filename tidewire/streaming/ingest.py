@@ -2,45 +2,35 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tidewire.config import DEFAULTS, Settings
 from tidewire.functions import values
-from tidewire.operators.store import enrich, insert_or_ignore
+from tidewire.operators.tables import Table
 
 KEYED_BY_DAY = "day"
 
 
-def flush(batch: DataFrame, path: str) -> dict[str, int]:
-    """Merge one micro-batch into the article table (partitioned by day): new keys in, missing columns filled.
+def article_table(spark: SparkSession, path: str, buckets: int = 16) -> Table:
+    """The table of articles: parts are days of publication, keys are address hashes."""
+    return Table(spark, path, KEYED_BY_DAY, "url_hash", buckets)
 
-    Only the days that the batch touches are rewritten, from a written copy, so that a repeated flush of the same batch
-    changes nothing.
-    """
-    from tidewire.sources.articles import read_archive
-    from tidewire.storage import materialise
 
-    spark = batch.sparkSession
-    seen = Observation()
+def flush(batch: DataFrame, path: str, stream: str | None = None, batch_id: int | None = None, buckets: int = 16) -> dict[str, int]:
+    """Merge one micro-batch into the article table: new keys in, missing columns filled, days that are closed left alone.
+
+    The commit names the batch, so that a batch that a stream brings again after a crash changes nothing; without a
+    stream's name a repeated batch finds all its keys known.
+    """
     rows = batch.withColumn(KEYED_BY_DAY, F.to_date(values.event_time(F.col("published_at"), F.col("fetched_at"))))
-    rows = materialise(rows.observe(seen, F.count("*").alias("candidates")))
-    table = read_archive(spark, path)
-    if KEYED_BY_DAY not in table.columns:
-        table = spark.createDataFrame([], rows.drop("seq").schema)
-    fresh = materialise(insert_or_ignore(table, rows).drop("seq"))
-    inserted = fresh.count()
-    days = fresh.select(KEYED_BY_DAY).union(table.join(rows.select("url_hash").distinct(), "url_hash", "left_semi").select(KEYED_BY_DAY)).distinct()
-    touched = table.join(days, KEYED_BY_DAY, "left_semi")
-    merged = materialise(enrich(touched, rows).unionByName(fresh, allowMissingColumns=True))
-    merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(KEYED_BY_DAY).parquet(path)
-    return {"candidates": seen.get["candidates"], "inserted": inserted}
+    return article_table(batch.sparkSession, path, buckets).upsert(rows, stream=stream, batch_id=batch_id)
 
 
-def ingest(rows: DataFrame, path: str, checkpoint: str, once: bool = True) -> StreamingQuery:
-    """A stream of article rows into the table; `once` takes what is there, else every hour."""
-    writer = rows.writeStream.foreachBatch(lambda df, _: flush(df, path)).option("checkpointLocation", checkpoint)
-    return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="60 minutes")).start()
+def ingest(rows: DataFrame, path: str, checkpoint: str, once: bool = True, every: str = "60 minutes") -> StreamingQuery:
+    """A stream of article rows into the table; `once` takes what is there, else what came in every so often."""
+    writer = rows.writeStream.foreachBatch(lambda df, i: flush(df, path, checkpoint, i)).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)).start()
 
 
 def poll_states(log: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
@@ -60,7 +50,7 @@ def poll_states(log: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     return state.select("feed_url", "last_success", F.when(F.col("failure_count") > 0, F.col("last_failure")).alias("last_failure"), "failure_count", next_poll.alias("next_poll"))
 
 
-def poll_stream(log: DataFrame) -> DataFrame:
+def poll_stream(log: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """The same as keyed streaming state: a row a feed and micro-batch."""
     import pandas as pd
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -73,7 +63,7 @@ def poll_stream(log: DataFrame) -> DataFrame:
                 failures = 0 if row.ok else failures + 1
                 last = row
         state.update((failures,))
-        wait = min(last.interval_minutes * 2 ** min(max(failures - 1, 0), 4), 24 * 60) if failures else last.interval_minutes
+        wait = min(last.interval_minutes * 2 ** min(max(failures - 1, 0), 4), settings.max_backoff_minutes) if failures else last.interval_minutes
         yield pd.DataFrame([(key[0], failures, last.at + pd.Timedelta(minutes=wait))], columns=["feed_url", "failure_count", "next_poll"])
 
     return log.groupBy("feed_url").applyInPandasWithState(step, "feed_url string, failure_count int, next_poll timestamp", "failures int", "update", GroupStateTimeout.NoTimeout)
