@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from tidewire.config import SECTIONS
 from tidewire.functions import text, urls, values
 from tidewire.functions.text import STOPWORDS
-from tidewire.operators import archive, briefing, expand, followup, scoring, selection, store, terms, topics, usage
+from tidewire.operators import archive, briefing, expand, followup, scoring, selection, similar, store, terms, topics, usage
 from tidewire.plans import daily
 from tidewire.sources.articles import articles_of, day_articles
 from tidewire.storage import shared_dir
@@ -337,7 +337,7 @@ SELECT CAST(p.day AS VARCHAR) AS day, left_id, right_id, round(dot / (x.norm * y
 def headline_similarity(spark, sf_dir):
     long = terms.tfidf(terms.headline_documents(_titled(_news(spark, sf_dir))))
     left, right = long.select("day", F.col("doc_id").alias("left_id"), "term", "weight"), long.select("day", F.col("doc_id").alias("right_id"), "term", "weight")
-    pairs = terms.similarity_join(left, right, ["day"], 0.3).where("left_id < right_id")
+    pairs = similar.similarity_join(left, right, ["day"], 0.3).where("left_id < right_id")
     return pairs.select(F.col("day").cast("string").alias("day"), "left_id", "right_id", F.round("similarity", 6).alias("similarity"))
 
 
@@ -350,11 +350,11 @@ def entities(spark, sf_dir):
 @query("""WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings) SELECT a.vec_id AS probe, b.vec_id AS match, round(list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))), 6) AS similarity
 FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0 AND list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))) >= 0.3""")
 def cosine_pairs(spark, sf_dir):
-    """Probes (ids divisible by 100) against all vectors: long form, so the pairs come from an equi-join on the dimension."""
-    e = _table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("term", "w")).withColumn("weight", F.col("w").cast("double"))
-    probes = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("left_id"), "term", "weight")
-    pairs = terms.similarity_join(probes.withColumn("all", F.lit(1)), e.select(F.col("vec_id").alias("right_id"), "term", "weight", F.lit(1).alias("all")), ["all"], 0.3)
-    return pairs.where("left_id <> right_id").select(F.col("left_id").alias("probe"), F.col("right_id").alias("match"), F.round("similarity", 6).alias("similarity"))
+    """Probes (ids divisible by 100) against all vectors, as products of matrices."""
+    e = _table(spark, sf_dir, "embeddings")
+    probes = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("probe"), F.col("embedding").alias("vector"))
+    pairs = similar.dense_join(probes, e.select(F.col("vec_id").alias("match"), F.col("embedding").alias("vector")), 0.3, "probe", "match")
+    return pairs.where("probe <> match").select("probe", "match", F.round("similarity", 6).alias("similarity"))
 
 
 @query(f"""WITH {_A}, {_K}, {_D} SELECT CAST(day AS VARCHAR) AS day, headline_key, copies AS articles, sources, rank FROM (SELECT *, row_number() OVER (PARTITION BY day ORDER BY sources DESC, copies DESC, headline_key) AS rank FROM d) WHERE rank <= 20""")

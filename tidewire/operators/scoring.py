@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidewire.config import DEFAULTS, Settings
 from tidewire.functions.values import clamp01
-from tidewire.operators.terms import similarity_join
+from tidewire.operators.similar import similarity_join
 
 
 def burst(today: Column, n: Column, mean: Column, deviation: Column) -> Column:

@@ -54,16 +54,3 @@ def vectors(long: DataFrame, by: str = "day") -> DataFrame:
     return long.groupBy(by, "doc_id").agg(cells.alias("cells")).select(
         by, "doc_id", F.transform("cells", lambda c: c["term"]).alias("vector_terms"), F.transform("cells", lambda c: c["weight"]).alias("vector_weights")
     )
-
-
-def similarity_join(left: DataFrame, right: DataFrame, on: list[str], least: float, left_id: str = "left_id", right_id: str = "right_id") -> DataFrame:
-    """Pairs (left_id, right_id) of sparse long-form vectors (id, term, weight) whose cosine is at least `least`.
-
-    An equi-join on the term and a sum, so only pairs that share a term exist at all; norms are taken once a vector.
-    """
-    ln = left.groupBy(*on, left_id).agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("left_norm"))
-    rn = right.groupBy(*on, right_id).agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("right_norm"))
-    dots = left.withColumnRenamed("weight", "w1").join(right.withColumnRenamed("weight", "w2"), [*on, "term"])
-    dots = dots.groupBy(*on, left_id, right_id).agg(F.sum(F.col("w1") * F.col("w2")).alias("dot"))
-    pairs = dots.join(ln, [*on, left_id]).join(rn, [*on, right_id])
-    return pairs.select(*on, left_id, right_id, (F.col("dot") / (F.col("left_norm") * F.col("right_norm"))).alias("similarity")).where(F.col("similarity") >= least)
