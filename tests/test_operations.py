@@ -189,7 +189,8 @@ def test_commands_run(spark, sf_dir, tmp_path, capfd):
     path = f"{sf_dir}/documents.parquet"
     for command in ("stats", "dry-run"):
         main([command, path, "--now", "2024-01-31 00:00:00"])
-    main(["export", path, "--out", str(tmp_path / "news"), "--least", "5"])
+    main(["export", path, "--out", str(tmp_path / "news"), "--now", "2024-01-05 00:00:00"])
+    main(["archive", path, "--out", str(tmp_path / "cold"), "--now", "2024-01-31 00:00:00", "--keep", "10", "--dry-run"])
     told = capfd.readouterr().out
     assert "last_week" in told and "candidates" in told and "articles in" in told
 

@@ -60,19 +60,23 @@ def missing_days(wanted: DataFrame, exported: DataFrame) -> DataFrame:
     return wanted.select("date").distinct().join(exported.select("date"), "date", "left_anti")
 
 
-def export(days: DataFrame, folder: str, force: bool = False) -> int:
-    """Write the briefings of days that have none there yet, or of all with `force`; returns the articles written."""
+def exported(spark: SparkSession, folder: str) -> DataFrame:
+    """Dates that have a briefing in the folder."""
     from pyspark.errors import AnalysisException
 
-    from tidewire.storage import materialise
-
-    spark = days.sparkSession
     try:
-        there = materialise(spark.read.text(folder).select(F.col("date").cast("string").alias("date")))
+        return spark.read.text(folder).select(F.col("date").cast("string").alias("date")).distinct()
     except AnalysisException as e:
         if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA", "UNRESOLVED_COLUMN.WITH_SUGGESTION"):
             raise
-        there = spark.createDataFrame([], "date string")
+        return spark.createDataFrame([], "date string")
+
+
+def export(days: DataFrame, folder: str, force: bool = False) -> int:
+    """Write the briefings of days that have none there yet, or of all with `force`; returns the articles written."""
+    from tidewire.storage import materialise
+
+    there = materialise(exported(days.sparkSession, folder))
     days = materialise(days if force else days.join(missing_days(days, there), "date", "left_semi"))
     write_briefings(days, folder)
     return int(export_totals(days).first().articles)
@@ -102,15 +106,25 @@ def neighbours(days: DataFrame) -> DataFrame:
     return index(days).select("date", F.lag("date").over(order).alias("previous"), F.lead("date").over(order).alias("next"))
 
 
-def with_overview(days: DataFrame, points: DataFrame) -> DataFrame:
-    """Days with overview points (date, at, text, stories); references out of range and repeats go; two points are needed."""
+def with_overview(days: DataFrame, points: DataFrame, force: bool = True, summarised: bool = False) -> DataFrame:
+    """Days with overview points (date, at, text, stories); references out of range and repeats go; two points are needed.
+
+    A day without usable points keeps the overview it has. Patching stored days: `force` off leaves days that have an
+    overview as they are, and `summarised` leaves those of which no story has a summary.
+    """
+    held = days if "overview" in days.columns else days.withColumn("overview", F.lit(None).cast("struct<points:array<struct<text:string,stories:array<int>>>>"))
     sized = points.join(days.select("date", F.size("topics").alias("n")), "date")
     valid = F.array_sort(F.array_distinct(F.filter("stories", lambda s: (s >= 1) & (s <= F.col("n")))))
     kept = sized.withColumn("stories", valid).where((F.size("stories") > 0) & (F.coalesce("text", F.lit("")) != ""))
     kept = kept.withColumn("k", F.row_number().over(Window.partitionBy("date").orderBy("at"))).where("k <= 5")
     cells = kept.groupBy("date").agg(F.array_sort(F.collect_list(F.struct("k", "text", "stories"))).alias("cells")).where(F.size("cells") >= 2)
     points_ = F.transform("cells", lambda c: F.struct(c["text"].alias("text"), c["stories"].alias("stories")))
-    return days.join(cells.select("date", F.struct(points_.alias("points")).alias("overview")), "date", "left")
+    made = cells.select("date", F.struct(points_.alias("points")).alias("made"))
+    may = F.lit(True) if force else F.col("overview").isNull()
+    if summarised:
+        may = may & F.exists("topics", lambda t: F.coalesce(t["summary"], F.lit("")) != "")
+    joined = held.join(made, "date", "left")
+    return joined.withColumn("overview", F.when(may & F.col("made").isNotNull(), F.col("made")).otherwise(F.col("overview"))).drop("made")
 
 
 def daily_news(days: DataFrame, date: str) -> DataFrame:

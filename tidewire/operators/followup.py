@@ -30,7 +30,7 @@ def anchors(stories: DataFrame, documents: DataFrame, baseline: DataFrame, setti
     df = words.groupBy("stem").agg(F.count("*").alias("df"))
     n_base = baseline.count()
     if not n or not n_base:
-        return stories.select("id", F.lit("").alias("stem"), F.array().cast("array<string>").alias("context")).limit(0)
+        return stories.select("ordinal", "id", F.lit("").alias("stem"), F.array().cast("array<string>").alias("context")).limit(0)
     base = baseline.select(F.explode(F.array_distinct(_stems("title"))).alias("stem")).groupBy("stem").agg(F.count("*").alias("base_df"))
     most = max(1, int(n * settings.follow_up_df_share))
     lines = F.transform("sample_headlines", lambda h: F.transform(text.tokens(h), lambda t: t["stem"]))

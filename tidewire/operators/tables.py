@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from tidewire.operators.store import FILLED, enrich, first_per_key
-from tidewire.storage import materialise
+from tidewire.storage import Files, emptied, materialise
 
 #: Bits a key and probes of a cell's filter: one key in some two thousand is found where it is not, as a whole batch is asked of each cell.
 BITS, PROBES = 16, 11
@@ -32,42 +32,6 @@ class Conflict(RuntimeError):
     """Another writer has published the version that this one meant to; start again from it."""
 
 
-class Files:
-    """The few file operations that a commit log needs, on any file system that Spark knows."""
-
-    def __init__(self, spark: SparkSession, root: str):
-        self._jvm, self.root = spark._jvm, root
-        self._fs = self._at("").getFileSystem(spark._jsc.hadoopConfiguration())
-
-    def _at(self, name: str):  # noqa: ANN202
-        return self._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
-
-    def names(self, folder: str) -> list[str]:
-        return [s.getPath().getName() for s in self._fs.listStatus(self._at(folder))] if self._fs.exists(self._at(folder)) else []
-
-    def read(self, name: str) -> str:
-        stream = self._fs.open(self._at(name))
-        try:
-            return self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-        finally:
-            stream.close()
-
-    def publish(self, folder: str, name: str, text: str) -> bool:
-        """A folder with one file, all at once; false where the folder is there already, which then stays as it is."""
-        aside = f"{folder}.{uuid.uuid4().hex}"
-        stream = self._fs.create(self._at(f"{aside}/{name}"), False)
-        stream.write(text.encode())
-        stream.close()
-        # A rename onto a folder that exists fails, or moves below it; whose text stands there tells who was first.
-        won = not self._fs.exists(self._at(folder)) and self._fs.rename(self._at(aside), self._at(folder)) and self.read(f"{folder}/{name}") == text
-        if not won:
-            self.delete(aside)
-        return won
-
-    def delete(self, name: str) -> None:
-        self._fs.delete(self._at(name), True)
-
-
 def _positions(hashes: np.ndarray, bits: int) -> np.ndarray:
     """Where a filter of so many bits holds each key (keys x probes), by double hashing."""
     h = hashes.astype(np.uint64)
@@ -240,16 +204,17 @@ class Table:
         whose filters may hold a key of the batch are read, and only those are rewritten in which a column is filled.
         Returns the numbers of candidates, inserted and late rows, and of cells read and known.
         """
-        staged = materialise(batch)
-        for _ in range(tries):
-            manifest = self.manifest()
-            done = manifest["batches"].get(stream or "")
-            if stream is not None and done and batch_id is not None and done["id"] >= batch_id:
-                return done["counts"] if done["id"] == batch_id else {"candidates": 0, "inserted": 0, "late": 0, "cells_read": 0, "cells": 0}
-            try:
-                return self._upsert(manifest, staged, columns, order, stream, batch_id)
-            except Conflict:
-                continue
+        with emptied(self.spark):
+            staged = materialise(batch)
+            for _ in range(tries):
+                manifest = self.manifest()
+                done = manifest["batches"].get(stream or "")
+                if stream is not None and done and batch_id is not None and done["id"] >= batch_id:
+                    return done["counts"] if done["id"] == batch_id else {"candidates": 0, "inserted": 0, "late": 0, "cells_read": 0, "cells": 0}
+                try:
+                    return self._upsert(manifest, staged, columns, order, stream, batch_id)
+                except Conflict:
+                    continue
         raise Conflict(f"{self.path} was published by others {tries} times")
 
     def _upsert(self, manifest: dict, staged: DataFrame, columns: tuple[str, ...], order: str, stream: str | None, batch_id: int | None) -> dict[str, int]:

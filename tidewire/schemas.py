@@ -10,6 +10,12 @@ TOPICS = (
     "persistence_score double, entity_importance double, final_score double, max_historical_similarity double, active_windows array<string>, "
     "matched_historical_topic_ids array<string>, sample_headlines array<string>, top_sources array<string>, theme_id string, theme_label array<string>, rank int"
 )
+SCORED = (
+    "day date, id string, cluster long, article_count long, unique_source_count long, article_hashes array<string>, entities array<string>, sample_headlines array<string>, "
+    "top_sources array<string>, active_windows array<string>, label_keywords array<string>, centroid_vector map<string,double>, headline string, theme_id string, "
+    "theme_label array<string>, max_historical_similarity double, matched_historical_topic_ids array<string>, novelty_score double, burst_z_score double, burst_score double, "
+    "source_diversity double, persistence_score double, entity_importance double, final_score double, status string, rank int, video_hashes array<string>"
+)
 TOPIC_ARTICLES = "topic_id string, url_hash decimal(20,0), topic_date date"
 FEED_ENTRY = "url string, enabled boolean, intervalMinutes double, maxItems double, sourceType string, category string, language string, source string, name string"
 POLL_STATE = "feed_url string, last_success timestamp, last_failure timestamp, failure_count int, next_poll timestamp"
