@@ -7,10 +7,11 @@ batches, pages for fetched HTML, embeddings for dense vectors.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from tidewire.config import SECTIONS
+from tidewire.config import DEFAULTS, SECTIONS
 from tidewire.functions import text, urls, values
 from tidewire.functions.text import STOPWORDS
 from tidewire.operators import archive, briefing, expand, followup, scoring, selection, similar, store, terms, topics, usage
@@ -554,7 +555,9 @@ def follow_up_anchors(spark, sf_dir):
         text.entities(F.col("title")).alias("entities"), F.map_from_entries(F.transform(F.array_distinct("terms"), lambda t: F.struct(t, F.lit(1.0)))).alias("centroid_vector"),
     )
     baseline = news.where(F.col("day") == F.lit("2024-01-03").cast("date")).select("title")
-    return followup.anchors(stories, docs.where(F.col("day") == F.lit("2024-01-10").cast("date")), baseline)
+    # Days of some hundred headlines: a word in three of them is rare, and twice as often as before is a rise.
+    settings = replace(DEFAULTS, follow_up_df_share=0.05, follow_up_lift=2.0)
+    return followup.anchors(stories, docs.where(F.col("day") == F.lit("2024-01-10").cast("date")), baseline, settings)
 
 
 def _registered() -> None:

@@ -206,14 +206,46 @@ def markdown_links(spark, sf_dir):
     return feeds.markdown_feeds(_table(spark, sf_dir, "documents").select(F.expr(_LINK_TEXT).alias("value")), "general", "en", "list").select("url")
 
 
-@query("""SELECT unnest(['https://a.example/' || doc_id, 'https://b.example/' || doc_id]) AS url FROM documents WHERE doc_id % 3 <> 0""")
+@query("""SELECT unnest(['https://a.example/' || doc_id || '"é', 'https://b.example/' || doc_id, 'https://d.example/' || doc_id, 'https://d.example/' || doc_id]) AS url FROM documents WHERE doc_id % 3 <> 0
+UNION ALL SELECT 'https://deep.example/' || doc_id FROM documents WHERE doc_id % 3 <> 0 AND doc_id % 5 = 0""")
 def json_links(spark, sf_dir):
+    """Escapes, nesting to any depth, keys whose values are no addresses, and text that is not JSON."""
     i = F.col("doc_id").cast("string")
-    body = F.concat(F.lit('{"x": [{"feed_url": "https://a.example/'), i, F.lit('"}, {"y": {"rssUrl" : "https://b.example/'), i, F.lit('", "url": "https://c.example"}}]}'))
+    deep = F.when(F.col("doc_id") % 5 == 0, F.concat(F.repeat(F.lit('{"k": ['), 7), F.lit('{"RSS_URL": "https://deep.example/'), i, F.lit('"}'), F.repeat(F.lit("]}"), 7))).otherwise("null")
+    body = F.concat(
+        F.lit(r'{"x": [{"feed_url": "https:\/\/a.example\/'), i, F.lit(r'\"\u00e9", "n": "feed_url"}, {"y": {"rssUrl" : "https://b.example/'), i, F.lit('", "url": "https://c.example"}}, {"feedUrl": 7, "rss_url": null}, {"feedurl": "ftp://no"}, '),
+        F.lit('{"feed_url": {"feed_url": ["https://e.example", {"feedurl": "https://d.example/'), i, F.lit('"}]}}, ["https://f.example", {"a": {"rssurl": "https://d.example/'), i, F.lit('"}}]], "z": '), deep, F.lit("}"),
+    )
     raw = _table(spark, sf_dir, "documents").select(F.when(F.col("doc_id") % 3 != 0, body).otherwise(F.concat(F.lit("{"), body)).alias("value"))
     return feeds.json_feeds(raw, "general", "en", "list").select("url")
 
 
+# Where an item's picture may stand, in the order in which the places are read.
+_PLACES = (
+    '<media:content url="{0}"/>', "<media:content><url>{0}</url></media:content>", '<media:thumbnail width="1" url="{0}"/>', "<media:thumbnail><url>{0}</url></media:thumbnail>",
+    '<media:group><media:thumbnail url="{0}"/></media:group>', "<media:group><media:thumbnail><url>{0}</url></media:thumbnail></media:group>", '<media:group><media:content url="{0}"/></media:group>',
+    "<media:group><media:content><url>{0}</url></media:content></media:group>", '<enclosure url="{0}" type="image/png"/>', "<enclosure><url>{0}</url></enclosure>", '<image url="{0}"/>', "<image><url>{0}</url></image>",
+    '<og:image url="{0}"/>', "<og:image><url>{0}</url></og:image>",
+)
+
+
+@query("""SELECT doc_id AS seq, CASE WHEN doc_id % 17 = 16 THEN 'https://x.example/html.png' WHEN doc_id % 17 = 15 THEN NULL WHEN doc_id % 17 = 14 THEN 'https://x.example/html.png' ELSE 'https://x.example/' || (doc_id % 17) || '/' || doc_id END AS image FROM documents""")
+def item_pictures(spark, sf_dir):
+    """Every place of a picture, an earlier place before later ones, an unusable address, and pictures of the text."""
+    i, place = F.col("doc_id").cast("string"), F.col("doc_id") % 17
+    spot = F.lit("")
+    for k, pattern in enumerate(_PLACES):
+        head, tail = pattern.split("{0}")
+        later = _PLACES[-1].replace("{0}", "https://x.example/later") if k < 12 else ""
+        spot = F.when(place == k, F.concat(F.lit(later + head + f"https://x.example/{k}/"), i, F.lit(tail))).otherwise(spot)
+    spot = F.when(place == 14, "<enclosure url=\"no address\"/>").otherwise(spot)
+    told = F.when(place == 15, "none &nbsp; here").when(place < 14, "text").otherwise("<![CDATA[<p>a & b <img class=x src='https://x.example/html.png'></p>]]>")
+    body = F.concat(F.lit('<?xml version="1.0"?><rss><channel><title>F</title><item><title>t</title><link>https://x.example/a/'), i, F.lit("</link><description>"), told, F.lit("</description>"), spot, F.lit("</item></channel></rss>"))
+    fetched = _table(spark, sf_dir, "documents").select(i.alias("feed_url"), F.lit("2024-03-10 00:00:00").cast("timestamp").alias("fetched_at"), body.alias("body"))
+    limits = fetched.select(F.col("feed_url").alias("url"), F.lit(2).alias("max_items"), F.lit(1).alias("source_type"))
+    return feeds.article_rows(feeds.parse_feed(fetched), limits).select(F.col("feed_url").cast("long").alias("seq"), F.col("image_url").alias("image"))
+
+
 _ESCAPED = "replace(replace(replace(coalesce({0}, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
 
 

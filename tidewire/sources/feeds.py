@@ -8,6 +8,7 @@ import urllib.error
 import urllib.parse
 import urllib.request
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -15,6 +16,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from tidewire.config import DEFAULTS, Settings
 from tidewire.functions import text, urls, values
 from tidewire.schemas import FEED_ENTRY
+from tidewire.storage import materialise
 
 
 def feed_list(raw: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
@@ -40,30 +42,56 @@ def read_feed_list(spark: SparkSession, path: str) -> DataFrame:
     return feed_list(spark.read.text(path, wholetext=True))
 
 
+_T = "struct<_VALUE:string>"
+_U = "struct<_VALUE:string,_url:string,url:string>"
+_C = "struct<_VALUE:string,_term:string,_label:string>"
+#: The elements of an item that are read, with their attributes (underscored); any may be absent or repeated.
 ITEM = (
-    "title string, link string, guid string, id string, description string, summary string, content string, pubDate string, published string, updated string, "
-    "author string, creator string, category array<string>"
+    f"title array<{_T}>, link array<struct<_VALUE:string,_href:string,_rel:string>>, guid array<{_T}>, id array<{_T}>, description array<{_T}>, summary array<{_T}>, content array<{_T}>, "
+    f"pubDate array<{_T}>, published array<{_T}>, updated array<{_T}>, `dc:date` array<{_T}>, author array<struct<_VALUE:string,name:string>>, `dc:creator` array<{_T}>, `content:encoded` array<{_T}>, "
+    f"`media:group` array<struct<`media:thumbnail`:array<{_U}>,`media:content`:array<{_U}>,`media:description`:array<{_T}>>>, `media:content` array<{_U}>, `media:description` array<{_T}>, "
+    f"`media:thumbnail` array<{_U}>, `media:title` array<{_T}>, enclosure array<{_U}>, image array<{_U}>, `og:image` array<{_U}>, category array<{_C}>, `arxiv:primary_category` array<{_C}>, `arxiv:categories` array<{_C}>"
 )
 
 
 def parse_feed(fetched: DataFrame) -> DataFrame:
-    """Items of fetched RSS, RDF or Atom bodies (feed_url, fetched_at, body): a row an item, `seq` within its feed."""
+    """Items of fetched RSS, RDF or Atom bodies (feed_url, fetched_at, body): a row an item, `seq` within its feed.
+
+    A body is cut into its items, and each item is read as XML of a stated shape; an item that is not well formed is a
+    row without values. Entities that XML does not know stay as they are written.
+    """
     body = F.regexp_replace("body", r"(?s)<\?xml.*?\?>", "")
     item = F.regexp_extract_all(body, F.lit(r"(?is)<(?:item|entry)[\s>].*?</(?:item|entry)>"), F.lit(0))
+    known = F.regexp_replace("item", r"&(?!(?:amp|lt|gt|quot|apos|#[0-9]+|#x[0-9A-Fa-f]+);)", "&amp;")
+    plain = F.transform(F.split("item", r"(?=<!\[CDATA\[)|(?<=\]\]>)"), lambda part: F.when(part.startswith("<![CDATA["), part).otherwise(F.regexp_replace(part, r"&(?!(?:amp|lt|gt|quot|apos|#[0-9]+|#x[0-9A-Fa-f]+);)", "&amp;")))
     rows = fetched.select("feed_url", "fetched_at", _inner(F.regexp_replace(body, r"(?is)<(item|entry)[\s>].*", ""), "title").alias("feed_title"), F.posexplode(item).alias("seq", "item"))
-    href = F.nullif(F.regexp_extract("item", r"""(?is)<link[^>]*href=["']([^"']+)""", 1), F.lit(""))
-    i = F.col("item")
-    media = F.nullif(F.regexp_extract(i, r"""(?is)<(?:media:(?:content|thumbnail)|enclosure)[^>]*url=["']([^"']+)""", 1), F.lit(""))
+    marked = F.when(F.col("item").contains("<![CDATA["), F.array_join(plain, "")).otherwise(known)
+    rows = rows.withColumn("i", F.from_xml(marked, ITEM))
+    i = F.col("i")
+    some = lambda c: F.nullif(F.trim(c), F.lit(""))
+    first = lambda name: some(F.get(i[name], F.lit(0))["_VALUE"])
+    link = F.filter(i["link"], lambda x: F.coalesce(some(x["_VALUE"]), some(x["_href"])).isNotNull())
+    href = F.coalesce(F.get(F.filter(link, lambda x: F.coalesce(x["_rel"], F.lit("alternate")) == "alternate"), F.lit(0))["_href"], F.get(link, F.lit(0))["_href"])
+    written = F.get(F.filter(F.transform(link, lambda x: some(x["_VALUE"])), lambda v: v.isNotNull()), F.lit(0))
+    group = F.get(i["media:group"], F.lit(0))
+    named = F.concat(*[F.coalesce(i[c], F.array().cast(f"array<{_C}>")) for c in ("category", "arxiv:categories", "arxiv:primary_category")])
     return rows.select(
-        "feed_url", "fetched_at", "feed_title", "seq", _inner(i, "title").alias("title"), F.coalesce(_inner(i, "link"), href, _inner(i, "guid"), _inner(i, "id")).alias("link"),
-        F.coalesce(_inner(i, "description"), _inner(i, "summary"), _inner(i, "media:description"), _inner(i, "content:encoded"), _inner(i, "content")).alias("description"),
-        F.coalesce(_inner(i, "pubDate"), _inner(i, "dc:date"), _inner(i, "published"), _inner(i, "updated")).alias("published"),
-        F.coalesce(_inner(i, "dc:creator"), _inner(i, "author")).alias("author"), media.alias("media"),
-        F.coalesce(_inner(i, "content:encoded"), _inner(i, "content")).alias("content"),
-        F.transform(F.regexp_extract_all(i, F.lit(r"(?is)<category[^>]*>(.*?)</category>"), F.lit(1)), _plain).alias("tags"),
+        "feed_url", "fetched_at", "feed_title", "seq", first("title").alias("title"), F.coalesce(written, some(href), first("guid"), first("id")).alias("link"),
+        F.coalesce(first("description"), first("summary"), first("media:description"), some(F.get(group["media:description"], F.lit(0))["_VALUE"]), first("content:encoded"), first("content")).alias("description"),
+        F.coalesce(first("pubDate"), first("dc:date"), first("published"), first("updated")).alias("published"),
+        F.coalesce(first("dc:creator"), first("author"), some(F.get(i["author"], F.lit(0))["name"])).alias("author"), picture(i).alias("media"), first("media:title").alias("media_title"),
+        F.coalesce(first("content:encoded"), first("content")).alias("content"),
+        F.filter(F.transform(named, lambda c: F.coalesce(some(c["_VALUE"]), some(c["_term"]), some(c["_label"]))), lambda t: t.isNotNull()).alias("tags"),
     )
 
 
+def picture(item: Column) -> Column:
+    """The first address among an item's media elements: of each the attribute, then the element within."""
+    group = F.get(item["media:group"], F.lit(0))
+    held = (item["media:content"], item["media:thumbnail"], group["media:thumbnail"], group["media:content"], item["enclosure"], item["image"], item["og:image"])
+    return F.coalesce(*(F.nullif(F.trim(F.get(of, F.lit(0))[c]), F.lit("")) for of in held for c in ("_url", "url")))
+
+
 def _plain(value: Column) -> Column:
     """Character data of an element: CDATA marks gone, markup entities decoded once."""
     data = F.regexp_replace(value, r"(?s)^\s*<!\[CDATA\[(.*?)\]\]>\s*$", "$1")
@@ -116,9 +144,25 @@ def markdown_feeds(files: DataFrame, category: str, language: str, source: str)
 
 
 def json_feeds(files: DataFrame, category: str, language: str, source: str) -> DataFrame:
-    """Addresses under feed_url or rss_url keys anywhere in JSON files (`value`)."""
-    found = F.regexp_extract_all("value", F.lit(r"""(?i)"(?:feed_?url|rss_?url)"\s*:\s*"(http(?:[^"\\]|\\.)*)\""""), F.lit(1))
-    return files.where(F.try_parse_json("value").isNotNull()).select(F.explode(found).alias("url"), F.lit(category).alias("category"), F.lit(language).alias("language"), F.lit(source).alias("source"))
+    """Addresses under feed_url or rss_url keys anywhere in JSON files (`value`), as often as they stand there.
+
+    Values are walked level by level; what a level holds below it is written as the next one's input, so there are as
+    many rounds as the deepest file has levels. Text that is not JSON has no addresses.
+    """
+    spark = files.sparkSession
+    level = files.select(F.try_parse_json("value").alias("v")).where("v is not null")
+    found = []
+    while True:
+        below = materialise(level.lateralJoin(spark.tvf.variant_explode(F.col("v").outer())).select("key", "value"))
+        named = F.coalesce(F.col("key").rlike("(?i)^(?:feed_?url|rss_?url)$"), F.lit(False))
+        address = F.when(F.schema_of_variant("value") == "STRING", F.try_variant_get("value", "$", "string"))
+        hit = named & F.coalesce(address.startswith("http"), F.lit(False))
+        found.append(below.where(hit).select(address.alias("url")))
+        level = below.where(~hit & F.schema_of_variant("value").rlike("^(?:ARRAY|OBJECT)")).select(F.col("value").alias("v"))
+        if level.isEmpty():
+            break
+    urls_ = reduce(DataFrame.union, found)
+    return urls_.select("url", F.lit(category).alias("category"), F.lit(language).alias("language"), F.lit(source).alias("source"))
 
 
 def charset(head: bytes, content_type: str | None) -> str:
