@@ -555,8 +555,8 @@ def follow_up_anchors(spark, sf_dir):
         text.entities(F.col("title")).alias("entities"), F.map_from_entries(F.transform(F.array_distinct("terms"), lambda t: F.struct(t, F.lit(1.0)))).alias("centroid_vector"),
     )
     baseline = news.where(F.col("day") == F.lit("2024-01-03").cast("date")).select("title")
-    # Days of some hundred headlines: a word in three of them is rare, and twice as often as before is a rise.
-    settings = replace(DEFAULTS, follow_up_df_share=0.05, follow_up_lift=2.0)
+    # Days of a few dozen headlines: words of some headlines count as rare, and those new since the earlier day as risen.
+    settings = replace(DEFAULTS, follow_up_df_share=0.5, follow_up_lift=1.0)
     return followup.anchors(stories, docs.where(F.col("day") == F.lit("2024-01-10").cast("date")), baseline, settings)
 
 
