@@ -333,3 +333,13 @@ def test_word_numbers_are_a_texts_own():
 
     numbers = word_numbers(split(pa.array(["a b a", "a b"])))
     assert numbers[0] == numbers[2] and len(set(numbers.tolist())) == 4
+
+
+def test_smallest_hashes(spark):
+    """The bound on hashes changes nothing; few rows, ties and null ids too."""
+    from tidewire.llm.common import smallest_hashes
+
+    df = spark.range(40_000).select(F.when(F.col("id") % 50 > 0, F.col("id") % 30_000).alias("k"), "id")
+    plain = [r.id for r in df.orderBy(F.xxhash64("k"), "k", "id").limit(700).collect()]
+    assert [r.id for r in smallest_hashes(df, 700, "k", "id").collect()] == plain
+    assert smallest_hashes(df.limit(5), 700, "k", "id").count() == 5 and smallest_hashes(df.limit(0), 700, "k").count() == 0

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tidewire.llm.common import as_strings, fold_of, ragged, release, slices
+from tidewire.llm.common import as_strings, fold_of, materialise, ragged, release, shared_dir, slices, smallest_hashes
 from tidewire.llm.words import hashes, split
 
 _BATCH_BYTES = 2 << 20
@@ -232,7 +232,8 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", fit_rows: int
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     sizes = docs.select("doc_id", F.xxhash64(body).alias("mark"), F.octet_length(body).alias("size")).where(F.col("size") <= fit_bytes).dropDuplicates(["doc_id", "mark"])
     order = [F.xxhash64("doc_id"), F.col("doc_id"), F.col("mark")]
-    drawn = sizes.join(known.hint("merge"), "doc_id").orderBy(*order).limit(fit_rows)  # few enough for one window
+    labelled = materialise(sizes.join(known.hint("merge"), "doc_id"), shared_dir(docs.sparkSession))
+    drawn = smallest_hashes(labelled, fit_rows, "doc_id", "mark")  # few enough for one window
     total = F.sum("size").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
     drawn = drawn.withColumn("total", total).where(F.col("total") <= fit_total).select("doc_id", "mark", "fold", "y").distinct()
 
