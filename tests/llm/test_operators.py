@@ -181,23 +181,55 @@ def test_near_duplicates_match_brute_force(spark, odd):
         assert sorted(((r.doc_id, r.class_id, r.n_links) for r in got), key=repr) == classes(rows)
 
 
-def test_crowded_subtrees_keep_the_recall(spark):
-    """Prefixes in crowded subtrees are shortened only as far as needed, and pairs are found once each."""
+def test_recall_at_production_parameters(spark):
+    """Some thousand sets in families of similarities around 0.8 to 0.95, and a passage that crowds some subtrees: every link."""
+    from tidewire.llm.near import near_duplicates
+
+    rng = np.random.default_rng(8)
+    shared, rows, families = [f"s{i}" for i in range(60)], [], []
+    for family in range(500):
+        own = [f"f{family}_{k}" for k in rng.integers(0, 3000, 100)] + (shared if family % 5 == 0 else [])
+        mine = []
+        for _ in range(5):
+            text = list(own)
+            for _ in range(int(rng.integers(0, 3))):
+                text[int(rng.integers(0, 100))] = f"z{rng.integers(0, 10**9)}"
+            mine.append((len(rows), " ".join(text)))
+            rows.append(mine[-1])
+        families.append(mine)
+    want = {k: (c, n) for mine in families for k, c, n in classes(mine)}
+    got = {r.doc_id: (r.class_id, r.n_links) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(n for _, n in want.values()) > 3000 and got == want
+
+
+def test_spared_trees():
+    """No more trees than the recall allows, the most crowded, and none that a single partner would make so."""
+    from tidewire.llm.near import shortened, spared
+
+    crowds = np.array([3] * 20 + [50, 60, 70, 80])
+    assert spared(crowds, 4, 8, 0.8, 0.99999).tolist() == [21, 22, 23]
+    assert spared(np.array([3] * 20 + [3, 3, 4, 4]), 4, 8, 0.8, 0.99999).tolist() == []  # one partner makes these
+    assert spared(np.array([3] * 20 + [3, 3, 4, 9]), 4, 8, 0.8, 0.99999).tolist() == [23]
+    assert spared(np.array([3] * 6), 4, 8, 0.8, 0.99999).tolist() == []  # too few trees for the recall
+    levels = np.stack([crowds, np.minimum(crowds, 55), np.minimum(crowds, 40), np.ones(24, np.int64), np.ones(24, np.int64)], 1)
+    assert shortened(levels, 4, 8, 0.8, 0.99999).tolist() == [4] * 21 + [6, 6, 6]
+
+
+def test_crowded_subtrees(spark):
+    """Half of each text is shared by all; every second text has a near copy: no link is lost in crowded subtrees."""
     from tidewire.llm.near import near_duplicates
 
     rng = np.random.default_rng(8)
     words, shared = [f"w{i}" for i in range(3000)], [f"s{i}" for i in range(400)]
     rows = []
-    for i in range(120):  # half of each text is shared by all; every second text has a near copy
+    for i in range(120):
         own = [words[k] for k in rng.integers(0, 3000, 130)]
         rows.append((i, " ".join(shared + own)))
         if i % 2:
             own[int(rng.integers(5, 125))] = f"zz{i}"
             rows.append((1000 + i, " ".join(shared + own)))
-    want = classes(rows)
-    got = sorted(((r.doc_id, r.class_id, r.n_links) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), crowded=8).collect()), key=repr)
-    linked = sum(n for _, _, n in want)
-    assert linked > 100 and all(g[2] <= w[2] for g, w in zip(got, want, strict=True)) and sum(n for _, _, n in got) >= 0.98 * linked
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r.doc_id, r.class_id, r.n_links) for r in got), key=repr) == classes(rows)
 
 
 def test_prefixes_and_meetings():
@@ -212,7 +244,7 @@ def test_prefixes_and_meetings():
         for a, b in ((0, 60), (1, 61), (2, 3), (5, 5)):
             together = meet(signs[a], signs[b], np.full(16, d), np.full(16, 8), 4)
             assert (together == (keys[a] == keys[b])).all()
-    assert shortened(np.ones((16, 5), np.int64), 4, 8, 0.8, 0.999, 256).tolist() == [4] * 16
+    assert shortened(np.ones((16, 5), np.int64), 4, 8, 0.8, 0.999).tolist() == [4] * 16
     crowds = np.tile(np.array([9000, 4000, 300, 20, 1]), (16, 1))
     assert shortened(crowds, 4, 8, 0.8, 0.99, 256).max() > 4
     depth = shortened(crowds, 4, 8, 0.8, 0.999, 256)

@@ -35,7 +35,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 def materialise(df: DataFrame, path: str, *partition_by: str) -> DataFrame:
     """Write a table to shared storage and read it back: lineage is cut, and lost executors lose nothing."""
-    writer = df.write.mode("overwrite")
+    writer = df.write.mode("overwrite").option("compression", "zstd")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -1,10 +1,10 @@
 """N-gram Jaccard join: a MinHash LSH forest over word shingles, with exact verification of every candidate.
 
 A tree of the forest is the prefix trie of the sets' labels, a label being the set's minima under the tree's own hash
-functions. A set looks for company in every tree: where few sets share its shortest useful prefix, it looks at all of
-them; where a subtree is crowded, it begins with its whole label and shortens the prefix, level by level and where
-that adds the fewest candidates first, until the target recall is reached. Subtrees, not the corpus, are sorted and
-searched, each in a task or, when large, in blocks over many tasks.
+functions. A set looks for company in every tree. Prefixes are shortened from whole labels, the least crowded subtrees
+first, until pairs at the threshold are found with the target recall; then the most crowded subtrees, as many as the
+recall allows, stay at longer prefixes. Subtrees, not the corpus, are sorted and searched, each in a task or, when
+large, in blocks over many tasks.
 """
 
 from __future__ import annotations
@@ -33,22 +33,35 @@ def depth_for_recall(threshold: float, trees: int, deepest: int, recall: float)
     return depth
 
 
-def shortened(crowds: np.ndarray, shortest: int, deepest: int, threshold: float, recall: float, crowded: int) -> np.ndarray:
+def spared(crowds: np.ndarray, shortest: int, deepest: int, threshold: float, recall: float) -> np.ndarray:
+    """The trees in which a set may keep longer prefixes, from the numbers of sets that share its shortest prefixes.
+
+    All trees are shortened, the least crowded first, until pairs at the threshold meet with the wanted probability in
+    one of those, or at whole labels in the others. The others have to be more crowded than each of the first by more than
+    one set: then no single partner decides which they are, and the probability holds for each.
+    """
+    order = np.argsort(crowds, kind="stable")[::-1]
+    short, long = math.log1p(-(threshold**shortest)), math.log1p(-(threshold**deepest))
+    most = next(k for k in range(len(order), -1, -1) if k == 0 or (len(order) - k) * short + k * long <= math.log(1 - recall))
+    while most and (most == len(order) or crowds[order[most - 1]] - 1 <= crowds[order[most]]):
+        most -= 1
+    return np.sort(order[:most])
+
+
+def shortened(crowds: np.ndarray, shortest: int, deepest: int, threshold: float, recall: float) -> np.ndarray:
     """A set's prefix length in each tree, from the numbers of sets that share its prefixes (trees x levels, short first).
 
-    Trees whose shortest prefix is not crowded are read at it. The others begin at the deepest level, are shortened
-    freely as long as they stay uncrowded, and then one level at a time, the cheapest first, until pairs at the
-    threshold meet in some tree with the wanted probability.
+    Spared trees begin at the deepest level and are shortened as far as they are no more crowded than the most crowded of
+    the others, which are read at the shortest.
     """
-    depth = np.full(len(crowds), deepest)
-    for t, row in enumerate(crowds):
-        while depth[t] > shortest and row[depth[t] - 1 - shortest] <= crowded:
-            depth[t] -= 1
-    missed = lambda: np.log1p(-(threshold**depth)).sum()
-    while missed() > math.log(1 - recall) and (depth > shortest).any():
-        open_ = np.flatnonzero(depth > shortest)
-        more = crowds[open_, depth[open_] - 1 - shortest] - crowds[open_, depth[open_] - shortest]
-        depth[open_[np.argmin(more)]] -= 1
+    depth = np.full(len(crowds), shortest)
+    kept = spared(crowds[:, 0], shortest, deepest, threshold, recall)
+    if len(kept):
+        usual = np.delete(crowds[:, 0], kept).max()
+        for t in kept:
+            depth[t] = deepest
+            while depth[t] > shortest and crowds[t, depth[t] - 1 - shortest] <= usual:
+                depth[t] -= 1
     return depth
 
 
@@ -200,15 +213,15 @@ def _forest(n: int, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]
 
 
 def near_duplicates(
-    docs: DataFrame, text: str = "text", shingle: int = 5, threshold: float = 0.8, trees: int = 24, deepest: int = 8, recall: float = 0.99999, crowded: int = 256,
+    docs: DataFrame, text: str = "text", shingle: int = 5, threshold: float = 0.8, trees: int = 24, deepest: int = 8, recall: float = 0.99999,
     block: int = 768, block_bytes: int = 32 << 20, row: str | None = None,
 ) -> DataFrame:
     """doc_id, copy_id, class_id and n_links of every document, a row per row.
 
     Documents with equal shingle sets are copies: copy_id is their least id. Distinct sets look for company in a forest
-    of `trees` tries of `deepest` minima (`shortened` says how far prefixes are read; a subtree of more than `crowded`
-    sets is read no shorter than `recall` needs). Two sets that meet in several trees are verified in the first of
-    them, exactly. A large subtree is verified in blocks of about `block` sets and `block_bytes` of shingles, so
+    of `trees` tries of `deepest` minima; `shortened` says how far each set's prefixes are read, so that a pair at the
+    threshold is missed with probability 1 - `recall` at most. Two sets that meet in
+    several trees are verified in the first of them, exactly. A large subtree is verified in blocks of about `block` sets and `block_bytes` of shingles, so
     that near copies in any number spread over many tasks and their pairs are counted, never written. class_id is
     the least id among all documents that links connect; n_links counts the other documents at or above the
     threshold. A text of fewer than `shingle` words is one shingle; texts without words (nulls too) are copies of one
@@ -260,22 +273,24 @@ def near_duplicates(
     company = held.join(_shuffled(shared), "bucket").groupBy("node").agg(F.collect_list(F.struct("tree", "crowd")).alias("company"))  # at most a tree each
     company = scratch.keep(company.join(_shuffled(nodes.select("node", "size", "labels")), "node"))
 
-    # 2. Longer prefixes, for sets in crowded subtrees, and there alone.
-    busy = company.where(F.exists("company", lambda c: c["crowd"] > crowded))
+    # 2. Longer prefixes, in the trees that a set may spare.
     levels = deepest - shortest
 
     def longer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         depth = np.arange(shortest + 1, deepest + 1)
         for batch in batches:
             label = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint64).reshape(-1, trees, 2)
-            full = [[c["tree"] for c in row if c["crowd"] > crowded] for row in batch.column(2).to_pylist()]
+            crowds = np.ones((len(label), trees), np.int64)
+            for i, row in enumerate(batch.column(2).to_pylist()):
+                crowds[i, [c["tree"] for c in row]] = [c["crowd"] for c in row]
+            full = [spared(row, shortest, deepest, threshold, recall).tolist() for row in crowds]
             i = np.repeat(np.arange(len(full)), [len(f) for f in full])
             t = np.array([t for f in full for t in f], np.int64)
             keys = prefix_keys(np.repeat(label[i, t][:, None], levels, 1), np.broadcast_to(depth, (len(i), levels)), shortest)
             place = (t[:, None] * levels + np.arange(levels)).astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy()[i], levels)), pa.array(place.ravel()), pa.array(keys.ravel())], names=["node", "place", "bucket"])
 
-    asked = busy.select("node", "labels", "company").mapInArrow(longer, "node long, place int, bucket long")
+    asked = company.select("node", "labels", "company").mapInArrow(longer, "node long, place int, bucket long")
     crowds = asked.groupBy("bucket").agg(F.count("*").alias("crowd"))
     seen = asked.join(_shuffled(crowds), "bucket").groupBy("node").agg(F.collect_list(F.struct("place", "crowd")).alias("longer"))
     seen = scratch.keep(seen)
@@ -292,8 +307,8 @@ def near_duplicates(
                     crowd[i, c["tree"], 0] = c["crowd"]
                 if far:
                     for c in far:
-                        crowd[i, c["place"] // levels, c["place"] % levels + 1] = c["crowd"]
-                    depth[i] = shortened(crowd[i], shortest, deepest, threshold, recall, crowded)
+                        crowd[i, c["place"] // levels, c["place"] % levels + 1] = c["crowd"]  # of spared trees alone
+                    depth[i] = shortened(crowd[i], shortest, deepest, threshold, recall)
             own = prefix_keys(label, depth, shortest)
             for d in range(shortest, deepest + 1):
                 i, t = np.nonzero((crowd[:, :, 0] > 1) & (depth >= d))
