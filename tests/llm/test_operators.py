@@ -246,9 +246,10 @@ def test_prefixes_and_meetings():
             assert (together == (keys[a] == keys[b])).all()
     assert shortened(np.ones((16, 5), np.int64), 4, 8, 0.8, 0.999).tolist() == [4] * 16
     crowds = np.tile(np.array([9000, 4000, 300, 20, 1]), (16, 1))
-    assert shortened(crowds, 4, 8, 0.8, 0.99, 256).max() > 4
-    depth = shortened(crowds, 4, 8, 0.8, 0.999, 256)
-    assert 1 - np.prod(1 - 0.8**depth) >= 0.999 and (depth <= 7).all()
+    assert shortened(crowds, 4, 8, 0.8, 0.99).tolist() == [4] * 16  # none is more crowded than the others
+    crowds[1:, 0] = 30
+    depth = shortened(crowds, 4, 8, 0.8, 0.99)
+    assert depth.tolist() == [7] + [4] * 15 and 1 - np.prod(1 - 0.8**depth) >= 0.99
 
 
 def test_near_duplicates_of_nothing(odd):
