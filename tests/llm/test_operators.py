@@ -279,6 +279,39 @@ def test_elias_fano():
         assert (found == np.isin(x, a)).all() and (at[found] == np.searchsorted(a, x[found])).all()
 
 
+def test_searches_keep_little_beside_the_sequence():
+    """What a search adds to a loaded sequence is a tenth of it; every place and step is selected alike."""
+    from tidewire.llm.language_model import EliasFano
+
+    rng = np.random.default_rng(9)
+    a = np.unique(rng.integers(0, 2**40, 200_000, dtype=np.uint64))
+    e = EliasFano.read(EliasFano.build(a).to_bytes())[0]
+    assert e.ranks is None and e.successor(a[::7])[1].all() and (e.access(np.arange(len(a))) == a).all()
+    assert sum(r.nbytes for r in e.ranks) < 0.12 * (e.lows.nbytes + e.highs.nbytes)
+    high = (a >> np.uint64(e.low_bits)).astype(np.int64)
+    steps = np.arange(int(high[-1]) + 1)
+    assert (e.heads(steps) == np.searchsorted(high, steps)).all()
+
+
+def test_stored_codes_sum_to_one():
+    """The engine's own codes: what a context's successors keep and what it leaves to the lower order are all of it."""
+    from tidewire.llm.language_model import _PAIR_LEVELS, _TRIPLE_LEVELS, Trie
+
+    rng = np.random.default_rng(4)
+    words = np.unique(rng.integers(0, 2**63, 300, dtype=np.uint64))
+    pair_fans = rng.integers(0, 9, len(words))
+    seconds = np.concatenate([np.unique(rng.integers(0, 2**32, 4 * n, dtype=np.uint64))[:n] for n in pair_fans])
+    pair_counts = rng.zipf(1.7, len(seconds))
+    triple_fans = rng.integers(0, 7, len(seconds))
+    thirds = np.concatenate([np.unique(rng.integers(0, 2**32, 4 * n, dtype=np.uint64))[:n] for n in triple_fans])
+    trie = Trie.read(Trie.build(words, np.full(len(words), 5), pair_fans, seconds, pair_counts, triple_fans, thirds, rng.zipf(1.7, len(thirds))).to_bytes())
+    kept_pairs = np.bincount(np.repeat(np.arange(len(words)), pair_fans), _PAIR_LEVELS[trie.pair_codes], len(words))
+    totals = np.bincount(np.repeat(np.arange(len(words)), pair_fans), pair_counts, len(words))
+    assert np.allclose(kept_pairs, trie.pair_shares) and (kept_pairs <= totals).all()
+    kept_triples = np.bincount(np.repeat(np.arange(len(seconds)), triple_fans), _TRIPLE_LEVELS[trie.triple_codes], len(seconds))
+    assert np.abs(kept_triples + trie.triple_shares.astype(float) - 1).max() < 1e-3 and (trie.triple_shares >= 0).all()
+
+
 def test_levels_search_inside_their_context(tmp_path):
     from tidewire.llm.language_model import Level, Trie, build_shard, Asked
 

@@ -53,6 +53,11 @@ def unpack_counts(blob: bytes) -> np.ndarray:
     return out
 
 
+_SELECTED = 1 << 15  # places that are looked for at a time
+_EACH, _TOP = np.uint64(0x0101010101010101), np.uint64(0x8080808080808080)
+_PLACE = np.argsort(1 - np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int8), axis=1, kind="stable")  # of a byte's k-th 1
+
+
 @dataclass
 class EliasFano:
     """A sorted sequence of 64-bit numbers: low bits packed, high bits in unary. All arrays may view mapped memory."""
@@ -60,9 +65,8 @@ class EliasFano:
     n: int
     low_bits: int
     lows: np.ndarray  # bytes
-    highs: np.ndarray  # bytes; one 1 per number, one 0 per step of the high part
-    ones: np.ndarray | None = None  # each number's place in the unary part; made on first use
-    heads: np.ndarray | None = None  # where each high part's numbers begin; made on first search
+    highs: np.ndarray  # 64-bit words; one 1 per number, one 0 per step of the high part
+    ranks: tuple[np.ndarray, np.ndarray] | None = None  # numbers, and steps, before each word of the unary part; made on first use
 
     @staticmethod
     def build(a: np.ndarray) -> EliasFano:
@@ -76,19 +80,19 @@ class EliasFano:
         else:
             lows = np.zeros(0, np.uint8)
         high = (a >> np.uint64(low_bits)).astype(np.int64)
-        unary = np.zeros((int(high[-1]) if n else 0) + n + 1, np.uint8)
+        unary = np.zeros(-(-((int(high[-1]) if n else 0) + n + 1) // 64) * 64, np.uint8)
         unary[high + np.arange(n)] = 1
-        return EliasFano(n, low_bits, np.concatenate([lows, np.zeros(8, np.uint8)]), np.packbits(unary, bitorder="little"))
+        return EliasFano(n, low_bits, np.concatenate([lows, np.zeros(8, np.uint8)]), np.packbits(unary, bitorder="little").view(np.uint64))
 
     def to_bytes(self) -> bytes:
-        head = np.array([self.n, self.low_bits, len(self.lows), len(self.highs)], np.int64)
+        head = np.array([self.n, self.low_bits, len(self.lows), self.highs.nbytes], np.int64)
         return head.tobytes() + self.lows.tobytes() + self.highs.tobytes()
 
     @staticmethod
     def read(buffer: memoryview | bytes, at: int = 0) -> tuple[EliasFano, int]:
         n, low_bits, a, b = np.frombuffer(buffer, np.int64, 4, at).tolist()
         lows = np.frombuffer(buffer, np.uint8, a, at + 32)
-        return EliasFano(n, low_bits, lows, np.frombuffer(buffer, np.uint8, b, at + 32 + a)), at + 32 + a + b
+        return EliasFano(n, low_bits, lows, np.frombuffer(buffer, np.uint8, b, at + 32 + a).view(np.uint64)), at + 32 + a + b
 
     def low(self, i: np.ndarray) -> np.ndarray:
         if not self.low_bits:
@@ -105,20 +109,38 @@ class EliasFano:
                 out |= np.where(shift > 0, part << (np.uint64(64) - shift), np.uint64(0))
         return out & np.uint64((1 << self.low_bits) - 1) if self.low_bits < 64 else out
 
-    def _ones(self) -> np.ndarray:
-        if self.ones is None:
-            self.ones = np.flatnonzero(np.unpackbits(self.highs, bitorder="little"))[: self.n]
-        return self.ones
-
-    def _heads(self) -> np.ndarray:
-        if self.heads is None:
-            high = self._ones() - np.arange(self.n)
-            self.heads = np.searchsorted(high, np.arange((int(high[-1]) if self.n else 0) + 2))
-        return self.heads
+    def _select(self, k: np.ndarray, zeros: bool = False) -> np.ndarray:
+        """The bit at which the k-th number, or step, of the unary part stands: a search of the words' ranks, and then of
+        one word, whose bytes' running counts are summed and compared side by side."""
+        if self.ranks is None:
+            ones = np.concatenate([np.zeros(1, np.uint32), np.cumsum(np.bitwise_count(self.highs), dtype=np.uint32)])
+            self.ranks = ones, np.arange(len(ones), dtype=np.uint32) * np.uint32(64) - ones
+        before = self.ranks[int(zeros)]
+        out = np.empty(len(k), np.int64)
+        for lo in range(0, len(k), _SELECTED):
+            part = k[lo : lo + _SELECTED].astype(np.uint32)
+            word = np.searchsorted(before, part, "right") - 1
+            rest = (part - before[word]).astype(np.uint64)
+            held = self.highs[word]
+            held = ~held if zeros else held
+            running = held - ((held >> np.uint64(1)) & np.uint64(0x5555555555555555))
+            running = (running & np.uint64(0x3333333333333333)) + ((running >> np.uint64(2)) & np.uint64(0x3333333333333333))
+            running = ((running + (running >> np.uint64(4))) & np.uint64(0x0F0F0F0F0F0F0F0F)) * _EACH
+            byte = np.bitwise_count(((rest * _EACH | _TOP) - running) & _TOP).astype(np.uint64) * np.uint64(8)
+            rest -= ((running << np.uint64(8)) >> byte) & np.uint64(255)
+            out[lo : lo + _SELECTED] = word * 64 + byte.astype(np.int64) + _PLACE[((held >> byte) & np.uint64(255)).astype(np.int64), rest.astype(np.int64)]
+        return out
 
     def access(self, i: np.ndarray) -> np.ndarray:
         """The numbers at the given places."""
-        return ((self._ones()[i] - i).astype(np.uint64) << np.uint64(self.low_bits)) | self.low(i) if self.low_bits < 64 else self.low(i)
+        return ((self._select(i) - i).astype(np.uint64) << np.uint64(self.low_bits)) | self.low(i) if self.low_bits < 64 else self.low(i)
+
+    def heads(self, high: np.ndarray) -> np.ndarray:
+        """How many numbers have a smaller high part: what stands before that many steps."""
+        out = np.zeros(len(high), np.int64)
+        some = high > 0
+        out[some] = self._select(high[some] - 1, zeros=True) - (high[some] - 1)
+        return out
 
     def values(self) -> np.ndarray:
         return self.access(np.arange(self.n))
@@ -128,13 +150,12 @@ class EliasFano:
         looked for between two places alone, and the place is of use only where it is found."""
         if not self.n:
             return np.zeros(len(x), np.int64), np.zeros(len(x), bool)
-        heads = self._heads()
-        last = len(heads) - 2
+        last = int(self._select(np.array([self.n - 1]))[0]) - (self.n - 1)
         high = (x >> np.uint64(self.low_bits)).astype(np.int64) if self.low_bits < 64 else np.zeros(len(x), np.int64)
         beyond = (high > last) | (high < 0)
         high = np.where(beyond, last, high)
         want = x & np.uint64((1 << self.low_bits) - 1)
-        lo, hi = heads[high], heads[high + 1]
+        lo, hi = self.heads(high), np.where(high < last, self.heads(np.minimum(high + 1, last)), self.n)
         if start is not None:
             lo, hi = np.maximum(lo, start), np.minimum(hi, stop)
         lo, limit = lo.copy(), hi.copy()
@@ -189,9 +210,12 @@ class Level:
         """Places of successors, each searched in its context's range, and which of them are there."""
         if not self.successors.n:
             return np.zeros(len(context), np.int64), np.zeros(len(context), bool)
-        start, stop = self.pointers.access(context).astype(np.int64), self.pointers.access(context + 1).astype(np.int64)
-        before = self.successors.access(np.maximum(start - 1, 0)) + np.uint64(1)
-        return self.successors.successor(np.where(start > 0, before, np.uint64(0)) + successor, start, stop)
+        fresh = np.ones(len(context), bool)
+        fresh[1:] = context[1:] != context[:-1]  # n-grams of a context come together
+        own, of = context[fresh], np.cumsum(fresh) - 1
+        start, stop = self.pointers.access(own).astype(np.int64), self.pointers.access(own + 1).astype(np.int64)
+        before = np.where(start > 0, self.successors.access(np.maximum(start - 1, 0)) + np.uint64(1), np.uint64(0))
+        return self.successors.successor(before[of] + successor, start[of], stop[of])
 
 
 @dataclass
