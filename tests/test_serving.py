@@ -91,3 +91,5 @@ def test_picture_verdicts(spark):
     probes = spark.createDataFrame(rows, "image string, ok boolean, type string, allow string, redirected boolean")
     kept = expand.drop_unloadable(probes.select("image", F.lit(1).alias("n")), probes, "https://me").where("image is not null").collect()
     assert sorted(r.image for r in kept) == ["u1", "u4"]
+    clash = probes.union(probes.where("image = 'u1'").withColumn("ok", F.lit(False)))
+    assert expand.drop_unloadable(probes.select("image"), clash, "https://me").where("image = 'u1'").count() == 0

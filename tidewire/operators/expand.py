@@ -94,8 +94,9 @@ def loadable(ok: Column, content_type: Column, allow_origin: Column, redirected:
 
 
 def drop_unloadable(articles: DataFrame, probes: DataFrame, origin: str) -> DataFrame:
-    """Articles whose pictures' verdicts, one a distinct address, are negative lose the picture only."""
-    verdict = probes.dropDuplicates(["image"]).select("image", loadable(F.col("ok"), F.col("type"), F.col("allow"), F.col("redirected"), origin).alias("fine"))
+    """Articles whose pictures' verdicts are negative lose the picture only; of several verdicts of an address the worst counts."""
+    fine = loadable(F.col("ok"), F.col("type"), F.col("allow"), F.col("redirected"), origin)
+    verdict = probes.groupBy("image").agg(F.min(fine).alias("fine"))
     joined = articles.join(verdict, "image", "left")
     return joined.withColumn("image", F.when(F.col("fine"), F.col("image"))).drop("fine")
 
