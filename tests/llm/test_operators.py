@@ -815,6 +815,31 @@ def test_pipeline_stages(spark, sf_dir, docs):
     assert {r.doc_id for r in pieces.select("doc_id").distinct().collect()} == {r.doc_id for r in before.collect()}
 
 
+def test_pipeline_stages_of_odd_rows(spark, sf_dir, tmp_path):
+    """Nulls in every column, empties, repeats, a text of 200,000 words and clashing columns; then no rows at all."""
+    import corpus_pipeline as pipeline
+
+    usual = [(i, f"An ordinary text number {i} of several words, which says a thing or two about case {i * 7}. " * 6, "en", "s", 1) for i in range(30)]
+    rows = usual + [(None, usual[0][1] + "x", None, None, None), (107, None, "en", "s", None), (108, "", "en", "s", 0), (109, "tie", "en", "s", 3), (109, "tie", "en", "s", 3), (500, " ".join(f"w{i % 9000}" for i in range(200_000)), "en", "s", 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for name in ("label", "kept", "score", "node", "at", "predicted", "spans", "__row", "n_words"):
+        df = df.withColumn(name, F.lit("mine"))
+    for name, stage in pipeline.STAGES[:-1]:
+        out = stage(spark, df, sf_dir)
+        assert out.columns == list(pipeline.COLUMNS), name
+        got = sorted((tuple(r) for r in out.collect()), key=repr)
+        if name == "quality rules":
+            assert not {107, 108, 109} & {r[0] for r in got}
+        if name == "n-gram Jaccard join":
+            assert sum(r[1] == "tie" for r in got) == 1 and sum(not r[1] for r in got) == 1
+        if name == "secret scans":
+            assert sorted(((r[0], r[1]) for r in got), key=repr) == sorted(((r[0], r[1]) for r in rows), key=repr)
+        assert stage(spark, df.limit(0), sf_dir).count() == 0, name
+    pieces = pipeline.packed(spark, df, sf_dir).groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("all")).collect()
+    assert {r.doc_id for r in pieces} == {r[0] for r in rows} and next(r for r in pieces if r.doc_id == 108).n == 1
+    assert pipeline.packed(spark, df.limit(0), sf_dir).count() == 0
+
+
 def test_pipeline_decides_by_row(spark, sf_dir):
     """Unlike texts under one id both stay; copies and near copies go, with or without an id."""
     import corpus_pipeline as pipeline
