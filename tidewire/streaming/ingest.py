@@ -50,25 +50,6 @@ def poll_states(log: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     return state.select("feed_url", "last_success", F.when(F.col("failure_count") > 0, F.col("last_failure")).alias("last_failure"), "failure_count", next_poll.alias("next_poll"))
 
 
-def poll_stream(log: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
-    """The same as keyed streaming state: a row a feed and micro-batch."""
-    import pandas as pd
-    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-    def step(key: tuple, batches, state: GroupState):  # noqa: ANN001, ANN202
-        failures = state.get[0] if state.exists else 0
-        last = None
-        for rows in batches:
-            for row in rows.sort_values("at").itertuples():
-                failures = 0 if row.ok else failures + 1
-                last = row
-        state.update((failures,))
-        wait = min(last.interval_minutes * 2 ** min(max(failures - 1, 0), 4), settings.max_backoff_minutes) if failures else last.interval_minutes
-        yield pd.DataFrame([(key[0], failures, last.at + pd.Timedelta(minutes=wait))], columns=["feed_url", "failure_count", "next_poll"])
-
-    return log.groupBy("feed_url").applyInPandasWithState(step, "feed_url string, failure_count int, next_poll timestamp", "failures int", "update", GroupStateTimeout.NoTimeout)
-
-
 def daily_counts(rows: DataFrame, lateness: str = "1 day") -> DataFrame:
     """Articles a day and feed over a stream; a day closes one day late, and later rows are left to a batch re-run."""
     timed = rows.withColumn("at", values.event_time(F.col("published_at"), F.col("fetched_at")))
