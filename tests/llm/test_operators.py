@@ -403,6 +403,21 @@ def test_language_model_tells_what_it_has_read(spark):
 # --- 4: reputation ---------------------------------------------------------------------------------------------------------
 
 
+def test_page_outcomes(spark, sf_dir):
+    """Whole words of the text, in either case; not of tags, scripts or longer words; no html, no outcome; hosts are told apart."""
+    from tidewire.llm.reputation import page_outcomes, url_filter
+
+    rows = [(1, "<p>Play at CASINO-win now</p>"), (2, "<p class='ads'>badges<script>var spam = 1;</script></p>"), (3, None), (4, ""), (5, "cheap<b>pills</b>"), (None, "no spam"), (6, "<STYLE>bets</STYLE>lads")]
+    df = spark.createDataFrame(rows, "page_id long, html string").withColumn("bad", F.lit("mine")).withColumn("text", F.lit("casino"))
+    got = sorted(((r.page_id, r.bad) for r in page_outcomes(df).collect()), key=repr)
+    assert got == sorted([(1, 1), (2, 0), (4, 0), (5, 1), (None, 1), (6, 0)], key=repr) and page_outcomes(df.limit(0)).count() == 0
+    pages = spark.read.parquet(f"{sf_dir.rsplit('/', 1)[0]}/sf0.01/pages.parquet")
+    judged = url_filter(pages, page_outcomes(pages)).where("rule is null")
+    blocked = {r.host for r in judged.where("verdict = 'block'").select("host").distinct().collect()}
+    assert blocked and judged.where("verdict = 'allow'").count() > 5 * judged.where("verdict = 'block'").count()
+    assert all(any(w in h for w in ("bets", "casino", "pills", "ads", "spam", "adult")) for h in blocked)
+
+
 def test_url_rules(spark):
     from tidewire.llm.reputation import url_filter
 

@@ -39,14 +39,14 @@ def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Page outcomes come from `labels`, whose doc_id is read as the page's id: quality 0 is a bad page.
+    """Every page with html is a labelled outcome of its host, bad if its text holds one of the stated words.
 
     A host is blocked if the lower 95 % bound of its bad share exceeds 1.5 times the overall share.
     """
-    from tidewire.llm.reputation import url_filter
+    from tidewire.llm.reputation import page_outcomes, url_filter
 
-    outcomes = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), (1 - F.col("quality")).alias("bad"))
-    return url_filter(table(spark, sf_dir, "pages"), outcomes)
+    pages = table(spark, sf_dir, "pages")
+    return url_filter(pages, page_outcomes(pages))
 
 
 def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,7 +112,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 _URL_FILTERS = r"""WITH p AS (SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
 coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path FROM pages),
-o AS (SELECT doc_id AS page_id, max(1 - quality) AS bad FROM labels WHERE quality IN (0, 1) GROUP BY 1),
+o AS (SELECT page_id, max(regexp_matches(regexp_replace(lower(html), '(?s)<script.*?</script>|<style.*?</style>|<[^>]*>', ' ', 'g'), '(^|[^a-z])(adult|ads|bets|casino|pills|poker|porn|spam|viagra)([^a-z]|$)')::INT) AS bad FROM pages WHERE html IS NOT NULL GROUP BY 1),
 h AS (SELECT host, count(bad) AS n, coalesce(sum(bad), 0) AS bad FROM p LEFT JOIN o USING (page_id) GROUP BY 1),
 s AS (SELECT *, regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', '') AS bare FROM h),
 e AS (SELECT *, string_split(bare, '.') AS parts, regexp_matches(bare, '^[0-9.]+$|^\[') AS whole, list_contains(['co.uk', 'org.uk', 'ac.uk', 'com.au', 'net.au', 'org.au', 'co.jp', 'co.nz', 'com.br', 'co.za', 'co.in', 'com.mx'], array_to_string(string_split(bare, '.')[-2:], '.')) AS pair FROM s),

@@ -22,6 +22,8 @@ RULES = (
 #: Public suffixes of several labels under which domains are registered; any other host's suffix is its last label.
 #: "*.x" stands for every suffix of one label before x, and "!y.x" for an exception to it, as public lists write them.
 SUFFIXES = ("co.uk", "org.uk", "ac.uk", "com.au", "net.au", "org.au", "co.jp", "co.nz", "com.br", "co.za", "co.in", "com.mx")
+#: Words by which a page tells that it sells or tracks rather than informs.
+BAD_WORDS = ("adult", "ads", "bets", "casino", "pills", "poker", "porn", "spam", "viagra")
 #: Least and greatest weight of a prior, in pages.
 WEIGHTS = (2.0, 200.0)
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -151,6 +153,17 @@ def reputation(outcomes: DataFrame, confidence: float = 0.95, suffixes: tuple[st
     )
 
 
+def page_outcomes(pages: DataFrame, key: str = "page_id", html: str = "html", words: tuple[str, ...] = BAD_WORDS) -> DataFrame:
+    """key and `bad` of every page that has html: 1 if any of the words stands in its text, whole and in either case, else 0.
+
+    The text is what is left without scripts, styles and tags; a page's address plays no part. Pages without html have no
+    outcome.
+    """
+    text = F.regexp_replace(F.lower(F.col(html)), r"(?s)<script.*?</script>|<style.*?</style>|<[^>]*>", " ")
+    told = text.rlike("(^|[^a-z])(" + "|".join(words) + ")([^a-z]|$)")
+    return pages.where(F.col(html).isNotNull()).select(key, told.cast("int").alias("bad"))
+
+
 def url_filter(
     pages: DataFrame, outcomes: DataFrame, key: str = "page_id", url: str = "url", rules: tuple[tuple[str, str, str], ...] = RULES,
     confidence: float = 0.95, at: float | None = None, suffixes: tuple[str, ...] = SUFFIXES,
