@@ -1,9 +1,8 @@
-"""Optional model enrichment: prompts are built here, a provider answers them, and replies are validated here."""
+"""Optional model enrichment: requests are written here, asked within a day's budget, and replies are validated here."""
 
 from __future__ import annotations
 
-import json
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -11,17 +10,46 @@ from pyspark.sql import DataFrame, functions as F
 from tidewire.config import SECTIONS
 from tidewire.functions import text, values
 
-Provider = Callable[[str], "dict | None"]
+#: Given the instructions, the input and whether to reason, an answer: status, body (the reply's JSON, or an error's
+#: text), and the tokens that were billed, if known.
+Provider = Callable[[str, str, bool], "dict | None"]
+ANSWER = "status int, body string, tokens_in long, tokens_out long, resent boolean"
 
 
 def enabled(env: dict[str, str]) -> bool:
     return bool(env.get("MODEL_API_KEY")) and env.get("MODEL_SUMMARIES") != "0"
 
 
-def summary_inputs(stories: DataFrame, titles: int = 5, chars: int = 200, by: str = "day") -> DataFrame:
-    """(by, id, key, payload): what a model is told of each story, under a positional key."""
-    cut = F.transform(F.slice("articles", 1, titles), lambda a: F.struct(text.truncate(a["title"], chars).alias("title"), text.truncate(a["description"], chars).alias("description")))
-    return stories.select(by, "id", F.concat(F.lit("t"), F.col("place")).alias("key"), F.to_json(F.struct(F.col("label"), cut.alias("articles"))).alias("payload"))
+def keyed(stories: DataFrame, by: str = "day") -> DataFrame:
+    """(by, id, key): the positional keys under which a model is told of stories, and answers."""
+    return stories.select(by, "id", F.concat(F.lit("t"), F.col("place")).alias("key"))
+
+
+def _request(blocks: DataFrame, kind: str, by: str, separator: str, instructions: str) -> DataFrame:
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "block"))), lambda b: b["block"]), separator)
+    asked = blocks.groupBy(by).agg(body.alias("input"), F.count("*").alias("n"))
+    return asked.select(by, F.lit(kind).alias("kind"), F.lit(instructions).alias("instructions"), "input", (F.length("input") + len(instructions)).alias("chars"), "n")
+
+
+def summary_requests(stories: DataFrame, instructions: str, by: str = "day", titles: int = 5, title_chars: int = 200, chars: int = 200) -> DataFrame:
+    """One request a day (kind, instructions, input, chars): each story's key, and a line an article with what describes it."""
+    line = lambda a: F.concat(F.lit("- "), text.truncate(a["title"], title_chars), F.when(F.coalesce(a["description"], F.lit("")) != "", F.concat(F.lit(" — "), text.truncate(a["description"], chars))).otherwise(""))
+    block = F.concat(F.lit("[t"), F.col("place"), F.lit("]\n"), F.array_join(F.transform(F.slice("articles", 1, titles), line), "\n"))
+    return _request(stories.select(by, "place", block.alias("block")), "topics", by, "\n\n", instructions)
+
+
+def section_requests(candidates: DataFrame, instructions: str, by: str = "day", headlines: int = 3, chars: int = 160) -> DataFrame:
+    """One request a day: each candidate's key and its first headlines."""
+    lines = F.transform(F.slice("sample_headlines", 1, headlines), lambda h: F.concat(F.lit("- "), text.truncate(h, chars)))
+    block = F.concat(F.lit("[t"), F.col("place"), F.lit("]\n"), F.array_join(lines, "\n"))
+    return _request(candidates.select(by, "place", block.alias("block")), "sections", by, "\n\n", instructions)
+
+
+def overview_requests(stories: DataFrame, instructions: str, by: str = "day", least: int = 3, chars: int = 160, summary_chars: int = 320) -> DataFrame:
+    """One request for each day of at least three stories: rank, title and summary, a line a story."""
+    told = F.when(F.coalesce("summary", F.lit("")) != "", F.concat(F.lit(" — "), text.truncate(F.col("summary"), summary_chars))).otherwise("")
+    block = F.concat(F.lit("["), F.col("place"), F.lit("] "), text.truncate(F.col("title"), chars), told)
+    return _request(stories.select(by, "place", block.alias("block")), "overview", by, "\n", instructions).where(F.col("n") >= least)
 
 
 def replies(raw: DataFrame, inputs: DataFrame, by: str = "day") -> DataFrame:
@@ -65,21 +93,52 @@ def record_spend(ledger: DataFrame, spend: DataFrame, keep: int = 60) -> DataFra
     return total.orderBy(F.desc("day")).limit(keep)
 
 
-def ask(inputs: DataFrame, provider: Provider | None, by: str = "day") -> DataFrame:
-    """Replies of a provider, one request a day, on the executors; none where there is no provider or it fails."""
-    schema = f"{by} {inputs.schema[by].dataType.simpleString()}, key string, title string, summary string, duplicate_key string"
-    if provider is None:
-        return inputs.sparkSession.createDataFrame([], schema)
+def ask(requests: DataFrame, provider: Provider | None) -> DataFrame:
+    """The requests with a provider's `answer` (ANSWER), asked on the executors; without a provider, or where it fails, null.
 
-    def run(group):  # noqa: ANN001, ANN202
-        import pandas as pd
+    An error 400 that is about reasoning is asked once more without it; a refused request is not billed. Nothing else is
+    asked twice.
+    """
+    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in requests.schema)}, answer struct<{', '.join(c.replace(' ', ':') for c in ANSWER.split(', '))}>"
+    if provider is None:
+        return requests.withColumn("answer", F.lit(None).cast(f"struct<{', '.join(c.replace(' ', ':') for c in ANSWER.split(', '))}>"))
 
-        reply = None
+    def once(instructions: str, body: str, reason: bool) -> dict | None:
         try:
-            reply = provider(json.dumps([{"key": k, **json.loads(p)} for k, p in zip(group["key"], group["payload"], strict=True)]))
+            return provider(instructions, body, reason)
         except Exception:  # noqa: BLE001  a failed model leaves the headlines as they are
-            reply = None
-        rows = [(group[by].iloc[0], t.get("key"), t.get("title"), t.get("summary"), t.get("duplicate_of")) for t in (reply or {}).get("topics", [])]
-        return pd.DataFrame(rows, columns=[by, "key", "title", "summary", "duplicate_key"])
+            return None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.struct([("status", pa.int32()), ("body", pa.string()), ("tokens_in", pa.int64()), ("tokens_out", pa.int64()), ("resent", pa.bool_())])
+        for batch in batches:
+            got = []
+            for instructions, body in zip(batch.column("instructions").to_pylist(), batch.column("input").to_pylist(), strict=True):
+                answer, resent = once(instructions, body, True), False
+                if answer and answer.get("status") == 400 and "reasoning" in (answer.get("body") or "").lower():
+                    answer, resent = once(instructions, body, False), True
+                got.append(None if answer is None else {c: answer.get(c) for c in ("status", "body", "tokens_in", "tokens_out")} | {"resent": resent})
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(got, kind)], names=[*batch.schema.names, "answer"])
+
+    return requests.mapInArrow(run, schema)
+
+
+def spends(asked: DataFrame, price_in: float, price_out: float, by: str = "day") -> DataFrame:
+    """(by, amount) of the answered requests: what their tokens cost, or the worst case where the answer does not say."""
+    answered = asked.where(F.col("answer.status") == 200)
+    cost = values.model_cost(F.lit(price_in), F.lit(price_out), F.col("answer.tokens_in"), F.col("answer.tokens_out"))
+    return answered.select(by, F.coalesce(cost, "worst").alias("amount"))
+
+
+def topic_replies(asked: DataFrame, by: str = "day") -> DataFrame:
+    """(by, key, title, summary, duplicate_key, section) of the answers that are what was asked for."""
+    reply = F.from_json(F.when(F.col("answer.status") == 200, F.col("answer.body")), "topics array<struct<key:string,title:string,summary:string,duplicate_of:string,section:string>>")
+    rows = asked.select(by, F.inline(reply["topics"]))
+    return rows.select(by, "key", F.trim("title").alias("title"), F.trim("summary").alias("summary"), F.col("duplicate_of").alias("duplicate_key"), "section")
+
 
-    return inputs.groupBy(by).applyInPandas(run, schema)
+def overview_replies(asked: DataFrame) -> DataFrame:
+    """(date, at, text, stories) of the answers to overview requests, as `briefing.with_overview` takes them."""
+    reply = F.from_json(F.when(F.col("answer.status") == 200, F.col("answer.body")), "points array<struct<text:string,stories:array<int>>>")
+    rows = asked.select(F.col("day").cast("string").alias("date"), F.posexplode(reply["points"]).alias("at", "p"))
+    return rows.select("date", "at", F.trim(F.regexp_replace("p.text", r"\s+", " ")).alias("text"), F.col("p.stories").alias("stories"))
