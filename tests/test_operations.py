@@ -172,17 +172,55 @@ def test_polling_is_bounded(spark):
     threading.Thread(target=server.serve_forever, daemon=True).start()
     root = f"http://127.0.0.1:{server.server_port}"
     try:
-        assert feeds.fetch(f"{root}/a") == ("<rss>é</rss>", None) and feeds.fetch(f"{root}/none") == (None, "HTTP 404")
-        assert feeds.fetch(f"{root}/loop")[0] is None and feeds.fetch(f"{root}/a", limit=3) == (None, "too large")
+        kind = "text/xml; charset=iso-8859-1"
+        assert feeds.fetch(f"{root}/a") == feeds.Answer("<rss>é</rss>", None, 200, kind) and feeds.fetch(f"{root}/none").error == "HTTP 404"
+        assert feeds.fetch(f"{root}/loop").body is None and feeds.fetch(f"{root}/a", limit=3).error == "too large" and feeds.fetch("nowhere").error
+        assert feeds.fetch(f"{root}/a", head=5) == feeds.Answer("<rss>", None, 200, kind)
         began = time.time()
-        assert feeds.within(0.5, lambda: feeds.fetch(f"{root}/slow")) == (None, "deadline") and time.time() - began < 1
+        assert feeds.within(0.5, lambda: feeds.fetch(f"{root}/slow")).error == "deadline" and time.time() - began < 1
         spark.dataSource.register(feeds.FeedSource)
         rows = spark.read.format("feeds").option("urls", f"{root}/a {root}/none http://127.0.0.1:9/x").load().collect()
-        assert {r.feed_url.rsplit("/", 1)[1]: (r.body is not None, r.error) for r in rows} == {"a": (True, None), "none": (False, "HTTP 404"), "x": (False, "ConnectionRefusedError")}
+        want = {"a": (True, None, 200), "none": (False, "HTTP 404", 404), "x": (False, "ConnectionRefusedError", None)}
+        assert {r.feed_url.rsplit("/", 1)[1]: (r.body is not None, r.error, r.status) for r in rows} == want
+        table = spark.createDataFrame([(f"{root}/a",), (f"{root}/none",), ("http://127.0.0.1:9/x",), (f"{root}/a",), (None,)], "url string")
+        assert {r.feed_url.rsplit("/", 1)[1]: (r.body is not None, r.error, r.status) for r in feeds.polled(table, head=4096).collect()} == want
     finally:
         server.shutdown()
 
 
+def test_feeds_stream_by_ticks(spark, tmp_path):
+    """A restarted stream polls no tick twice; a host with more feeds than a tick admits takes turns."""
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), _Site)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    urls = " ".join(f"http://127.0.0.1:{server.server_port}/{c}" for c in "abcde")
+    spark.dataSource.register(feeds.FeedSource)
+    got = []
+
+    def run():
+        rows = spark.readStream.format("feeds").option("urls", urls).option("every", "3").option("perHost", "2").load()
+        writer = rows.writeStream.foreachBatch(lambda df, _: got.append(sorted(r.feed_url[-1] for r in df.collect()))).option("checkpointLocation", f"{tmp_path}/checkpoint")
+        query = writer.trigger(availableNow=True).start()
+        query.awaitTermination(60)
+        assert query.exception() is None
+
+    try:
+        turns = feeds._FeedStream({"urls": urls, "perhost": "2"})
+        assert sorted("".join(u[-1] for u in turns.admitted(t)) for t in range(3)) == ["ad", "be", "c"] and turns.partitions({"tick": 4}, {"tick": 4}) == []
+        for _ in range(4):
+            run()
+            time.sleep(1.5)
+        polls = [p for p in got if p]
+        assert polls and all(p in (["a", "d"], ["b", "e"], ["c"]) for p in polls) and all(x != y for x, y in zip(polls, polls[1:], strict=False))
+    finally:
+        server.shutdown()
+
+
+def test_directory_listings(spark):
+    entries = [{"name": "a.opml", "type": "file", "download_url": "https://x/a"}, {"name": "b.opml", "type": "dir", "download_url": None}, {"name": "c.md", "type": "file", "download_url": "https://x/c"}]
+    rows = spark.createDataFrame([(json.dumps(entries),), ('{"message": "limit"}',), ("no json",), (None,)], "body string")
+    assert [tuple(r) for r in feeds.listed_files(rows).collect()] == [("a.opml", "https://x/a")]
+
+
 def test_commands_run(spark, sf_dir, tmp_path, capfd):
     from tidewire.__main__ import main
 

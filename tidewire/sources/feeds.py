@@ -8,10 +8,11 @@ import urllib.error
 import urllib.parse
 import urllib.request
 from collections.abc import Callable
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from tidewire.config import DEFAULTS, Settings
 from tidewire.functions import text, urls, values
@@ -184,18 +185,34 @@ def decoded(body: bytes, content_type: str | None = None) -> str:
             return body.decode("utf-8", "replace")
 
 
-def fetch(url: str, timeout: float = 5, limit: int = 5 << 20, redirects: int = 5, attempts: int = 2) -> tuple[str | None, str | None]:
-    """(body, error) of an address: one more attempt after a passing network error, none after an answer."""
+@dataclass
+class Answer:
+    """What came back from an address: a body or an error, and what the server said of it."""
+
+    body: str | None = None
+    error: str | None = None
+    status: int | None = None
+    content_type: str | None = None
+
+
+def fetch(url: str, timeout: float = 5, limit: int = 5 << 20, redirects: int = 5, attempts: int = 2, head: int | None = None) -> Answer:
+    """An address's answer: one more attempt after a passing network error, none after an answer.
+
+    With `head` only so many first bytes are read, as is enough to tell a feed; else a body of over `limit` is an error.
+    """
     handler = urllib.request.HTTPRedirectHandler()
     handler.max_redirections = redirects
     opener, error = urllib.request.build_opener(handler), None
     for attempt in range(attempts):
         try:
             with opener.open(url, timeout=timeout) as got:
-                raw = got.read(limit + 1)
-                return (None, "too large") if len(raw) > limit else (decoded(raw, got.headers.get("Content-Type")), None)
+                kind = got.headers.get("Content-Type")
+                raw = got.read(limit + 1 if head is None else head)
+                if head is None and len(raw) > limit:
+                    return Answer(None, "too large", got.status, kind)
+                return Answer(decoded(raw, kind) if head is None else raw.decode("utf-8", "replace"), None, got.status, kind)
         except urllib.error.HTTPError as e:
-            return None, f"HTTP {e.code}"
+            return Answer(None, f"HTTP {e.code}", e.code, e.headers.get("Content-Type"))
         except (TimeoutError, ConnectionError, urllib.error.URLError) as e:
             cause = getattr(e, "reason", e)
             error = "timeout" if isinstance(cause, TimeoutError) else type(cause).__name__
@@ -203,27 +220,78 @@ def fetch(url: str, timeout: float = 5, limit: int = 5 << 20, redirects: int = 5
                 break
             if attempt + 1 < attempts:
                 time.sleep(0.25)
-        except OSError as e:
-            return None, type(e).__name__
-    return None, error
+        except (OSError, ValueError) as e:
+            return Answer(None, type(e).__name__)
+    return Answer(None, error)
 
 
-def within(seconds: float, work: Callable[[], tuple[str | None, str | None]]) -> tuple[str | None, str | None]:
+def within(seconds: float, work: Callable[[], Answer]) -> Answer:
     """The work's result, or a deadline error once the time is over; what still runs then is left to end by itself."""
     from threading import Thread
 
-    out: list[tuple[str | None, str | None]] = []
+    out: list[Answer] = []
     thread = Thread(target=lambda: out.append(work()), daemon=True)
     thread.start()
     thread.join(seconds)
-    return out[0] if out else (None, "deadline")
+    return out[0] if out else Answer(None, "deadline")
+
+
+FETCHED = "feed_url string, fetched_at timestamp, body string, error string, duration_ms long, status int, content_type string"
+
+
+def _host(url: str) -> str:
+    try:
+        return urllib.parse.urlsplit(url).netloc.lower()
+    except ValueError:
+        return ""
+
+
+def _poll(url: str, options: dict) -> tuple:
+    """One row of FETCHED; options: timeout (5 s an attempt), deadline (10 s in all), limit and head (bytes)."""
+    from datetime import UTC, datetime
+
+    began, head = time.time(), options.get("head")
+    got = within(float(options.get("deadline", 10)), lambda: fetch(url, float(options.get("timeout", 5)), int(options.get("limit", 5 << 20)), head=int(head) if head else None))
+    return url, datetime.now(UTC), got.body, got.error, int((time.time() - began) * 1000), got.status, got.content_type
+
+
+def polled(addresses: DataFrame, **options: str | int | float) -> DataFrame:
+    """FETCHED rows of a table's addresses (`url`), each once; a host's addresses are polled one after another.
+
+    Hosts are dealt over tasks, so that many hosts are polled side by side and none by two tasks; errors are rows, never
+    failures. Options are those of the `feeds` source.
+    """
+    hosts = addresses.where("url is not null").select("url").distinct().withColumn("host", F.lower(F.regexp_extract("url", "://([^/?#]*)", 1)))
+
+    def run(batches):  # noqa: ANN001, ANN202
+        import pandas as pd
+
+        for batch in batches:
+            for url in batch["url"]:
+                yield pd.DataFrame([_poll(url, options)], columns=[c.split()[0] for c in FETCHED.split(", ")]).astype({"status": "Int32"})
+
+    return hosts.repartition("host").mapInPandas(run, FETCHED)
+
+
+def listed_files(listings: DataFrame, ending: str = ".opml") -> DataFrame:
+    """(name, url) of the files in directory listings: JSON arrays of name, type and download_url, a listing a row (`body`).
+
+    Anything else, as an error's object, lists nothing.
+    """
+    entry = F.from_json("body", "array<struct<name:string,type:string,download_url:string>>")
+    rows = listings.select(F.inline(F.when(F.trim(F.col("body")).startswith("["), entry)))
+    return rows.where((F.col("type") == "file") & F.col("name").endswith(ending) & F.col("download_url").isNotNull()).select("name", F.col("download_url").alias("url"))
 
 
 class FeedSource(DataSource):
-    """`spark.read.format("feeds").option("urls", "a b")`: errors are rows, never failures.
+    """`spark.read.format("feeds").option("urls", "a b")`, or `readStream`: errors are rows, never failures.
 
     At most `concurrency` partitions (10) poll one feed after the other, feeds of one host in one partition; each feed
-    has `timeout` seconds (5) an attempt and `deadline` seconds (10) in all.
+    has `timeout` seconds (5) an attempt and `deadline` seconds (10) in all; `head` asks for that many first bytes.
+
+    As a stream, time goes in ticks of `every` seconds (600), which are the stream's offsets: a restarted stream goes on
+    with the tick after its checkpoint's, and ticks that passed meanwhile are not made up for. A tick admits at most
+    `per_host` feeds (10) of each host; a host with more takes turns.
     """
 
     @classmethod
@@ -231,35 +299,66 @@ class FeedSource(DataSource):
         return "feeds"
 
     def schema(self) -> str:
-        return "feed_url string, fetched_at timestamp, body string, error string, duration_ms long"
+        return FETCHED
 
     def reader(self, schema: object) -> DataSourceReader:
         return _FeedReader(self.options)
 
+    def streamReader(self, schema: object) -> DataSourceStreamReader:  # noqa: N802
+        return _FeedStream(self.options)
+
 
 class _Urls(InputPartition):
     pass
 
 
+def _dealt(urls_: list[str], concurrency: int) -> list[InputPartition]:
+    hosts: dict[str, list[str]] = {}
+    for u in urls_:
+        hosts.setdefault(_host(u), []).append(u)
+    bins: list[list[str]] = [[] for _ in range(max(1, min(concurrency, len(hosts))))]
+    for some in sorted(hosts.values(), key=len, reverse=True):
+        min(bins, key=len).extend(some)
+    return [_Urls(tuple(b)) for b in bins if b]
+
+
 class _FeedReader(DataSourceReader):
     def __init__(self, options: dict):
-        self.urls = options.get("urls", "").split()
-        self.timeout, self.deadline = float(options.get("timeout", 5)), float(options.get("deadline", 10))
-        self.limit, self.concurrency = int(options.get("limit", 5 << 20)), int(options.get("concurrency", 10))
+        self.options, self.urls, self.concurrency = dict(options), options.get("urls", "").split(), int(options.get("concurrency", 10))
 
     def partitions(self) -> list[InputPartition]:
+        return _dealt(self.urls, self.concurrency)
+
+    def read(self, partition: InputPartition):  # noqa: ANN201
+        for url in partition.value:
+            yield _poll(url, self.options)
+
+
+class _FeedStream(DataSourceStreamReader):
+    def __init__(self, options: dict):
+        self.options, self.urls, self.concurrency = dict(options), options.get("urls", "").split(), int(options.get("concurrency", 10))
+        self.every, self.per_host = float(options.get("every", 600)), int(options.get("perhost", options.get("per_host", 10)))
+
+    def initialOffset(self) -> dict:  # noqa: N802
+        return {"tick": int(time.time() // self.every) - 1}
+
+    def latestOffset(self) -> dict:  # noqa: N802
+        return {"tick": int(time.time() // self.every)}
+
+    def admitted(self, tick: int) -> list[str]:
+        """The feeds whose turn a tick is."""
         hosts: dict[str, list[str]] = {}
         for u in self.urls:
-            hosts.setdefault(urllib.parse.urlsplit(u).netloc.lower(), []).append(u)
-        bins: list[list[str]] = [[] for _ in range(max(1, min(self.concurrency, len(hosts))))]
-        for urls_ in sorted(hosts.values(), key=len, reverse=True):
-            min(bins, key=len).extend(urls_)
-        return [_Urls(tuple(b)) for b in bins if b]
+            hosts.setdefault(_host(u), []).append(u)
+        out = []
+        for some in hosts.values():
+            turns = -(-len(some) // self.per_host)
+            out += some[tick % turns :: turns]
+        return out
 
-    def read(self, partition: InputPartition):  # noqa: ANN201
-        from datetime import UTC, datetime
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        return _dealt(self.admitted(end["tick"]), self.concurrency) if end["tick"] > start["tick"] else []
 
+    def read(self, partition: InputPartition):  # noqa: ANN201
         for url in partition.value:
-            began = time.time()
-            body, error = within(self.deadline, lambda u=url: fetch(u, self.timeout, self.limit))
-            yield url, datetime.now(UTC), body, error, int((time.time() - began) * 1000)
+            yield _poll(url, self.options)
