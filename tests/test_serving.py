@@ -93,3 +93,24 @@ def test_picture_verdicts(spark):
     assert sorted(r.image for r in kept) == ["u1", "u4"]
     clash = probes.union(probes.where("image = 'u1'").withColumn("ok", F.lit(False)))
     assert expand.drop_unloadable(probes.select("image"), clash, "https://me").where("image = 'u1'").count() == 0
+
+
+def test_latest_day_and_registry(spark):
+    from tidewire.operators import usage
+
+    dates = spark.createDataFrame([("2026-04-01",), ("2026-05-20",), ("2026-06-30",), ("draft",)], "date string")
+    shown = lambda **k: [r.date for r in briefing.latest(dates, "2026-06-01", **k).collect()]
+    assert shown() == ["2026-06-30"] and shown(listed=False) == ["2026-05-20"] and shown(listed=False, back=12) == []
+    known = spark.createDataFrame([("story_date",), ("latency_ms",), ("other",)], "name string")
+    todo = usage.registrations(known)
+    assert todo.count() == 16 and usage.registrations(known.union(todo.select("name"))).count() == 0
+    assert {(r.name, r.unit) for r in todo.where("kind = 'metric'").collect()} == {("result_count", "STANDARD"), ("story_outlets", "STANDARD")}
+
+
+def test_vectors_as_json(spark):
+    from tidewire.functions import values
+
+    rows = spark.createDataFrame([({"b": 0.5, "a": 1.0},), ({},)], "v map<string,double>").withColumn("j", values.vector_json(F.col("v")))
+    assert [(r.j, r.w) for r in rows.withColumn("w", values.vector_of_json(F.col("j"))).collect()] == [('{"a":1.0,"b":0.5}', {"a": 1.0, "b": 0.5}), ("{}", {})]
+    odd = spark.createDataFrame([("[1]",), ("x",), (None,), ('{"a": "t", "b": 2}',)], "j string")
+    assert [r.w for r in odd.select(values.vector_of_json(F.col("j")).alias("w")).collect()] in ([{}, {}, {}, {"b": 2.0}], [{}, {}, {}, {}])

@@ -132,3 +132,14 @@ def array_cosine(a: Column, b: Column) -> Column:
     mul = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
     size = F.sqrt(mul(a, a)) * F.sqrt(mul(b, b))
     return F.when(size > 0, mul(a, b) / size).otherwise(F.lit(0.0))
+
+
+def vector_json(vector: Column) -> Column:
+    """A sparse vector as a JSON object, its keys in order."""
+    return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(vector))))
+
+
+def vector_of_json(value: Column) -> Column:
+    """The vector of a JSON object; entries that are no numbers go, and what is no object is an empty vector."""
+    held = F.from_json(value, "map<string,double>")
+    return F.map_filter(F.coalesce(held, F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<double>"))), lambda k, v: v.isNotNull())

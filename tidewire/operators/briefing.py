@@ -101,6 +101,15 @@ def index(days: DataFrame) -> DataFrame:
     return days.select("date").distinct().orderBy("date")
 
 
+def latest(dates: DataFrame, today: str, listed: bool = True, back: int = 60) -> DataFrame:
+    """The date that a reader sees first: the last that the index lists, or, of an unlisted folder's dates, the last of
+    today and the days before it, so many in all. No row where there is none."""
+    valid = dates.where(F.col("date").rlike(r"^\d{4}-\d{2}-\d{2}$"))
+    if not listed:
+        valid = valid.where((F.col("date") <= today) & (F.col("date").cast("date") > F.date_sub(F.lit(today).cast("date"), back)))
+    return valid.agg(F.max("date").alias("date")).where("date is not null")
+
+
 def neighbours(days: DataFrame) -> DataFrame:
     order = Window.orderBy("date")
     return index(days).select("date", F.lag("date").over(order).alias("previous"), F.lead("date").over(order).alias("next"))

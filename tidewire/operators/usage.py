@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tidewire.functions import values
 
@@ -70,6 +70,25 @@ def events(requests: DataFrame) -> DataFrame:
     )
 
 
+# The dimensions and metrics that usage events carry, with the metrics' units.
+DIMENSIONS = (
+    "mcp_method", "tool_name", "mcp_client", "mcp_client_version", "mcp_era", "protocol_version", "outcome", "error_code", "http_status", "days_ago",
+    "story_date", "story_rank", "story_title", "story_category", "story_keywords",
+)
+METRICS = (("latency_ms", "MILLISECONDS"), ("result_count", "STANDARD"), ("story_outlets", "STANDARD"))
+
+
+def registry(spark: SparkSession) -> DataFrame:
+    """(name, kind, unit): every dimension and metric that has to be known where events are counted."""
+    rows = [(d, "dimension", None) for d in DIMENSIONS] + [(m, "metric", unit) for m, unit in METRICS]
+    return spark.createDataFrame(rows, "name string, kind string, unit string")
+
+
+def registrations(existing: DataFrame) -> DataFrame:
+    """What of the registry is still to be registered beside what exists (name); run again, nothing is."""
+    return unregistered(registry(existing.sparkSession), existing)
+
+
 def unregistered(wanted: DataFrame, existing: DataFrame) -> DataFrame:
     return wanted.join(existing.select("name"), "name", "left_anti")
 
