@@ -501,6 +501,23 @@ def test_url_filter_matches_sql(spark):
 # --- 5: FLAC ---------------------------------------------------------------------------------------------------------------
 
 
+def test_a_published_stream():
+    """The 8-bit mono example of the format's specification (RFC 9639, appendix D.3): other block size and rate codes,
+    order 3 linear prediction, checksums and the MD5 sum; every single damaged byte of its frame is found."""
+    from tidewire.llm.flac import decode
+
+    stream = bytes.fromhex(
+        "664c6143 80000022 10001000 00001f00 001f07d0 00700000 0018f8f9 e396f5cb cfc6dc80 7f997790"
+        "6b32fff8 68020017 e944004f 6f313d10 47d227cb 6d090831 452bdc28 222280 57a3"
+    )
+    samples = [0, 79, 111, 78, 8, -61, -90, -68, -13, 42, 67, 53, 13, -27, -46, -38, -12, 14, 24, 19, 6, -4, -5, 0]
+    got = decode([stream, stream])
+    assert (got.payload.astype(int) - 128).tolist() == samples * 2 and got.offsets.tolist() == [0, 24, 48]
+    for at in range(42, len(stream)):
+        with pytest.raises(ValueError):
+            decode([stream[:at] + bytes([stream[at] ^ 0x10]) + stream[at + 1 :]])
+
+
 def test_flac_round_trip():
     from tidewire.llm import flac
 

@@ -237,8 +237,8 @@ class _Reader:
         self.word = word  # the eight bytes from each byte on
 
     def window(self, at: np.ndarray) -> np.ndarray:
-        """The 57 bits or more from each bit position on, left-aligned."""
-        return self.word[at >> 3] << (at & 7).astype(np.uint64)
+        """The 57 bits or more from each bit position on, left-aligned; a damaged stream's positions beyond the end read its end."""
+        return self.word[np.minimum(at >> 3, len(self.word) - 1)] << (at & 7).astype(np.uint64)
 
     def bits(self, at: np.ndarray, width: int) -> np.ndarray:
         return (self.window(at) >> np.uint64(64 - width)).astype(np.int64) if width else np.zeros(len(at), np.int64)
@@ -251,7 +251,8 @@ def _signed(v: np.ndarray, width: int) -> np.ndarray:
 def decode(streams: list[bytes]) -> Decoded:
     """Read whole streams: headers with CRC-8, subframes of every kind, residuals, frame CRC-16 and the MD5 sum.
 
-    A stream that is damaged or outside the subset (8-bit mono, block sizes given in 16 bits) raises ValueError.
+    A stream that is damaged or outside the subset (8-bit mono, frames numbered one by one, no further metadata) raises
+    ValueError. Rates and block sizes may be any that a header can say.
     """
     data = np.frombuffer(b"".join(streams), np.uint8)
     raw = data.tobytes()
@@ -280,6 +281,22 @@ def decode(streams: list[bytes]) -> Decoded:
     return Decoded(payload, offsets, stream, done, size)
 
 
+def _frame_head(head: bytes, number: int) -> tuple[int, int] | None:
+    """(samples, bytes before the CRC-8) of the header of a stream's next frame, in 8-bit mono; None if it is none."""
+    coded = _utf8_number(number)
+    size, rate = head[2] >> 4 if len(head) > 4 else 0, head[2] & 15 if len(head) > 4 else 15
+    # One channel; the samples' width as the stream says, or 8 bits.
+    if not size or rate == 15 or head[3] not in (0, 2) or head[4 : 4 + len(coded)] != coded:
+        return None
+    at = 4 + len(coded)
+    more = {6: 1, 7: 2}.get(size, 0)
+    end = at + more + {12: 1, 13: 2, 14: 2}.get(rate, 0)
+    if len(head) <= end:
+        return None
+    samples = int.from_bytes(head[at : at + more], "big") + 1 if more else 192 if size == 1 else 576 << (size - 2) if size < 6 else 256 << (size - 8)
+    return samples, end
+
+
 def _frame_starts(data: np.ndarray, raw: bytes, starts: np.ndarray, totals: np.ndarray) -> tuple[np.ndarray, ...]:
     """Where frames stand: positions with the sync code whose header is the next expected one and passes its CRC-8."""
     at = np.flatnonzero((data[:-1] == 0xFF) & (data[1:] == 0xF8)).tolist()
@@ -290,15 +307,13 @@ def _frame_starts(data: np.ndarray, raw: bytes, starts: np.ndarray, totals: np.n
             if s >= 0 and done != totals[s]:
                 raise ValueError("missing frames")
             s, done, number = s + 1, 0, 0
-        if done == totals[s] or raw[p + 2 : p + 4] != b"\x74\x02":
+        if done == totals[s]:
             continue
-        head = raw[p : p + 6 + len(_utf8_number(number))]
-        if head[4:-2] == _utf8_number(number) and p + len(head) < starts[s + 1] and _crc8(head) == raw[p + len(head)]:
-            size = int.from_bytes(head[-2:], "big") + 1
-            if done + size <= totals[s] and (size == BLOCK or done + size == totals[s]):
-                out.append((s, p, done, size, p + len(head) + 1))
-                done += size
-                number += 1
+        head = _frame_head(raw[p : min(p + 16, starts[s + 1])], number)
+        if head is not None and done + head[0] <= totals[s] and _crc8(raw[p : p + head[1]]) == raw[p + head[1]]:
+            out.append((s, p, done, head[0], p + head[1] + 1))
+            done += head[0]
+            number += 1
     if len(totals) and (s != len(totals) - 1 or done != totals[s]):
         raise ValueError("missing frames")
     table = np.array(out, np.int64).reshape(-1, 5)
@@ -358,7 +373,7 @@ def _decode_frames(reader: _Reader, data: np.ndarray, body: np.ndarray, end: np.
         raise ValueError("reserved residual method")
     at = at + 6
     wide = 4 + method  # bits of a Rice parameter
-    per = size >> parts
+    per = np.maximum(size >> parts, 1)
     k = np.zeros(n, np.int64)
     escape = np.zeros(n, bool)
     alive = np.searchsorted(-size, -np.arange(longest), "left")
