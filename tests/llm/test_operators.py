@@ -765,6 +765,28 @@ def test_quality_statistics(odd, docs, labels):
     assert quality_rules(odd.limit(0), labels.limit(0)).count() == 0
 
 
+def test_pooled_convolutions_window_by_window():
+    """Responses of each filter at each window, its greatest three, bias and rectifier: one text and one window at a time."""
+    from tidewire.llm.toxicity import _BITS, _STEMS, _TOP, LANGUAGES, Network
+
+    rng = np.random.default_rng(3)
+    net = Network(rng.normal(0, 1, (2**_BITS, 4)).astype(np.float32), [rng.normal(0, 1, (k, 4, 5)) for k in (1, 2, 3)], rng.normal(0, 1, 3 * 5 * _TOP), rng.normal(0, 1, 3 * 5 * _TOP), 0.3)
+    net.embed[0] = 0
+    texts = [rng.integers(1, 2**_BITS, (n, 1 + len(_STEMS))).astype(np.int32) for n in (0, 1, 2, 3, 40, 0, 7)]
+    texts.append(np.repeat(texts[4][:1], 9, axis=0))  # equal responses at all windows
+    got = net.pooled(np.concatenate(texts), np.array([len(t) for t in texts]))
+    for codes, row in zip(texts, got, strict=True):
+        words = [sum(net.embed[c].astype(float) for c in word) for word in codes] + [np.zeros(4)] * 9
+        expected = []
+        for bank in net.banks:
+            windows = [sum(words[i + j] @ bank[j] for j in range(len(bank))) for i in range(max(len(codes), _TOP))]
+            best = [sorted((w[f] for w in windows), reverse=True)[:_TOP] for f in range(5)]
+            expected += [best[f][k] for k in range(_TOP) for f in range(5)]
+        assert np.allclose(row, np.maximum(np.array(expected) + net.bias, 0), atol=1e-4)
+    z = net.logits(np.concatenate(texts), np.array([len(t) for t in texts]))
+    assert np.allclose(z, got @ net.dense + 0.3) and ((0 < net.scores(z, np.zeros(len(z), int))) & (net.scores(z, np.zeros(len(z), int)) < 1)).all() and len(net.thresholds) == len(LANGUAGES)
+
+
 def test_labels_of_other_documents_change_nothing(spark, docs, labels):
     """However many other documents are labelled, the same rows are fitted: op7, op9 and the pipeline's stages."""
     from tidewire.llm.quality import quality_rules

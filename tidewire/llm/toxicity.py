@@ -84,7 +84,7 @@ class Network:
 
     def pooled(self, codes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Each filter's `_TOP` greatest responses anywhere in each whole text."""
-        pad = max(self.widths)
+        pad = max(self.widths) + _TOP  # a short text has windows that begin in its padding
         filters = self.banks[0].shape[2]
         begin = np.cumsum(lengths + pad) - (lengths + pad)
         at = ragged(begin, lengths)
