@@ -22,7 +22,7 @@ def test_matches_sql(spark, sf_dir, con, name):
     assert rows(ours) == rows(theirs)
 
 
-@pytest.mark.parametrize("name", ["story_clusters"])
+@pytest.mark.parametrize("name", ["story_clusters", "follow_up_anchors"])
 def test_runs(spark, sf_dir, name):
     assert catalog.queries()[name](spark, sf_dir).toPandas() is not None
 
