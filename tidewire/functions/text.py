@@ -7,24 +7,23 @@ import unicodedata
 
 from pyspark.sql import Column, functions as F
 
-# Words that never link two headlines.
-STOPWORDS = tuple(
-    dict.fromkeys(
-        """
-a about above after again against all am an and any are as at be because been before being below between both but by can could
-did do does doing down during each few for from further had has have having he her here hers herself him himself his how i if in
-into is it its itself just me more most my myself new news no nor not now of off on once only or other our ours ourselves out over
-own s same she should so some such t than that the their theirs them themselves then there these they this those through to too
-under until up very was we were what when where which while who whom why will with you your yours yourself yourselves
-say says said live video watch breaking latest update updates exclusive opinion analysis photos podcast amp
-der das und ist im mit von zu den dem des ein eine einer eines auf fur nicht sich bei nach aus als auch es wie wird werden hat sind
-vom zum zur um uber noch jetzt
-le la les un une du de et en au aux pour par sur dans est qui que pas avec ce cette se ses il elle ils apres sont selon
-el los las del al por con para una uno su sus como mas lo tras os um uma do da dos das no na nos nas em ao il gli della delle dei di
-per che nel nella sobre entre
-""".split()
-    )
-)
+# Words that never link two headlines, English ones, those of the trade, German, French, and Spanish, Portuguese and Italian ones.
+STOPWORDS = (
+    "a", "about", "above", "after", "again", "against", "all", "am", "an", "and", "any", "are", "as", "at", "be", "because", "been", "before", "being", "below",
+    "between", "both", "but", "by", "can", "could", "did", "do", "does", "doing", "down", "during", "each", "few", "for", "from", "further", "had", "has",
+    "have", "having", "he", "her", "here", "hers", "herself", "him", "himself", "his", "how", "i", "if", "in", "into", "is", "it", "its", "itself", "just",
+    "me", "more", "most", "my", "myself", "new", "news", "no", "nor", "not", "now", "of", "off", "on", "once", "only", "or", "other", "our", "ours",
+    "ourselves", "out", "over", "own", "s", "same", "she", "should", "so", "some", "such", "t", "than", "that", "the", "their", "theirs", "them", "themselves",
+    "then", "there", "these", "they", "this", "those", "through", "to", "too", "under", "until", "up", "very", "was", "we", "were", "what", "when", "where",
+    "which", "while", "who", "whom", "why", "will", "with", "you", "your", "yours", "yourself", "yourselves",
+    "say", "says", "said", "live", "video", "watch", "breaking", "latest", "update", "updates", "exclusive", "opinion", "analysis", "photos", "podcast", "amp",
+    "der", "das", "und", "ist", "im", "mit", "von", "zu", "den", "dem", "des", "ein", "eine", "einer", "eines", "auf", "fur", "nicht", "sich", "bei", "nach",
+    "aus", "als", "auch", "es", "wie", "wird", "werden", "hat", "sind", "vom", "zum", "zur", "um", "uber", "noch", "jetzt",
+    "le", "la", "les", "un", "une", "du", "de", "et", "en", "au", "aux", "pour", "par", "sur", "dans", "est", "qui", "que", "pas", "avec", "ce", "cette", "se",
+    "ses", "il", "elle", "ils", "apres", "sont", "selon",
+    "el", "los", "las", "del", "al", "por", "con", "para", "una", "uno", "su", "sus", "como", "mas", "lo", "tras", "os", "uma", "da", "dos", "na", "nos", "nas",
+    "em", "ao", "gli", "della", "delle", "dei", "di", "per", "che", "nel", "nella", "sobre", "entre",
+)
 
 
 _HANGUL = range(0xAC00, 0xD7A4)
