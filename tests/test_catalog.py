@@ -34,7 +34,7 @@ def test_balanced_pool_holds_every_order(spark, sf_dir, con):
     assert len(best) == len({day for day, _ in picked}) and set(best) <= picked
 
 
-@pytest.mark.parametrize("name", ["time_parts"])
+@pytest.mark.parametrize("name", ["time_parts", "usage_events"])
 def test_times_within_half_a_millisecond_of_a_bucket_edge(spark, tmp_path, name):
     """Times on both sides of the next bucket's first half millisecond, after 1970 and before."""
     import duckdb
