@@ -845,6 +845,55 @@ def test_forest_parts_poor_from_clean():
     assert (scores[quality == 1] < cut).mean() > 0.97 and (scores[quality == 0] >= cut).mean() > 0.8
 
 
+def test_leaves_hold_every_row():
+    """A leaf's path is its level and the mean path of its share of all rows, the rows walked one by one."""
+    from tidewire.llm.quality import expected_path, fit_forest
+
+    x = np.random.default_rng(8).gamma(1, 1, (700, 3))
+    forest = fit_forest(x, trees=5, sample=32)
+    for t in range(5):
+        held = collections.Counter()
+        for row in x:
+            node = 0
+            while forest.child[t, node, 0] != node:
+                node = forest.child[t, node, int(row[forest.feature[t, node]] >= forest.cut[t, node])]
+            held[node] += 1
+        assert sum(held.values()) == len(x) and len(held) > 1
+        for node, n in held.items():
+            share, level = n * 32 / len(x), int(math.log2(node + 1))
+            below, above = expected_path(math.floor(share)), expected_path(math.ceil(share))
+            assert math.isclose(forest.path[t, node], level + below + (share - math.floor(share)) * (above - below)) and (level == 5 or share <= 1)
+
+
+def numbered_texts(spark, n):
+    """`n` unlike texts of 60 words, some with marks, and labels for all: the more marks, the likelier poor."""
+    word = "concat('w', (id * 31 + i * i * 7) % 997, if((id * i) % 11 < id % 13 - 9, ' # !', ''), if(i % 9 = id % 5, ',', ''))"
+    docs = spark.range(n).selectExpr("id as doc_id", f"concat_ws(' ', transform(sequence(1, 60), i -> {word})) as text", "'en' as lang", "'s' as source", "1L as n_chars")
+    return docs, spark.range(n).selectExpr("id as doc_id", "if(id % 13 >= 11 and id % 7 > 0 or id % 101 = 0, 0, 1) as quality")
+
+
+def verdicts_of_all_rows(docs, labels):
+    """doc_id: (score, kept), from a forest of all rows and a threshold of all labelled ones that pass the base rules."""
+    from tidewire.llm.quality import FEATURES, calibrate, fit_forest, with_statistics
+
+    held = with_statistics(docs, keep=("doc_id",)).join(labels, "doc_id").toPandas()
+    x = held[[f"__{n}" for n in FEATURES]].to_numpy(float)
+    failed = ((held["__n_words"] < 50) | (100 * held["__n_repeat_words"] > 50 * held["__n_words"])).to_numpy()
+    scores = np.round(fit_forest(x).score(x), 5)
+    cut = calibrate(scores[~failed], held["quality"].to_numpy()[~failed])
+    return dict(zip(held["doc_id"], zip(scores, ~failed & (scores < cut), strict=True), strict=True))
+
+
+def test_quality_rules_count_every_row(spark):
+    """More documents than 4096 and more labels than 20,000: all of them shape the forest and the threshold."""
+    from tidewire.llm.quality import quality_rules
+
+    docs, labels = numbered_texts(spark, 21_000)
+    expected = verdicts_of_all_rows(docs, labels)
+    got = {r.doc_id: (r.anomaly_score, r.kept) for r in quality_rules(docs.repartition(7), labels).collect()}
+    assert got == expected and 1000 < sum(not kept for _, kept in got.values()) < 20_000
+
+
 # --- the pipeline ----------------------------------------------------------------------------------------------------------
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -118,64 +118,149 @@ class Forest:
     depth: int
     norm: float
 
+    def nodes(self, x: np.ndarray, tree: int, depth: int) -> np.ndarray:
+        """Each row's node of one tree after `depth` splits, or its leaf."""
+        node, rows = np.zeros(len(x), np.int64), np.arange(len(x))
+        for _ in range(depth):
+            right = x[rows, self.feature[tree][node]] >= self.cut[tree][node]
+            node = self.child[tree][node, right.astype(np.int64)]
+        return node
+
     def score(self, x: np.ndarray) -> np.ndarray:
         """2 ** (-mean path length / expected path length): near 1 is anomalous, 0.5 and below is ordinary."""
-        total, rows = np.zeros(len(x)), np.arange(len(x))
+        total = np.zeros(len(x))
         for t in range(len(self.feature)):
-            node = np.zeros(len(x), np.int64)
-            for _ in range(self.depth):
-                right = x[rows, self.feature[t][node]] >= self.cut[t][node]
-                node = self.child[t][node, right.astype(np.int64)]
-            total += self.path[t][node]
+            total += self.path[t][self.nodes(x, t, self.depth)]
         return 2.0 ** (-total / len(self.feature) / self.norm)
 
 
 def expected_path(n: float) -> float:
-    """Mean depth of an unsuccessful search in a random binary tree of n rows."""
+    """Mean depth of an unsuccessful search in a random binary tree of n rows; on a line between whole numbers."""
+    if n != int(n):
+        below = expected_path(int(n))
+        return below + (n - int(n)) * (expected_path(int(n) + 1) - below)
     return 0.0 if n <= 1 else 1.0 if n == 2 else 2 * (np.log(n - 1) + 0.5772156649015329) - 2 * (n - 1) / n
 
 
-def fit_forest(x: np.ndarray, trees: int = 128, sample: int = 256, seed: int = 7, margin: float = 0.5) -> Forest:
-    """Random splits over rows of rule statistics.
+# Values are counted in steps of 0.4 % of them, or of 4e-7 about zero.
+_STEPS, _UNIT = 256, 1e-4
+
 
-    Each split draws its cut from the node's range widened by `margin` of the feature's spread on both sides, so
-    that a value beyond what the sample shows is isolated early as well.
+def usual_ranges(counts: pd.DataFrame, sample: int) -> np.ndarray:
+    """Per feature the lower and upper end of what some `sample` rows span, and the spread of the rows held to it.
+
+    `counts`: rows by feature and step (feature, step, count), of all rows.
+    """
+    out = []
+    for _, part in counts.sort_values(["feature", "step"]).groupby("feature"):
+        step, rows = part["step"].to_numpy(np.float64), part["count"].to_numpy(np.float64)
+        share = np.cumsum(rows) / rows.sum()
+        lo, hi = (np.searchsorted(share, q) for q in (1 / (sample + 1), sample / (sample + 1)))
+        value = np.clip(_UNIT * np.sinh((step + 0.5) / _STEPS), *(low_high := _UNIT * np.sinh((step[[lo, hi]] + [0, 1]) / _STEPS)))
+        mean = value @ rows / rows.sum()
+        out.append([*low_high, max(1e-3, np.sqrt((value - mean) ** 2 @ rows / rows.sum()))])
+    return np.array(out)
+
+
+def grow_forest(
+    n_rows: int, ranges: np.ndarray, level_of: Callable[[Forest, int], tuple[np.ndarray, np.ndarray, np.ndarray]],
+    trees: int = 128, sample: int = 256, seed: int = 7, margin: float = 0.5,
+) -> Forest:
+    """Trees of random splits, level by level: every one of the `n_rows` rows passes through every tree.
+
+    `level_of(forest, level)` gives the rows of each tree's nodes of a level, and the least and greatest value of the
+    feature that the node's split is drawn for. A split draws its cut from the node's range, as far as usual (`ranges`),
+    widened by `margin` of the feature's spread on both sides, so that a value beyond is isolated early as well.
+    Paths are told as in trees of `sample` rows: a leaf stands for its share of them, and trees end at their depth.
+    Node i's children are 2 i + 1 and 2 i + 2; counts and extremes do not depend on the order of the rows.
     """
     rng = np.random.default_rng(seed)
-    depth = int(np.ceil(np.log2(max(2, min(sample, len(x))))))
-    spread = np.maximum(x.std(0), 1e-3) if len(x) else np.ones(x.shape[1])
-    size = 2 ** (depth + 1)
-    feature, cut = np.zeros((trees, size), np.int64), np.full((trees, size), np.inf)
+    sample = min(sample, n_rows)
+    depth = int(np.ceil(np.log2(max(2, sample))))
+    size = 2 ** (depth + 1) - 1
+    feature, drawn = rng.integers(len(ranges), size=(trees, size)), rng.random((trees, size))
     child = np.tile(np.arange(size)[None, :, None], (trees, 1, 2))
-    path = np.zeros((trees, size))
-    for t in range(trees):
-        rows = x[rng.choice(len(x), min(sample, len(x)), replace=False)]
-        free, todo = 1, [(0, rows, 0)]
-        while todo:
-            node, part, level = todo.pop()
-            if len(part) <= 1 or level == depth:
-                path[t, node] = level + expected_path(len(part))
-                continue
-            f = int(rng.integers(x.shape[1]))
-            lo, hi = part[:, f].min() - margin * spread[f], part[:, f].max() + margin * spread[f]
-            c = rng.uniform(lo, hi)
-            feature[t, node], cut[t, node], child[t, node] = f, c, (free, free + 1)
-            right = part[:, f] >= c
-            todo += [(free, part[~right], level + 1), (free + 1, part[right], level + 1)]
-            free += 2
-    return Forest(feature, cut, child, path, depth, expected_path(min(sample, max(2, len(x)))))
-
-
-def calibrate(scores: np.ndarray, quality: np.ndarray, clean_weight: float = 4.0, default: float = 0.62) -> float:
+    forest = Forest(feature, np.full((trees, size), np.inf), child, np.zeros((trees, size)), depth, expected_path(max(2, sample)))
+    inner = np.ones((trees, 1), bool)
+    for level in range(depth + 1):
+        at = np.arange(2**level - 1, 2 ** (level + 1) - 1)
+        rows, low, high = level_of(forest, level)
+        held = rows * (sample / n_rows)
+        forest.path[:, at] = level + np.vectorize(expected_path, otypes=[float])(held)
+        if level == depth:
+            break
+        split = inner & (held > 1)
+        lo, hi, spread = np.moveaxis(ranges[feature[:, at]], 2, 0)
+        low, high = np.clip(low, lo, hi) - margin * spread, np.clip(high, lo, hi) + margin * spread
+        cut = low + drawn[:, at] * (high - low)
+        forest.cut[:, at] = np.where(split, cut, np.inf)
+        forest.child[:, at] = np.where(split[:, :, None], 2 * at[None, :, None] + [1, 2], at[None, :, None])
+        inner = np.repeat(split, 2, axis=1)
+    return forest
+
+
+def _count_level(forest: Forest, level: int, blocks: Iterable[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """`level_of` of the rows of some blocks."""
+    first, shape = 2**level - 1, (len(forest.feature), 2**level)
+    rows, low, high = np.zeros(shape, np.int64), np.full(shape, np.inf), np.full(shape, -np.inf)
+    for x in blocks:
+        for t in range(shape[0]):
+            node = forest.nodes(x, t, level)
+            here = np.flatnonzero(node >= first)
+            node = node[here]
+            value = x[here, forest.feature[t][node]]
+            rows[t] += np.bincount(node - first, minlength=shape[1])
+            np.minimum.at(low[t], node - first, value)
+            np.maximum.at(high[t], node - first, value)
+    return rows, low, high
+
+
+def fit_forest(x: np.ndarray, trees: int = 128, sample: int = 256, seed: int = 7, margin: float = 0.5) -> Forest:
+    """The forest of all rows of an array."""
+    steps = np.floor(np.arcsinh(x / _UNIT) * _STEPS).astype(np.int64)
+    counts = pd.concat([pd.Series(steps[:, f]).value_counts().rename_axis("step").reset_index(name="count").assign(feature=f) for f in range(x.shape[1])])
+    return grow_forest(len(x), usual_ranges(counts, sample), lambda forest, level: _count_level(forest, level, [x]), trees, sample, seed, margin)
+
+
+def forest_of(rows: DataFrame, names: list[str], trees: int = 128, sample: int = 256) -> Forest | None:
+    """The forest of all rows of a written table, which is read once a level; none of less than two rows.
+
+    Tasks send the counts and extremes of their rows by tree and node: some 2 * trees * sample numbers at most.
+    """
+    steps = F.array(*[F.struct(F.lit(i).alias("feature"), F.floor(F.asinh(F.col(n) / _UNIT) * _STEPS).alias("step")) for i, n in enumerate(names)])
+    counts = rows.select(F.explode(steps).alias("s")).groupBy("s.feature", "s.step").count().toPandas()
+    n_rows = int(counts["count"].sum()) // len(names)
+    if n_rows < 2:
+        return None
+
+    def level_of(forest: Forest, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            blocks = (np.stack([c.to_numpy() for c in b.columns], 1) for b in batches)
+            held = _count_level(forest, level, blocks)
+            tree, node = np.nonzero(held[0])
+            columns = [tree.astype(np.int32), node.astype(np.int32), *(h[tree, node] for h in held)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["tree", "node", "n", "low", "high"])
+
+        told = rows.select(*names).mapInArrow(run, "tree int, node int, n long, low double, high double")
+        told = told.groupBy("tree", "node").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high")).toPandas()
+        out = np.zeros((trees, 2**level), np.int64), np.zeros((trees, 2**level)), np.zeros((trees, 2**level))
+        for held, name in zip(out, ("n", "low", "high"), strict=True):
+            held[told["tree"], told["node"]] = told[name]
+        return out
+
+    return grow_forest(n_rows, usual_ranges(counts, sample), level_of, trees, sample)
+
+
+def calibrate(scores: np.ndarray, quality: np.ndarray, clean_weight: float = 4.0, default: float = 0.62, rows: np.ndarray | None = None) -> float:
     """The score from which a text is rejected: best trade of caught poor rows against `clean_weight` times lost
-    clean rows, in the middle of the best gap; `default` where one class is absent."""
-    good, poor = np.sort(scores[quality == 1]), np.sort(scores[quality == 0])
-    if not len(good) or not len(poor):
+    clean rows, in the middle of the best gap; `default` where one class is absent. A score stands for `rows` rows, or one."""
+    cuts, at = np.unique(scores, return_inverse=True)
+    rows = np.ones(len(scores)) if rows is None else rows
+    good, poor = (np.bincount(at, rows * (quality == k), len(cuts)) for k in (1, 0))
+    if not good.sum() or not poor.sum():
         return default
-    cuts = np.unique(scores)
     cuts = np.concatenate([cuts, [cuts[-1] + 1e-3]])
-    caught = 1 - np.searchsorted(poor, cuts) / len(poor)
-    lost = 1 - np.searchsorted(good, cuts) / len(good)
+    lost, caught = (1 - np.concatenate([[0], np.cumsum(k)]) / k.sum() for k in (good, poor))
     best = int(np.argmax(caught - clean_weight * lost))
     return float((cuts[best] + (cuts[best - 1] if best else cuts[best])) / 2)
 
@@ -203,16 +288,17 @@ def with_statistics(docs: DataFrame, text: str = "text", keep: tuple[str, ...] =
 
 def quality_rules(
     docs: DataFrame, labels: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",),
-    fit_rows: int = 4096, label_rows: int = 20_000, trees: int = 128, sample: int = 256, clean_weight: float = 4.0,
+    label_rows: int | None = None, trees: int = 128, sample: int = 256, clean_weight: float = 4.0,
 ) -> DataFrame:
     """The kept columns, the rule counts, base_failed, the forest's score and the verdict `kept`, a row per row.
 
-    Statistics cover every whole text. The forest is fitted on the `fit_rows` documents with the smallest id
-    hashes, and its threshold on the `label_rows` smallest of the documents that have a label (quality 1 or 0) and pass
-    the base rules: both bounds are parameters, and both samples are the same whatever the partitioning and whatever
-    other documents are labelled. Without labels of both kinds the threshold is fixed. A null text counts as empty: no words, base_failed. Repeated rows get equal verdicts; an empty
-    table gives an empty result. A document labelled twice counts as poor if one label says so. Columns of
-    `docs` that are not kept play no part; kept ones must not be named as the results are.
+    Statistics cover every whole text. The forest is grown on all documents, and its threshold weighs all documents
+    that have a label (quality 1 or 0) and pass the base rules, whatever the partitioning and whatever other documents
+    are labelled; `label_rows` holds the latter to so many with the smallest id hashes. Scores have five places, so that
+    a count of labelled rows by score is bounded. `sample` is the size of the trees: the rows that a tree's leaves stand
+    for. Without labels of both kinds the threshold is fixed. A null text counts as empty: no words, base_failed.
+    Repeated rows get equal verdicts; an empty table gives an empty result. A document labelled twice counts as poor if
+    one label says so. Columns of `docs` that are not kept play no part; kept ones must not be named as the results are.
     """
     if {*COUNTS, "base_failed", "anomaly_score", "kept"} & set(keep):
         raise ValueError("kept columns must not be named as the results are")
@@ -220,21 +306,17 @@ def quality_rules(
     stats = materialise(with_statistics(docs.withColumn("__doc_id", F.col("doc_id")), text, (*keep, "__doc_id")), shared_dir(spark))
     names = [f"__{n}" for n in FEATURES]
     failed = (F.col("__n_words") < 50) | (100 * F.col("__n_repeat_words") > 50 * F.col("__n_words"))
-    draw = lambda df, n: smallest_hashes(df, n, "__doc_id", *names).toPandas()
-    fit = np.array(draw(stats.select("__doc_id", *names), fit_rows)[names], np.float64).reshape(-1, len(names))
-    known = labels.where("doc_id is not null and quality in (0, 1)").groupBy(F.col("doc_id").alias("__doc_id")).agg(F.min("quality").alias("__quality"))
-    labelled = materialise(stats.where(~failed).select("__doc_id", *names).join(known.hint("merge"), "__doc_id"), shared_dir(spark))
-    rows = draw(labelled, label_rows)
-    forest = fit_forest(fit, trees, sample) if len(fit) > 1 else None
-    default = 0.62
-    if forest is None:
-        threshold = default
-    else:
-        x = np.array(rows[names], np.float64).reshape(-1, len(names))
-        threshold = calibrate(forest.score(x), rows["__quality"].to_numpy(), clean_weight, default)
-
-    score = F.pandas_udf(_series_scorer(forest), "double")
-    out = stats.withColumn("__score", score(F.struct(*names)))
+    score = F.pandas_udf(_series_scorer(forest := forest_of(stats, names, trees, sample)), "double")(F.struct(*names))
+    threshold = default = 0.62
+    if forest is not None:
+        known = labels.where("doc_id is not null and quality in (0, 1)").groupBy(F.col("doc_id").alias("__doc_id")).agg(F.min("quality").alias("__quality"))
+        labelled = stats.where(~failed).select("__doc_id", *names).join(known.hint("merge"), "__doc_id")
+        if label_rows is not None:
+            labelled = smallest_hashes(materialise(labelled, shared_dir(spark)), label_rows, "__doc_id", *names)
+        rows = labelled.select(score.alias("score"), "__quality").groupBy("score", "__quality").count().toPandas()
+        threshold = calibrate(rows["score"].to_numpy(np.float64), rows["__quality"].to_numpy(), clean_weight, default, rows["count"].to_numpy())
+
+    out = stats.withColumn("__score", score)
     return out.select(
         *[F.col(f"`{c}`") for c in keep], *[F.col(f"__{n}").alias(n) for n in COUNTS], failed.alias("base_failed"),
         F.col("__score").alias("anomaly_score"), (~failed & (F.col("__score") < F.lit(threshold))).alias("kept"),
@@ -243,6 +325,6 @@ def quality_rules(
 
 def _series_scorer(forest: Forest | None):  # noqa: ANN202
     def score(values: pd.DataFrame) -> pd.Series:
-        return pd.Series(forest.score(values.to_numpy(np.float64)) if forest else np.zeros(len(values)))
+        return pd.Series(np.round(forest.score(values.to_numpy(np.float64)), 5) if forest else np.zeros(len(values)))
 
     return score
