@@ -943,6 +943,16 @@ def test_pipeline_stages_of_odd_rows(spark, sf_dir, tmp_path):
     assert pipeline.packed(spark, df.limit(0), sf_dir).count() == 0
 
 
+def test_pipeline_quality_stage_counts_every_row(spark, tmp_path):
+    """The stage keeps what the forest and the threshold of all its rows keep."""
+    import corpus_pipeline as pipeline
+
+    docs, labels = numbered_texts(spark, 21_000)
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    kept = {k for k, (_, stays) in verdicts_of_all_rows(docs, labels).items() if stays}
+    assert sorted(r.doc_id for r in pipeline.quality(spark, docs, str(tmp_path)).select("doc_id").collect()) == sorted(kept)
+
+
 def test_pipeline_decides_by_row(spark, sf_dir):
     """Unlike texts under one id both stay; copies and near copies go, with or without an id."""
     import corpus_pipeline as pipeline
