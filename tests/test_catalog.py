@@ -46,3 +46,30 @@ def test_times_within_half_a_millisecond_of_a_bucket_edge(spark, tmp_path, name)
     con.execute(f"copy events to '{tmp_path}/events.parquet' (format parquet)")
     ours, theirs = catalog.queries()[name](spark, str(tmp_path)).toPandas(), con.execute(catalog.oracle_sql()[name]).df()
     assert len(ours) >= len(edges) and rows(ours) == rows(theirs)
+
+
+def _usage_rows(spark, folder, select: str) -> tuple:
+    """Rows of usage_events and of its SQL over events made by `select` (event_id, ts, event_type)."""
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"create table events as {select}")
+    con.execute(f"copy events to '{folder}/events.parquet' (format parquet)")
+    order = "order by request_id, event"
+    got = catalog.queries()["usage_events"](spark, str(folder)).orderBy("request_id", "event").collect()
+    return [tuple(r) for r in got], con.execute(f"select request_id, event, session, engagement_ms from ({catalog.oracle_sql()['usage_events']}) {order}").fetchall()
+
+
+def test_usage_events_of_unknown_types_are_page_views_alone(spark, tmp_path):
+    types = "unnest(['signup', 'view', 'click', 'purchase', 'error', 'refund', 'Signup', ' view', '', null]) as event_type"
+    ours, theirs = _usage_rows(spark, tmp_path, f"select row_number() over () - 1 as event_id, timestamp '2024-01-01 05:30:00' as ts, event_type from (select {types})")
+    assert ours == theirs and len(ours) == 15
+
+
+def test_usage_events_at_far_and_infinite_times(spark, tmp_path):
+    """Far years count to the millisecond, infinite times and nulls have no session, and no row stops the job."""
+    far = [f"timestamp '{year}-01-01 01:30:00' + interval ({us}) microsecond" for year in (1, 1600, 9999, 150_000, 290_000) for us in (-1000, -501, -500, -499, 0, 499, 500)]
+    odd = ["null::timestamp", "timestamp 'infinity'", "timestamp '-infinity'", "make_timestamp(9223372036854775306)", "make_timestamp(9223372036854774806)"]
+    ours, theirs = _usage_rows(spark, tmp_path, f"select row_number() over () - 1 as event_id, ts, 'view' as event_type from (select unnest([{', '.join(far + odd)}]) as ts)")
+    assert ours == theirs and len(ours) == 2 * len(far + odd)
+    assert sum(session is None for _, _, session, _ in ours) == 6

@@ -511,7 +511,10 @@ def run_metrics(spark, sf_dir):
 CASE WHEN event_type = 'error' THEN 'error' END], lambda x: x IS NOT NULL)) AS event, CAST(floor(epoch_ms(ts) / 1800000) AS BIGINT) AS session, greatest(1, event_id % 300) AS engagement_ms FROM events""")
 def usage_events(spark, sf_dir):
     e = _table(spark, sf_dir, "events")
-    kind = F.when(F.col("event_type") == "signup", "initialize").when(F.col("event_type") == "view", "tools/list").otherwise("tools/call")
+    kind = (
+        F.when(F.col("event_type") == "signup", "initialize").when(F.col("event_type") == "view", "tools/list")
+        .when(F.col("event_type").isin("click", "purchase", "error"), "tools/call")
+    )
     requests = e.select(
         F.col("event_id").alias("request_id"), F.col("ts").cast("timestamp").alias("at"), kind.alias("method"), F.lit("get_topic").alias("tool"), F.lit("Claude").alias("client_name"), F.lit("x").alias("agent"),
         (F.col("event_type") != "error").alias("ok"), (F.col("event_id") % 300).alias("duration_ms"), F.lit(1).alias("result_count"), F.to_date("ts").alias("date"),
